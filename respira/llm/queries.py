@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respira.llm import linededup, mixing, packing, quality, rules, sql
+from respira.llm import linededup, mixing, ngramjoin, packing, quality, rules, sql
 from respira.llm.common import table
 from respira.registry import Registry
 
@@ -23,6 +23,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+@REGISTRY.query("op3_ngram_jaccard", sql.OP3)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's three words and 90 percent."""
+    return ngramjoin.similar_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 @REGISTRY.query("op7_line_dedup", sql.OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
