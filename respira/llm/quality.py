@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respira.llm.common import chunks, saved
+from respira.llm.common import chunks, lowest, saved
 from respira.llm.models import Isotonic, Logistic
 from respira.llm.rules import base_counts
 
@@ -135,10 +135,9 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
 def fit(features: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> CoTrained:
     """The classifier fitted on a bounded sample; `features` (featured) must be a written table."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    lowest = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     one = features.dropDuplicates(["doc_id"])
-    labelled = lowest(one.join(known, "doc_id")).toPandas()
-    free = lowest(one.join(known, "doc_id", "left_anti")).toPandas()
+    labelled = lowest(one.join(known, "doc_id"), fit_rows).toPandas()
+    free = lowest(one.join(known, "doc_id", "left_anti"), fit_rows).toPandas()
     views = [_matrix(labelled["content"], CONTENT), _matrix(labelled["metadata"], METADATA)]
     return CoTrained().fit(views, (labelled["quality"] > 0).to_numpy(dtype=float), [_matrix(free["content"], CONTENT), _matrix(free["metadata"], METADATA)])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respira.llm import linededup, mixing, ngramjoin, packing, quality, rules, sql
+from respira.llm import htmltext, linededup, mixing, ngramjoin, packing, quality, rules, secrets, sql, toxicity
 from respira.llm.common import table
 from respira.registry import Registry
 
@@ -29,6 +29,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.similar_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+@REGISTRY.query("op4_html_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@REGISTRY.query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.query("op7_line_dedup", sql.OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -40,6 +50,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("copy")
 
 
+@REGISTRY.query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @REGISTRY.query("op10_cotrained_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
