@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respira.llm import htmltext, linededup, mixing, ngramjoin, packing, quality, rules, secrets, sql, toxicity
+from respira.llm import flac, htmltext, linededup, mixing, ngramjoin, packing, quality, rules, secrets, sql, toxicity
 from respira.llm.common import table
 from respira.registry import Registry
 
@@ -39,6 +39,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op6_flac_media")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digests(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.query("op7_line_dedup", sql.OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
