@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from respira.plans import interval_queries
+from respira.plans import interval_queries, label_queries
 from respira.registry import Registry
 
 REGISTRY = Registry()
-for part in (interval_queries,):
+for part in (interval_queries, label_queries):
     for name, fn in part.REGISTRY.queries.items():
         REGISTRY.add(name, fn, part.REGISTRY.sql.get(name))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interval_queries.annotated(spark, sf_dir)
+    return label_queries.flagship(spark, sf_dir)
