@@ -229,7 +229,7 @@ vent = lambda s, d: li(s, d).select("l_orderkey", "l_linenumber", F.col("l_quant
 q("f10_derived_physiology", f"""WITH {VENT} SELECT l_orderkey, l_linenumber, rr / (tv / 1000) AS rsbi, spo2 / (fio2 / 100) AS sf, pip - peep AS dp, CASE WHEN pip - peep > 1e-9 THEN tv / (pip - peep) END AS compliance FROM x""")(
     lambda s, d: (lambda c: vent(s, d).select("l_orderkey", "l_linenumber", (ph.rsbi(c("rr"), c("tv"))).alias("rsbi"), (ph.sf_ratio(c("spo2"), c("fio2") / 100)).alias("sf"), (ph.driving_pressure(c("pip"), c("peep"))).alias("dp"), (F.when(c("pip") - c("peep") > 1e-9, ph.compliance(c("tv"), c("pip"), c("peep")))).alias("compliance")))(F.col)
 )
-q("f12_ventilatory_indices", f"""WITH {VENT} SELECT l_orderkey, l_linenumber, round(greatest(least(spo2 / (fio2 / 100), 1000), 0), 4) AS safi, tv * rr / 1000 AS mv, 0.098 * rr * (tv / 1000) * (pip - (pip - peep) / 2) AS mp, rr * (spo2 * 7.6) / 400 AS vr, pip * fio2 / spo2 AS oi, coalesce(peep / 5.0, 0) AS scaled FROM x""")(
+q("f12_ventilatory_indices", f"""WITH {VENT} SELECT l_orderkey, l_linenumber, greatest(least(spo2 / (fio2 / 100), 1000), 0) AS safi, tv * rr / 1000 AS mv, 0.098 * rr * (tv / 1000) * (pip - (pip - peep) / 2) AS mp, rr * (spo2 * 7.6) / 400 AS vr, pip * fio2 / spo2 AS oi, coalesce(peep / 5.0, 0) AS scaled FROM x""")(
     lambda s, d: (lambda c: vent(s, d).select("l_orderkey", "l_linenumber", (ph.safi(c("spo2"), c("fio2"))).alias("safi"), (ph.minute_volume(F.lit(None), c("tv"), c("rr"))).alias("mv"), (ph.mechanical_power(c("rr"), c("tv"), c("pip"), c("peep"))).alias("mp"), (ph.ventilatory_ratio(c("rr"), c("spo2"), percent=True)).alias("vr"),
         (ph.oxygenation_index(c("pip"), c("fio2"), c("spo2"))).alias("oi"), (ph.scaled(c("peep"), 5.0)).alias("scaled")))(F.col)
 )
