@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 #: Rows handled at once inside Python workers; bounds their memory whatever Arrow's batch size is.
 CHUNK_ROWS = 256
 CHUNK_CHARS = 2_000_000
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +36,18 @@ def saved(df: DataFrame, *by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/respira/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that nothing needs any more, and lets Spark's cleaner drop shuffle files of frames gone by."""
+    for df in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def chunks(batches: Iterable[pd.DataFrame], text: str = "text") -> Iterator[pd.DataFrame]:

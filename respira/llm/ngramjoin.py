@@ -14,8 +14,8 @@ size). Only documents that share such a shingle are looked at any further.
    are split at GROUP_ROWS, each part with the class that stands for the group.
 4. Groups are no limit on links: prefix shingles that classes of different components still share are taken up again.
    The classes concerned are ordered anew by the frequencies of all their shingles, and a trie per shared shingle, over
-   the beginnings of the ordered sets, gives the pairs that may be similar. Large ones are split into blocks, each block
-   against each. Pairs are then checked over their whole sets.
+   the beginnings of the ordered sets, gives the pairs that may be similar: classes outside the most frequent component
+   are queries against all, in blocks. Pairs are then checked over their whole sets.
 5. Components: smallest label over links, with pointer jumping, until nothing changes.
 
 No link between different texts is lost: steps 1-3 find links early, step 4 holds for all that remains.
@@ -27,23 +27,24 @@ the smaller doc_id. An empty table gives no rows. Columns other than doc_id and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respira.llm.common import chunks, saved
+from respira.llm.common import chunks, released, saved
 
 WORDS = 5
 PERCENT = 80
 GROUP_ROWS = 400
 BLOCK_ROWS = 1000
+BATCH_ROWS = 1000
 SHORT = 64
 SPAN = 1 << 16
 #: The fraction of hashes that is counted, as a multiple of the prefixes' share of a set.
-MARGIN = 1.35
+MARGIN = 1.6
 BEGINNING = 3
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -184,24 +185,24 @@ class Trie:
         longest = max(len(self.sets[i]) for i in rows)
         return (lo, hi, a[depth:end], end, longest, int(self.sizes[rows].min()), int(self.tails[rows].max()), ends, []), spans
 
-    def similar(self, held: np.ndarray, own: int, label: np.ndarray) -> Iterator[int]:
-        """Sets that may be similar to set `own`, whose tokens are marked in `held`; whole sets are similar indeed.
+    def similar(self, held: np.ndarray, length: int, n: int, tail: int, own: int, label: np.ndarray) -> Iterator[int]:
+        """Sets that may be similar to one of `length` given tokens, which are marked in `held`; whole sets are similar indeed.
 
-        Two sets have no more in common than their beginnings have, and the longer of their tails: of the set whose
-        beginning ends first, all but the tail is known. Sets with own's label are left out, with the subtrees of such.
+        n and tail are its size and what its beginning leaves out, own is its label. Two sets have no more in common than
+        their beginnings have, and the longer of their tails: of the set whose beginning ends first, all but the tail is
+        known. Sets with the same label are left out, with the subtrees of such.
         """
-        length, n, tail = len(self.sets[own]), int(self.sizes[own]), int(self.tails[own])
         todo = [(self.root, 0)]
         while todo:
             (lo, hi, segment, depth, longest, smallest, largest_tail, ends, children), overlap = todo.pop()
             rows = self.order[lo:hi]
-            if (label[rows] == label[own]).all():
+            if (label[rows] == own).all():
                 continue
             overlap += int(held[segment].sum())
             if (overlap + min(longest - depth, length - overlap) + max(tail, largest_tail)) * (100 + self.t) < self.t * (n + smallest):
                 continue
             for i in rows[:ends].tolist():
-                if i != own and label[i] != label[own] and (overlap + max(tail, int(self.tails[i]))) * (100 + self.t) >= self.t * (n + int(self.sizes[i])):
+                if label[i] != own and (overlap + max(tail, int(self.tails[i]))) * (100 + self.t) >= self.t * (n + int(self.sizes[i])):
                     yield i
             todo += [(c, overlap) for c in children]
 
@@ -216,12 +217,15 @@ def common_first(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
 
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs of similar sets that join all sets reachable over such pairs: a spanning forest of the links."""
+    if len(sets) == 2:  # the most frequent group is no tree
+        overlap = np.intersect1d(*sets, assume_unique=True).size
+        return [(0, 1)] if overlap * (100 + percent) >= percent * (len(sets[0]) + len(sets[1])) else []
     ids, size = common_first(sets)
     n, label = np.array([len(s) for s in sets], dtype=np.int64), np.arange(len(sets))
     trie, out, held = Trie(ids, n, np.zeros_like(n), percent), [], np.zeros(size, dtype=bool)
     for own, s in enumerate(ids):
         held[s] = True
-        for other in trie.similar(held, own, label):
+        for other in trie.similar(held, len(s), len(s), 0, label[own], label):
             if label[other] != label[own]:
                 out.append((own, other))
                 label[label == label[other]] = label[own]
@@ -229,18 +233,30 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def trie_links(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links inside groups. members: g (any columns but doc_id and text that name a group), doc_id, text."""
-    keys = [c for c in members.columns if c not in ("doc_id", "text")]
+def by_group(rows: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], list[tuple]], with_columns: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(a, b) that `work` finds in each group of rows (a written table), which get further columns by with_columns.
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        shingles = Shingler(k)
-        sets = [shingles(t) for t in pdf["text"]]
+    Groups are bounded by GROUP_ROWS or BLOCK_ROWS. Many small ones share a batch, which holds about BATCH_ROWS rows.
+    """
+    buckets = max(1, -(-rows.count() // BATCH_ROWS))
+    dealt = with_columns(rows.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))))
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pair for at in pdf.groupby(keys, sort=False).indices.values() if len(at) > 1 for pair in work(pdf.iloc[at])]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("__bucket").applyInPandas(each, "a long, b long")
+
+
+def trie_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links inside groups. members (a written table): doc_id and the columns that name a group."""
+    shingles = Shingler(k, keep=100_000)
+
+    def join(pdf: pd.DataFrame) -> list[tuple]:
         ids = pdf["doc_id"].to_numpy()
-        pairs = linked(sets, percent) if len(sets) > 1 else []
-        return pd.DataFrame({"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs]}, dtype="int64")
+        return [(ids[i], ids[j]) for i, j in linked([shingles(t) for t in pdf["text"]], percent)]
 
-    return members.groupBy(*keys).applyInPandas(join, "a long, b long")
+    return by_group(members, [c for c in members.columns if c != "doc_id"], join, lambda df: _texts(docs, df))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -286,40 +302,55 @@ def _open_shingles(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b), once each: classes of different components whose ordered beginnings do not rule a link out."""
+    """(a, b), once each: classes of different components whose ordered beginnings do not rule a link out.
+
+    Among the classes that share a shingle, those of the most frequent component need no look at each other. The others
+    are queries against all: blocks of queries meet blocks of all, so a group of any size is dealt out.
+    """
     rows = _open_shingles(shared, labels)
-    sizes = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_ROWS))).cast("int").alias("blocks"))
-    rows = rows.join(sizes.hint("shuffle_merge"), "token").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # a block meets every block once: rows of block i go to the cells (min(i, j), max(i, j))
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label")
-    cells = cells.join(shared.select("doc_id", "n", "beginning", "tail").hint("shuffle_merge"), "doc_id")
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, blocks, labels = (pdf[c].to_numpy() for c in ("doc_id", "own", "label"))
+    counts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK_ROWS))).cast("int")
+    sizes = sizes.select("token", F.col("top.label").alias("main"), blocks(F.col("n") - F.col("top.n")).alias("q_blocks"), blocks(F.col("n")).alias("x_blocks"))
+    rows = rows.join(sizes.hint("shuffle_merge"), "token")
+    mine = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    queries = rows.filter("label <> main").select("token", mine(F.col("q_blocks")).alias("i"), every(F.col("x_blocks")).alias("j"), F.lit(True).alias("query"), "doc_id", "label")
+    others = rows.select("token", every(F.col("q_blocks")).alias("i"), mine(F.col("x_blocks")).alias("j"), F.lit(False).alias("query"), "doc_id", "label")
+    beginnings = shared.select("doc_id", "n", "beginning", "tail").hint("shuffle_merge")
+
+    def meet(pdf: pd.DataFrame) -> list[tuple]:
+        query = pdf["query"].to_numpy()
+        if not query.any() or query.all():
+            return []
+        ids, labels, n, tails = (pdf[c].to_numpy() for c in ("doc_id", "label", "n", "tail"))
         sets, size = common_first([np.asarray(x, dtype=np.int64) for x in pdf["beginning"]])
-        trie, held = Trie(sets, pdf["n"].to_numpy(), pdf["tail"].to_numpy(), percent), np.zeros(size, dtype=bool)
-        cross, out = pdf["i"].iloc[0] != pdf["j"].iloc[0], set()
-        for own, s in enumerate(sets):
-            held[s] = True
-            for other in trie.similar(held, own, labels):
-                if not cross or blocks[own] != blocks[other]:
-                    out.add((min(ids[own], ids[other]), max(ids[own], ids[other])))
-            held[s] = False
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+        base = np.flatnonzero(~query)
+        trie, held = Trie([sets[i] for i in base], n[base], tails[base], percent), np.zeros(size, dtype=bool)
+        out = set()
+        for q in np.flatnonzero(query):
+            held[sets[q]] = True
+            out.update((min(ids[q], ids[base[x]]), max(ids[q], ids[base[x]])) for x in trie.similar(held, len(sets[q]), int(n[q]), int(tails[q]), labels[q], labels[base]))
+            held[sets[q]] = False
+        return sorted(out)
 
-    return cells.groupBy("token", "i", "j").applyInPandas(meet, "a long, b long").filter("a <> b").distinct()
+    return by_group(saved(queries.unionByName(others)), ["token", "i", "j"], meet, lambda df: df.join(beginnings, "doc_id")).distinct()
 
 
 def similar_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    rows = saved(sketches(docs, k, percent))
-    alive = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    spark = docs.sparkSession
+    sketch = saved(sketches(docs, k, percent))
+    rows = saved(sketch.select("doc_id", "n", "print"))
+    alive = sketch.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     prints = saved(alive.groupBy("print").agg(F.min("doc_id").alias("first")))
     classes = alive.join(prints.select(F.col("first").alias("doc_id")).distinct().hint("shuffle_merge"), "doc_id", "left_semi")
     shared = saved(ordered_prefixes(classes.select("doc_id", "n", "tokens"), percent, counted_span(percent)))
-    links = saved(trie_links(_texts(docs, _group_members(shared)), k, percent))
+    del alive, classes
+    released(spark, sketch)
+    links = saved(trie_links(saved(_group_members(shared)), docs, k, percent))
     labels = components(links)
+    released(spark)
 
     unsettled = saved(_open_shingles(shared, labels).select("doc_id").distinct())
     if not unsettled.isEmpty():
@@ -333,11 +364,13 @@ def similar_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
 
 def _later_links(docs: DataFrame, ids: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between components that the classes `ids` still may have, as a written table."""
-    whole = sketches(_texts(docs, ids), k, percent, whole=True).select("doc_id", "n", "tokens")
-    shared = saved(ordered_prefixes(saved(whole), percent, SPAN))
+    whole = saved(sketches(_texts(docs, ids), k, percent, whole=True).select("doc_id", "n", "tokens"))
+    released(docs.sparkSession)
+    shared = saved(ordered_prefixes(whole, percent, SPAN))
+    released(docs.sparkSession, whole)
     pairs = saved(_open_pairs(shared, labels, percent))
     each = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    return saved(trie_links(_texts(docs, each), k, percent))
+    return saved(trie_links(saved(each), docs, k, percent))
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
