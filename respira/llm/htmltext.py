@@ -4,9 +4,11 @@ A page is a sequence of tokens. A word's score depends on where it stands (insid
 that the page has, in a page without) and a tag's on its name; a linear scan finds the contiguous region with the largest
 sum. Scores are log odds learned from labelled pages: of words, how much more often they are main text there than not;
 of tags, how much more often they stand outside the main text than inside, never above 0. Parts that no page counts as
-its article (scripts, styles, menus, headers, footers, asides, forms, and elements whose class, id or role names adverts,
-notices, comments and the like) are known by their markup: such a part is one token with a score of its own, and its
-words are never given out, wherever the region begins and ends.
+its article (scripts, styles, menus, headers, footers, asides, forms, hidden elements, and elements one of whose class
+names, id, role or label names adverts, comments and the like as a whole) are known by their markup: such a part is one
+token with a score of its own, and its words are not given out. A part that holds an <article>, <main> or <h1>, or is
+never closed though it needs an end tag, or is named so only in part (no-comments, related-work), is kept: outside of
+articles its tag scores like a part that is no article. In a page with articles elsewhere, those of a part so named count as outside.
 
 The text is that of the region's blocks: references decoded, white space inside a block one space, blocks joined by \\n.
 
@@ -21,6 +23,7 @@ import html as entities
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,75 +45,163 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main "
     "menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Words in a class, id or role that name what is no article.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"comments?|commentlist|disqus|replies|reply|respond|discussion|sidebar|side|aside|widget\w*|menu\w*|nav|navbar|navigation|navigations?|breadcrumbs?|toc|footer|foot|header|masthead|topbar|toolbar|"
-    r"share|sharing|social|related|recommend\w*|recirc|trending|pagination|pager|copyright|legal|disclaimer|skip|search|form|complementary|contentinfo|search)(?:$|[\s_-])"
+#: Words that name what is no article, if the whole class, id, role or label is made of them and of FILLING.
+NOISE = frozenset(
+    "ad ads adsense banner cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies respond sidebar aside widget widgets menu menus nav "
+    "navbar navigation navigations breadcrumb breadcrumbs toc footer masthead topbar toolbar share sharing social related recirc trending pagination pager copyright complementary contentinfo search".split()
 )
-NAMING = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+FILLING = frozenset("box container wrapper wrap inner list section area block slot unit bar items links posts articles stories buttons icons form message notice notification alert reply header head foot site page global post article entry".split())
+#: Words that make a part doubtful wherever they stand in a name; it is kept, and outside of articles its tag scores like one that is none.
+DOUBTFUL = NOISE | frozenset("notice notification alert reply discussion side foot head header legal disclaimer skip form".split())
+STEMS = ("advert", "sponsor", "promo", "recommend")
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HOLDS = ("article", "main")
+CORE = ("article", "main", "h1")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Elements whose end tag may be left out; for each, the start tags that end it and the elements that shut it in.
+CELLS = ("tr", "tbody", "thead", "tfoot")
+IMPLIED = {
+    "p": (BLOCKS - {"body", "caption", "head", "html", "legend", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}, frozenset()), "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
+    "td": ({"td", "th", *CELLS}, {"table"}), "th": ({"td", "th", *CELLS}, {"table"}), "tr": (set(CELLS), {"table"}),
+}
+ENDED_BY = {t: [n for n, (by, _) in IMPLIED.items() if t in by] for t in BLOCKS}
+OPEN_END = re.compile(r"<(?:/?(?:article|main)|h1|body|/body)\b", re.I)
+
+
+def _naming(name: str, attributes: str) -> str:
+    """What an element's attributes say of it: "apart" for no article, "doubt" for perhaps none, or nothing."""
+    said = ""
+    for m in ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" and value != "false" or key == "style" and re.search(r"(?:^|;)\s*display\s*:\s*none", value):
+            return "apart"
+        if key in ("class", "id", "role", "aria-label") and name not in HEADINGS:
+            for token in [value] if key == "aria-label" else value.split():
+                words = re.split(r"[\s_-]+", token.strip("-_ \t\r\n"))
+                named = [w in NOISE or w.startswith(STEMS) for w in words]
+                if any(named) and all(n or w in FILLING for n, w in zip(named, words, strict=True)):
+                    return "apart"
+                if any(named) or not DOUBTFUL.isdisjoint(words):
+                    said = "doubt"
+    return said
+
+
+class Tag:
+    """A tag at [start, at): its name, whether it closes, its attributes, and where its element ends, if known."""
+
+    __slots__ = ("at", "attributes", "closed", "closes", "end", "name", "start")
+
+    def __init__(self, start: int, at: int, closes: bool, name: str, attributes: str):
+        self.start, self.at, self.closes, self.name, self.attributes = start, at, closes, name, attributes
+        self.end, self.closed = None, False
+
+
+def _tags(page: str) -> list[Tag]:
+    """Tags, comments (no name) and whole raw elements in order, with the ends of elements; an end tag left out is put in."""
+    out: list[Tag] = []
+    stack: list[Tag] = []
+    held: Counter = Counter()
+    lower = None
 
+    def ends(depth: int, where: int) -> None:
+        """Elements of the stack above depth end: those whose end tag may be left out are closed there, others never were."""
+        while len(stack) > depth:
+            t = stack.pop()
+            held[t.name] -= 1
+            t.end, t.closed = where, t.name in IMPLIED
+
+    def find(name: str, stops) -> int | None:
+        if held[name]:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].name == name:
+                    return i
+                if stack[i].name in stops:
+                    return None
+        return None
 
-def _named_apart(name: str, attributes: str) -> bool:
-    if name in ("html", "body", "main"):
-        return False
-    if re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", attributes, re.I):
-        return True
-    return any(NAMED.search(next(filter(None, m.groups()), "").lower()) for m in NAMING.finditer(attributes))
-
-
-def tokens(page: str) -> list[tuple[str, str]]:
-    """(kind, value): ("tag", name or /name), ("text", characters), ("apart", name) for a whole part that is no article."""
-    out: list[tuple[str, str]] = []
     at, size = 0, len(page)
-    lower = None
-    while at < size:
-        m = TAG.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = re.search(r"<[A-Za-z/!?][^<>]*\Z", rest)
-            out.append(("text", rest[: cut.start()] if cut else rest))
-            break
-        if m.start() > at:
-            out.append(("text", page[at : m.start()]))
+    while m := TAG.search(page, at):
         at = m.end()
-        if not m[2]:
+        tag = Tag(m.start(), at, bool(m[1]), (m[2] or "").lower(), m[3] or "")
+        out.append(tag)
+        name = tag.name
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
-            out.append(("tag", f"/{name}"))
+        if tag.closes:
+            # an inline end tag does not end blocks
+            i = find(name, () if name in BLOCKS else BLOCKS)
+            if i is not None:
+                opened = stack[i]
+                ends(i + 1, tag.start)
+                stack.pop()
+                held[name] -= 1
+                opened.end, opened.closed = at, True
             continue
         if name in RAW:
             lower = page.lower() if lower is None else lower
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>").search(lower, at)
-            out.append(("apart", name))
-            at = end.end() if end else size
-        elif name not in VOID and not m[3].endswith("/") and (name in APART or _named_apart(name, m[3])):
-            end = _closing(page, name, at)
-            out.append(("apart", name))
-            at = end if end is not None else _open_end(page, name, at)
-        else:
-            out.append(("tag", name))
+            tag.end = at = end.end() if end else size
+            continue
+        for other in ENDED_BY.get(name, ()):
+            i = find(other, IMPLIED[other][1])
+            if i is not None:
+                ends(i, tag.start)
+        if name not in VOID and not tag.attributes.endswith("/"):
+            stack.append(tag)
+            held[name] += 1
+    for t in stack:
+        if t.name in IMPLIED:
+            t.end, t.closed = size, True
     return out
 
 
-def _closing(page: str, name: str, at: int) -> int | None:
-    """Where the element that began before `at` ends, with those of its name inside; None if it is not closed."""
-    depth = 1
-    for m in re.compile(rf"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.S | re.I).finditer(page, at):
-        if m[2] is None:
-            continue
-        depth += -1 if m[2] else 1
-        if not depth:
-            return m.end()
-    return None
-
+def tokens(page: str) -> list[tuple[str, str, bool]]:
+    """(kind, value, aside): ("tag", name or /name), ("text", characters), ("apart", name) for a whole part that is no article, ("doubt", name) for the tag of a part that may be none.
 
-def _open_end(page: str, name: str, at: int) -> int:
-    """The end of an element that is never closed: the next heading, article or main, or the end of the page."""
-    m = re.compile(r"<(?:/?(?:article|main)|h1|body|/body)\b", re.I).search(page, at)
-    return m.start() if m else len(page)
+    A part that holds an article, a main or an h1 is never thrown away. Tokens in one named as no article and holding an
+    article or a main are marked aside.
+    """
+    out: list[tuple[str, str, bool]] = []
+    tags = _tags(page)
+    cores = [(t.start, t.name) for t in tags if not t.closes and t.name in CORE]
+    at, aside = 0, 0
+    for t in tags:
+        if t.start < at:
+            continue
+        if t.start > at:
+            out.append(("text", page[at : t.start], at < aside))
+        at = t.at
+        name = t.name
+        if not name:
+            continue
+        if t.closes:
+            out.append(("tag", f"/{name}", t.start < aside))
+            continue
+        if name in RAW:
+            out.append(("apart", name, False))
+            at = t.end
+            continue
+        said = ""
+        if name not in ("html", "body", "main") and name not in VOID and not t.attributes.endswith("/"):
+            said = "apart" if name in APART else _naming(name, t.attributes)
+        if said == "apart":
+            end = t.end if t.closed else None
+            if name in APART and not t.closed:
+                m = OPEN_END.search(page, at)
+                end = min(m.start() if m else len(page), t.end if t.end is not None else len(page))
+            inside = {c for _, c in cores[bisect_left(cores, (t.start,)) : bisect_left(cores, (end,))]} if end is not None else set()
+            if end is not None and not inside:
+                out.append(("apart", name, False))
+                at = end
+                continue
+            if not inside.isdisjoint(HOLDS):
+                aside = max(aside, end)
+        out.append(("doubt" if said else "tag", name, t.start < aside))
+    rest = page[at:]
+    cut = re.search(r"<[A-Za-z/!?][^<>]*\Z", rest)
+    if rest:
+        out.append(("text", rest[: cut.start()] if cut else rest, at < aside))
+    return out
 
 
 class Weights:
@@ -120,15 +211,20 @@ class Weights:
         self.words, self.tags, self.apart, self.other = words, tags, apart, other
 
 
-def places(sequence: list[tuple[str, str]]) -> list[str]:
-    """Of each token: inside an <article> or <main>, outside though the page has one, or none."""
-    has = any(kind == "tag" and value in HOLDS for kind, value in sequence)
+def places(sequence: list[tuple[str, str, bool]]) -> list[str]:
+    """Of each token: inside an <article> or <main>, outside though the page has one, or none.
+
+    What is marked aside is outside, unless the page's only articles are there.
+    """
+    opens = [aside for kind, value, aside in sequence if kind in ("tag", "doubt") and value in HOLDS]
+    has, elsewhere = bool(opens), not all(opens)
     out, depth = [], 0
-    for kind, value in sequence:
-        if kind == "tag" and value in HOLDS:
+    for kind, value, aside in sequence:
+        counts = not (aside and elsewhere)
+        if counts and kind in ("tag", "doubt") and value in HOLDS:
             depth += 1
-        out.append("inside" if depth else "outside" if has else "none")
-        if kind == "tag" and value[1:] in HOLDS and value[0] == "/":
+        out.append("inside" if depth and counts else "outside" if has else "none")
+        if counts and kind == "tag" and value[1:] in HOLDS and value[0] == "/":
             depth = max(0, depth - 1)
     return out
 
@@ -141,14 +237,14 @@ def learn(pages: list[tuple[str, str]]) -> Weights:
     for page, text in pages:
         sequence, label = tokens(page), text.split()
         at, main = 0, []
-        for kind, value in sequence:
+        for kind, value, _ in sequence:
             run = entities.unescape(value).split() if kind == "text" else []
             good = bool(run) and label[at : at + len(run)] == run
             at += len(run) * good
             main.append(good)
         first = main.index(True) if True in main else 0
         last = len(main) - 1 - main[::-1].index(True) if True in main else -1
-        for i, ((kind, value), place) in enumerate(zip(sequence, places(sequence), strict=True)):
+        for i, ((kind, value, _), place) in enumerate(zip(sequence, places(sequence), strict=True)):
             inside = first <= i <= last
             if kind == "text":
                 words[place][main[i]] += len(entities.unescape(value).split())
@@ -181,17 +277,18 @@ def extract(page: str | None, weights: Weights) -> str:
         return ""
     sequence = tokens(page)
     scores = []
-    for (kind, value), place in zip(sequence, places(sequence), strict=True):
+    for (kind, value, _), place in zip(sequence, places(sequence), strict=True):
         if kind == "text":
             scores.append(weights.words[place] * len(value.split()))
         else:
-            scores.append(weights.apart if kind == "apart" else weights.tags.get(value, weights.other))
+            part = kind == "apart" or kind == "doubt" and place != "inside"
+            scores.append((weights.apart if part else 0.0) + (weights.tags.get(value, weights.other) if kind != "apart" else 0.0))
     start, end = best_region(scores)
     blocks: list[list[str]] = [[]]
-    for kind, value in sequence[start:end]:
+    for kind, value, _ in sequence[start:end]:
         if kind == "text":
             blocks[-1].append(value)
-        elif kind == "apart" and value in BLOCKS or kind == "tag" and value.lstrip("/") in BLOCKS:
+        elif value.lstrip("/") in BLOCKS:
             blocks.append([])
         elif value == "br":
             blocks[-1].append(" ")
