@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,3 +159,36 @@ def top_per_group(rows: DataFrame, key: list[str], order: list[Column], n: int =
 def hash_order(seed: int, identity: Column) -> Column:
     """A pseudo-random order that any engine can repeat."""
     return F.md5(F.concat(F.lit(str(seed)), F.lit("-"), identity.cast("string")))
+
+
+def global_rank(rows: DataFrame, order: list[str], name: str = "pos", part_rows: int = 500_000) -> DataFrame:
+    """Rows with their 1-based position in the ascending order of all rows, nulls first; `order` must leave no ties.
+
+    Rows are dealt by ranges of the order, counted and numbered per range; a range's offset is the rows of those before.
+    The ranges' bounds are sampled: they decide which task numbers a row, not its position.
+    """
+    spark = rows.sparkSession
+    total = rows.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / part_rows))
+    key = F.struct(*(F.col(c).alias(c) for c in order))
+    drawn = rows.select(key.alias("k")).sample(min(1.0, 40 * parts / max(total, 1)), 7).orderBy("k").collect()
+    bounds = list(dict.fromkeys(drawn[len(drawn) * i // parts]["k"] for i in range(1, parts))) if drawn else []
+    types = rows.select(key.alias("k")).schema["k"].dataType
+    part = F.lit(0)
+    if bounds:
+        # two steps: the group of bounds, then the place in it
+        literal = lambda b: F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, types.fields, strict=True)))
+        step = isqrt(len(bounds)) + 1
+        groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+        below = lambda found: F.size(F.filter(found, lambda b: b <= key))
+        group = F.greatest(below(F.array(*(literal(g[0]) for g in groups))) - 1, F.lit(0))
+        part = group * step + below(F.element_at(F.array(*(F.array(*map(literal, g)) for g in groups)), group + 1))
+    dealt = rows.withColumn("__part", part)
+    counts = {r["__part"]: r["n"] for r in dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, offsets = 0, []
+    for i in range(max(counts, default=0) + 1):
+        offsets.append(before)
+        before += counts.get(i, 0)
+    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order)).cast("long")
+    offset = F.element_at(F.array(*(F.lit(o).cast("long") for o in offsets)), F.col("__part") + 1)
+    return dealt.withColumn(name, local + offset).drop("__part")
