@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
+from math import ceil
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,11 +216,44 @@ def missing_fields(rows: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("n_missing"), F.col("n").alias("n_rows")) for c in columns))).alias("x")).select("x.*")
 
 
-def rbf_kernel(vectors: DataFrame, groups: list[tuple[int, int, float]], gammas: list[float], bound: int = 200) -> DataFrame:
-    """Grouped RBF kernel of small sets: sum of weight * exp(-gamma * squared distance) over slices (start, length, weight)."""
-    if vectors.limit(bound + 1).count() > bound:
-        raise ValueError(f"a kernel matrix is for {bound} vectors at most")
-    a, b = vectors.select(F.col("id").alias("i"), F.col("v").alias("x")), vectors.select(F.col("id").alias("j"), F.col("v").alias("y"))
-    part = lambda s, n, w, g: w * F.exp(-g * F.aggregate(F.zip_with(F.slice("x", s, n), F.slice("y", s, n), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, z: t + z))
-    parts = [part(*g, gamma) for g, gamma in zip(groups, gammas, strict=True)]
-    return a.join(F.broadcast(b), F.col("i") <= F.col("j")).select("i", "j", sum(parts[1:], parts[0]).alias("k"))
+def rbf_kernel(vectors: DataFrame, groups: list[tuple[int, int, float]], gammas: list[float], block: int = 500) -> DataFrame:
+    """Grouped RBF kernel of all pairs i <= j: sum of weight * exp(-gamma * squared distance) over slices (start, length, weight).
+
+    Vectors are dealt into blocks by a hash of their id; a task takes two blocks. k is null where a vector lacks a value of
+    the slices. Rows without id have no pairs; of a repeated id every pair of rows is one.
+    """
+    known = vectors.filter(F.col("id").isNotNull()).select("id", F.col("v").cast("array<double>").alias("v"))
+    n = max(1, ceil(known.count() / block))
+    dealt = known.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = dealt.withColumn("m", other).select("id", "v", "b", F.least("b", "m").alias("p"), F.greatest("b", "m").alias("q"))
+    kind = vectors.schema["id"].dataType.simpleString()
+    width = max(start + length - 1 for start, length, _ in groups)
+
+    def matrix(values: pd.Series) -> np.ndarray:
+        out = np.full((len(values), width), np.nan)
+        for row, v in zip(out, values, strict=True):
+            if v is not None:
+                v = np.asarray(v, dtype=float)[:width]
+                row[: len(v)] = v
+        return out
+
+    def rows(p: int, q: int, cell: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        a, b = cell[cell["b"] == p], cell[cell["b"] == q]
+        x, y, i, j = matrix(a["v"]), matrix(b["v"]), a["id"].to_numpy(), b["id"].to_numpy()
+        for at in range(0, len(i), 32):
+            ids = i[at : at + 32]
+            k = np.zeros((len(ids), len(j)))
+            for (start, length, weight), gamma in zip(groups, gammas, strict=True):
+                cut = slice(start - 1, start - 1 + length)
+                k += weight * np.exp(-gamma * ((x[at : at + 32, None, cut] - y[None, :, cut]) ** 2).sum(axis=2))
+            r, c = np.nonzero(ids[:, None] <= j[None, :]) if p == q else np.indices(k.shape).reshape(2, -1)
+            yield pd.DataFrame({"i": np.minimum(ids[r], j[c]), "j": np.maximum(ids[r], j[c]), "k": k[r, c]})
+
+    pairs = cells.groupBy("p", "q").applyInPandas(lambda key, cell: _joined(rows(*key, cell)), f"i {kind}, j {kind}, k double")
+    return pairs.withColumn("k", F.nanvl("k", F.lit(None).cast("double")))
+
+
+def _joined(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    found = list(parts)
+    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"i": [], "j": [], "k": []})

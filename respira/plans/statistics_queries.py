@@ -223,6 +223,9 @@ q("m12_residual_targets", f"{WITH} SELECT event_id, round(ln(greatest(value, 1e-
 q("m19_rbf_kernel", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 40) SELECT a.vec_id AS i, b.vec_id AS j, round(0.5 * exp(-0.1 * list_sum(list_transform(range(1, 33), lambda k: (a.e[k] - b.e[k]) ** 2))) + 0.5 * exp(-0.2 * list_sum(list_transform(range(33, 65), lambda k: (a.e[k] - b.e[k]) ** 2))), 6) AS k FROM v a JOIN v b ON a.vec_id <= b.vec_id")(
     lambda s, d: ag.rbf_kernel(fx.table(s, d, "embeddings").filter("vec_id < 40").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), [(1, 32, 0.5), (33, 32, 0.5)], [0.1, 0.2]).select("i", "j", R("k"))
 )
+q("m19_rbf_kernel_whole", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, round(0.5 * exp(-0.1 * list_sum(list_transform(range(1, 33), lambda k: (a.e[k] - b.e[k]) ** 2))) + 0.5 * exp(-0.2 * list_sum(list_transform(range(33, 65), lambda k: (a.e[k] - b.e[k]) ** 2))), 6) AS k FROM v a JOIN v b ON a.vec_id <= b.vec_id")(
+    lambda s, d: ag.rbf_kernel(fx.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), [(1, 32, 0.5), (33, 32, 0.5)], [0.1, 0.2]).select("i", "j", R("k"))
+)
 # ---- scalar functions
 VENT = "x AS (SELECT l_orderkey, l_linenumber, l_quantity AS rr, l_extendedprice / 100 AS tv, 10 + l_tax * 100 AS pip, 4 + l_discount * 60 AS peep, 20 + l_discount * 300 AS fio2, 90 + l_tax * 100 AS spo2 FROM lineitem)"
 vent = lambda s, d: li(s, d).select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("rr"), (F.col("l_extendedprice") / 100).alias("tv"), (10 + F.col("l_tax") * 100).alias("pip"), (4 + F.col("l_discount") * 60).alias("peep"), (20 + F.col("l_discount") * 300).alias("fio2"), (90 + F.col("l_tax") * 100).alias("spo2"))

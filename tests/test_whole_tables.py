@@ -1,5 +1,6 @@
 """Queries over whole tables, where earlier ones took a subset of ids."""
 
+import math
 import os
 
 import duckdb
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from respira.operators import agreement as ag
 from respira.operators import windows as wn
 from tests.test_oracles import rows
 
@@ -35,3 +37,30 @@ def test_rank_in_ranges(spark):
     assert wn.global_rank(df.limit(0), ["a", "b", "c"]).count() == 0
     one = wn.global_rank(df.limit(1), ["a", "b", "c"]).collect()
     assert [r["pos"] for r in one] == [1]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+def test_kernel_of_all_embeddings(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert n > 200
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+    got = entry.queries()["m19_rbf_kernel_whole"](spark, SF).select("i", "j", "k").toPandas().sort_values(["i", "j"])
+    want = con.execute(f"select i, j, k from ({entry.oracle_sql()['m19_rbf_kernel_whole']}) order by i, j").df()
+    assert len(got) == n * (n + 1) // 2 and (got[["i", "j"]].to_numpy() == want[["i", "j"]].to_numpy()).all()
+    assert (got["k"].to_numpy() - want["k"].to_numpy()).__abs__().max() <= 1.5e-6
+
+
+def test_kernel_in_blocks(spark):
+    data = [(i % 17 if i < 20 else i, [float(i), 0.0, float(i * i % 5)]) for i in range(40)] + [(50, None), (51, [1.0, None, 2.0]), (52, [1.0]), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(data, "id long, v array<double>")
+
+    def one(x, y):
+        if any(v is None or len(v) < 3 or None in v for v in (x, y)):
+            return None
+        return 0.25 * math.exp(-0.1 * (x[0] - y[0]) ** 2) + 0.75 * math.exp(-0.5 * ((x[1] - y[1]) ** 2 + (x[2] - y[2]) ** 2))
+
+    want = [(i, j, one(x, y)) for i, x in data for j, y in data if i is not None and j is not None and i <= j]
+    for block in (500, 7):
+        got = ag.rbf_kernel(df, [(1, 1, 0.25), (2, 2, 0.75)], [0.1, 0.5], block=block)
+        assert rows(["i", "j", "k"], got.select("i", "j", "k").collect()) == rows(["i", "j", "k"], want)
