@@ -16,6 +16,7 @@ the share of toxic rows (0 without any). An empty table gives no rows. Other col
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,7 +126,7 @@ class Features:
         kinds = len({words[i].lower().strip(EDGES) for i in hits})
         total = sum(weights)
         size = len(text)
-        capitals = sum(map(str.isupper, text)) if size < 2000 else len(text) - len(text.translate(CAPITALS))
+        capitals = size - len(text.translate(CAPITALS))
         shouted = sum(w.isupper() and len(w) > 2 for w in words)
         return [
             len(hits) / n, float(np.log1p(len(hits))), total / n, max(weights, default=0.0), total, float(kinds), hidden / n, float(hidden),
@@ -133,7 +134,8 @@ class Features:
         ]
 
 
-CAPITALS = dict.fromkeys(map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÀÂÊÎÔÛÇÑÁÍÓÚ"))
+#: All upper-case code points.
+CAPITALS = dict.fromkeys(c for c in range(sys.maxunicode + 1) if chr(c).isupper())
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
