@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 import weakref
@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 #: Rows handled at once inside Python workers; bounds their memory whatever Arrow's batch size is.
 CHUNK_ROWS = 256
 CHUNK_CHARS = 2_000_000
+#: A table of facts that a join looks up is broadcast up to this many rows of a few numbers each.
+LOOKUP_ROWS = 500_000
+#: Shuffle files of a query go as soon as it has been written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -23,31 +27,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; only where it is unset a local one is made (tests)."""
+    """The folder all executors share, as the cluster names it; where it is unset a session on one machine gets a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="respira-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, *by: str) -> DataFrame:
+def write(df: DataFrame, path: str) -> None:
+    """df as Parquet; its shuffle files are removed when it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
+def saved(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: later jobs survive lost executors and recompute nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/respira/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
 
 
-def released(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that nothing needs any more, and lets Spark's cleaner drop shuffle files of frames gone by."""
+def released(*tables: DataFrame) -> None:
+    """Empties written tables that nothing reads any more."""
     for df in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(_PATHS.pop(df))
+
+
+def lookup(rows: DataFrame, facts: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined with facts, a written table with one row per key and few numbers in each.
+
+    Up to LOOKUP_ROWS facts are broadcast, so rows stay where they are. Beyond it both sides are shuffled by the key, as a
+    sort-merge join whose large partitions of rows adaptive execution splits.
+    """
+    small = facts.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
+    return rows.join(F.broadcast(facts) if small else facts.hint("shuffle_merge"), on, how)
 
 
 def chunks(batches: Iterable[pd.DataFrame], text: str = "text") -> Iterator[pd.DataFrame]:

@@ -6,46 +6,60 @@ size). Only documents that share such a shingle are looked at any further.
 
 1. Equal sets are one class, stood for by its smallest doc_id.
 2. Order: frequencies are counted for a fixed fraction of the hash space, wide enough to hold the prefixes, and those
-   shingles come first (short sets, and the few whose prefix reaches beyond, have all of theirs counted). A shingle that
-   one class has is in no one else's prefix, so most documents end here.
-3. Each class that is left goes to the group of the class it shares most prefix shingles with. A group's ordered sets
+   shingles come first (short sets, and the few whose prefix reaches beyond, have all of theirs counted). A shingle is
+   then a code that sorts by late or not, power of two of its frequency, hash. One that a single class has is in no one
+   else's prefix, so most documents end here. The others keep their counted codes: all that is known of them from here
+   on, until a pair is to be settled. Shingles that exactly the same classes have say the same, and one of them stands
+   for all.
+3. Each class that is left goes to the group of the class it shares most prefix shingles with. A group's ordered codes
    are stored in a trie; a set descends it with the overlap so far, which sets with a common beginning share, and leaves
-   subtrees whose remaining lengths can't bring the overlap that is needed, or that it is linked with already. Groups
-   are split at GROUP_ROWS, each part with the class that stands for the group.
-4. Groups are no limit on links: prefix shingles that classes of different components still share are taken up again.
-   The classes concerned are ordered anew by the frequencies of all their shingles, and a trie per shared shingle, over
-   the beginnings of the ordered sets, gives the pairs that may be similar: classes outside the most frequent component
-   are queries against all, in blocks. Pairs are then checked over their whole sets.
+   subtrees whose remaining lengths, with all that is not counted, can't bring the overlap that is needed. The group falls
+   apart into trees of classes that look alike, and only the texts of those are read: a second trie, over whole sets in
+   hash order, gives their links. Groups are split by rows and shingles, each part with the class that stands for it.
+4. Groups are no limit on links: prefix shingles that classes of different components still share are taken up again. A
+   trie per such shingle gives the pairs that may be similar: classes outside the most frequent component are queries
+   against all, in blocks, and of large groups only those of sizes that allow the similarity meet. Pairs
+   that hang together then meet once more, over whole sets.
 5. Components: smallest label over links, with pointer jumping, until nothing changes.
 
 No link between different texts is lost: steps 1-3 find links early, step 4 holds for all that remains.
 
 Nulls: a document without text or words has no shingles and no links. A row without doc_id has no links and no
 component. Fewer words than k: the whole sequence is one shingle. Rows that repeat a doc_id share its links. Ties go to
-the smaller doc_id. An empty table gives no rows. Columns other than doc_id and text play no part.
+the smaller doc_id. Very long texts are shingled whole, one at a time, and weigh on the size of groups and batches by
+their shingles. An empty table gives no rows. Columns other than doc_id and text play no part in the links; keep_one gives
+all of its rows' columns back, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from respira.llm.common import chunks, released, saved
+from respira.llm.common import chunks, lookup, released, saved
 
 WORDS = 5
 PERCENT = 80
+#: A group is split so that a part has about this many classes, and this many shingles, at most.
 GROUP_ROWS = 400
-BLOCK_ROWS = 1000
-BATCH_ROWS = 1000
+GROUP_SHINGLES = 400_000
+BLOCK_ROWS = 250
+#: What one call in a Python worker takes on, in shingles; a class counts as ROW_SHINGLES more.
+BATCH_SHINGLES = 1_000_000
+ROW_SHINGLES = 500
+#: Batches are no reason for more partitions than that; each then takes several.
+MOST_PARTITIONS = 20_000
 SHORT = 64
 SPAN = 1 << 16
 #: The fraction of hashes that is counted, as a multiple of the prefixes' share of a set.
 MARGIN = 1.6
-BEGINNING = 3
+#: Percent below the threshold at which counted shingles still make two classes look alike.
+SLACK = 3
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -89,69 +103,72 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def sketches(docs: DataFrame, k: int, percent: int, whole: bool = False) -> DataFrame:
-    """doc_id, n, print (of the whole set), tokens: those counted, or (whole, short, or short of a prefix) all."""
-    cut = SPAN if whole else counted_span(percent)
+def counted_span(percent: int) -> int:
+    return min(SPAN, int(SPAN * MARGIN * (100 - percent) / 100))
+
+
+def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n, early (how many are counted), print (of the whole set), tokens: those counted, or all if short, or short of a prefix."""
+    cut = counted_span(percent)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         shingles = Shingler(k)
         for pdf in chunks(batches):
-            sizes, prints, tokens = [], [], []
+            sizes, early, prints, tokens = [], [], [], []
             for text in pdf["text"]:
                 s = shingles(text)
-                first = s if whole or len(s) <= SHORT else s[(s & (SPAN - 1)) < cut]
+                first = s[(s & (SPAN - 1)) < cut]
                 sizes.append(len(s))
+                early.append(len(first))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                tokens.append(first if len(first) >= prefix_length(len(s), percent) or not len(s) else s)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": np.array(sizes, np.int64), "print": prints, "tokens": tokens})
+                tokens.append(first if len(s) > SHORT and len(first) >= prefix_length(len(s), percent) else s)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": np.array(sizes, np.int64), "early": np.array(early, np.int64), "print": prints, "tokens": tokens})
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return picked.mapInPandas(rows, "doc_id long, n long, print binary, tokens array<long>")
-
-
-def counted_span(percent: int) -> int:
-    return min(SPAN, int(SPAN * MARGIN * (100 - percent) / 100))
+    return picked.mapInPandas(rows, "doc_id long, n long, early long, print binary, tokens array<long>")
 
 
-def _late(token, cut: int):
+def _late(token: Column, cut: int) -> Column:
     """0: of the counted fraction, 1: after it."""
-    return (token.bitwiseAND(F.lit(SPAN - 1)) >= cut).cast("int")
+    return (token.bitwiseAND(F.lit(SPAN - 1)) >= cut).cast("long")
 
 
-def ordered_prefixes(classes: DataFrame, percent: int, cut: int) -> DataFrame:
-    """doc_id, n, shared, beginning, tail: the shingles in the prefix, and in the BEGINNING times as long beginning, that
-    other classes have too, and how many come after that beginning.
+def shared_codes(classes: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, early, whole, met, shared: the codes of shingles that other classes have too, of all given and of the prefix.
 
-    The order is (late, frequency, hash). Frequency 1 comes first within either half; such shingles are only counted.
-    The beginning is right only where all shingles are given.
+    The order is (late, power of two of the frequency, hash); shingles of frequency 1 come first within either half and
+    are only counted. A code ends in 56 bits of the hash: two shingles that agree in all of it only look more alike here.
     """
+    cut = counted_span(percent)
     exploded = classes.select("doc_id", F.explode("tokens").alias("token"))
     often = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1")
-    both = exploded.join(often.hint("shuffle_merge"), "token")
-    found = both.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(_late(F.col("token"), cut).alias("late"), "freq", "token"))).alias("met"))
-    early = F.size(F.filter("tokens", lambda t: _late(t, cut) == 0))
-    rows = classes.select(F.col("doc_id").alias("id"), "n", early.alias("early"), F.size("tokens").alias("m"))
-    rows = found.join(rows.hint("shuffle_merge"), F.col("doc_id") == F.col("id"))
-    part = lambda late: F.filter("met", lambda x: x["late"] == late)
-    alone = lambda late, size: size - F.size(part(late))
-
-    def met(p):
-        first = F.slice(part(0), 1, F.greatest(p - alone(0, F.col("early")), F.lit(0)))
-        then = F.slice(part(1), 1, F.greatest(p - F.col("early") - alone(1, F.col("m") - F.col("early")), F.lit(0)))
-        return F.transform(F.concat(first, then), lambda x: x["token"])
-
+    power = F.floor(F.log2(F.col("freq").cast("double"))).cast("long")
+    code = F.shiftleft(_late(F.col("token"), cut), 62).bitwiseOR(F.shiftleft(power, 56)).bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << 56) - 1)))
+    often = saved(often.select("token", code.alias("code")))
+    found = exploded.join(often.hint("shuffle_merge"), "token").groupBy("doc_id").agg(F.array_sort(F.collect_set("code")).alias("met"))
+    facts = classes.groupBy("doc_id").agg(F.min("n").alias("n"), F.max("early").alias("early"), F.max(F.size("tokens")).alias("m"), F.count(F.lit(1)).alias("rows"))
+    rows = found.join(facts.hint("shuffle_merge"), "doc_id").withColumn("whole", F.col("m") >= F.col("n"))
+    late = F.lit(1 << 62)
+    first, then = F.filter("met", lambda x: x < late), F.filter("met", lambda x: x >= late)
     p = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)) + 1).cast("int")
-    longer = F.least(p * BEGINNING, F.col("n").cast("int"))
-    return rows.select("doc_id", "n", met(p).alias("shared"), met(longer).alias("beginning"), (F.col("n") - longer).alias("tail")).filter(F.size("shared") > 0)
+    early = F.col("early").cast("int")
+    inside = lambda part, places: F.slice(part, 1, F.greatest(places, F.lit(0)))
+    prefix = F.concat(inside(first, p - (early - F.size(first))), inside(then, p - early - (F.col("m") - early - F.size(then))))
+    out = saved(rows.select("doc_id", "n", "early", "whole", "met", F.when(F.col("rows") > 1, F.col("met")).otherwise(prefix).alias("shared")).filter(F.size("shared") > 0))
+    released(often)
+    return out
 
 
 class Trie:
-    """Ordered sets, stored by their common beginnings. Where only its beginning is given, a set has a size and a tail."""
+    """Ordered sets, stored by their common beginnings.
 
-    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, tails: np.ndarray, percent: int):
-        self.sets, self.sizes, self.tails, self.t = sets, sizes, tails, percent
+    Of a set only the codes counted are given, unless it is whole: n is its size, late how many of it are not counted.
+    """
+
+    def __init__(self, sets: list[np.ndarray], n: np.ndarray, late: np.ndarray, whole: np.ndarray, percent: int):
+        self.sets, self.n, self.late, self.whole, self.t = sets, n, late, whole, percent
         self.order = np.array(sorted(range(len(sets)), key=lambda i: sets[i].tolist()), dtype=np.int64)
         self.root, children = self._node(0, len(sets), 0)
         todo = [(self.root, children)]
@@ -164,7 +181,7 @@ class Trie:
                     todo.append((child, below))
 
     def _node(self, lo: int, hi: int, depth: int) -> tuple[tuple, list[tuple[int, int]]]:
-        """((lo, hi, segment, depth after it, longest, smallest size, largest tail, sets ending here, children), spans of children)."""
+        """((lo, hi, segment, depth after it, longest, smallest n, most late, all whole, sets ending here, children), spans of children)."""
         at_ = lambda i: self.sets[self.order[i]]
         a, b = at_(lo), at_(hi - 1)
         m = min(len(a), len(b))
@@ -183,198 +200,312 @@ class Trie:
             at = low
         rows = self.order[lo:hi]
         longest = max(len(self.sets[i]) for i in rows)
-        return (lo, hi, a[depth:end], end, longest, int(self.sizes[rows].min()), int(self.tails[rows].max()), ends, []), spans
+        return (lo, hi, a[depth:end], end, longest, int(self.n[rows].min()), int(self.late[rows].max()), bool(self.whole[rows].all()), ends, []), spans
 
-    def similar(self, held: np.ndarray, length: int, n: int, tail: int, own: int, label: np.ndarray) -> Iterator[int]:
-        """Sets that may be similar to one of `length` given tokens, which are marked in `held`; whole sets are similar indeed.
+    def similar(self, held: np.ndarray, length: int, n: int, late: int, whole: bool, own: int, label: np.ndarray, first: int = 0) -> Iterator[tuple[int, int]]:
+        """(set, overlap of what is given) of those that may be similar to one of `length` given codes, which are marked in `held`.
 
-        n and tail are its size and what its beginning leaves out, own is its label. Two sets have no more in common than
-        their beginnings have, and the longer of their tails: of the set whose beginning ends first, all but the tail is
-        known. Sets with the same label are left out, with the subtrees of such.
+        Where both sets are whole they are similar indeed; else what is not counted of the smaller may be common too. Sets
+        whose label is `own` are left out, with the subtrees of such, and those with a common code before `first`.
         """
         todo = [(self.root, 0)]
         while todo:
-            (lo, hi, segment, depth, longest, smallest, largest_tail, ends, children), overlap = todo.pop()
+            (lo, hi, segment, depth, longest, smallest, most_late, all_whole, ends, children), overlap = todo.pop()
             rows = self.order[lo:hi]
             if (label[rows] == own).all():
                 continue
-            overlap += int(held[segment].sum())
-            if (overlap + min(longest - depth, length - overlap) + max(tail, largest_tail)) * (100 + self.t) < self.t * (n + smallest):
+            common = held[segment]
+            if first and common[: int(segment.searchsorted(first))].any():
+                continue
+            overlap += int(common.sum())
+            unseen = 0 if whole and all_whole else min(late, most_late)
+            if (overlap + min(longest - depth, length - overlap) + unseen) * (100 + self.t) < self.t * (n + smallest):
                 continue
             for i in rows[:ends].tolist():
-                if label[i] != own and (overlap + max(tail, int(self.tails[i]))) * (100 + self.t) >= self.t * (n + int(self.sizes[i])):
-                    yield i
+                unseen = 0 if whole and self.whole[i] else min(late, int(self.late[i]))
+                if label[i] != own and (overlap + unseen) * (100 + self.t) >= self.t * (n + int(self.n[i])):
+                    yield i, overlap
             todo += [(c, overlap) for c in children]
 
 
-def common_first(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
-    """Sets of ranks instead of tokens (what most of them have comes first, so beginnings are shared), number of ranks."""
-    vocabulary, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(vocabulary), dtype=np.int64)
-    rank[np.lexsort((vocabulary, -counts))] = np.arange(len(vocabulary))
-    return [np.sort(s) for s in np.split(rank[which], np.cumsum([len(s) for s in sets])[:-1])], len(vocabulary)
+def ranked(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """Sets of ranks instead of codes, in the same order, and the number of ranks."""
+    vocabulary, which = np.unique(np.concatenate(sets), return_inverse=True)
+    return np.split(which, np.cumsum([len(s) for s in sets])[:-1]), len(vocabulary)
+
 
+def alike(overlap: int, a: int, b: int, percent: int) -> bool:
+    return overlap * (100 + percent) >= percent * (a + b)
 
-def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs of similar sets that join all sets reachable over such pairs: a spanning forest of the links."""
-    if len(sets) == 2:  # the most frequent group is no tree
-        overlap = np.intersect1d(*sets, assume_unique=True).size
-        return [(0, 1)] if overlap * (100 + percent) >= percent * (len(sets[0]) + len(sets[1])) else []
-    ids, size = common_first(sets)
-    n, label = np.array([len(s) for s in sets], dtype=np.int64), np.arange(len(sets))
-    trie, out, held = Trie(ids, n, np.zeros_like(n), percent), [], np.zeros(size, dtype=bool)
+
+def linked(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None, asked: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs of similar whole sets that join all sets reachable over such pairs: a spanning forest of the links."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    return forest(sets, n, n, np.ones(len(sets), dtype=bool), percent, 0, label, asked)
+
+
+def forest(
+    sets: list[np.ndarray], n: np.ndarray, early: np.ndarray, whole: np.ndarray, percent: int, slack: int = SLACK, label: np.ndarray | None = None, asked: list[np.ndarray] | None = None
+) -> list[tuple[int, int]]:
+    """Pairs that join the sets reachable over pairs which look alike by what is given of them (whole sets: are similar).
+
+    label: components known already. asked: per set the others (a mask) that it is held against, instead of all.
+    """
+    ids, size = ranked(sets)
+    late, label = n - early, np.arange(len(sets)) if label is None else label.copy()
+    trie, out, held = Trie(ids, n, late, whole, percent), [], np.zeros(size, dtype=bool)
     for own, s in enumerate(ids):
+        if asked is not None and not asked[own].any():
+            continue
+        seen = label if asked is None else np.where(asked[own], label, label[own])
         held[s] = True
-        for other in trie.similar(held, len(s), len(s), 0, label[own], label):
-            if label[other] != label[own]:
+        for other, overlap in trie.similar(held, len(s), int(n[own]), int(late[own]), bool(whole[own]), label[own], seen):
+            both = whole[own] and whole[other]
+            if label[other] != label[own] and (both or alike(overlap, int(early[own]), int(early[other]), percent - slack)):
                 out.append((own, other))
+                seen[seen == label[other]] = label[own]
                 label[label == label[other]] = label[own]
         held[s] = False
     return out
 
 
-def by_group(rows: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], list[tuple]], with_columns: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """(a, b) that `work` finds in each group of rows (a written table), which get further columns by with_columns.
+def by_group(rows: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], list[tuple]], schema: str, with_columns: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """What `work` makes of each group of two rows and more; rows (a written table with n) get further columns by with_columns.
 
-    Groups are bounded by GROUP_ROWS or BLOCK_ROWS. Many small ones share a batch, which holds about BATCH_ROWS rows.
+    Groups are bounded by their makers. Many small ones share a batch, of about BATCH_SHINGLES.
     """
-    buckets = max(1, -(-rows.count() // BATCH_ROWS))
-    dealt = with_columns(rows.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))))
+    cost = rows.agg(F.sum(F.col("n") + ROW_SHINGLES)).first()[0] or 0
+    buckets = 1 + cost // BATCH_SHINGLES
+    dealt = with_columns(rows.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))).repartition(min(buckets, MOST_PARTITIONS), "__bucket")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pair for at in pdf.groupby(keys, sort=False).indices.values() if len(at) > 1 for pair in work(pdf.iloc[at])]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        out = [found for at in pdf.groupby(keys, sort=False).indices.values() if len(at) > 1 for found in work(pdf.iloc[at])]
+        return pd.DataFrame(out, columns=names, dtype="int64")
 
-    return dealt.groupBy("__bucket").applyInPandas(each, "a long, b long")
+    return dealt.groupBy("__bucket").applyInPandas(each, schema)
 
 
 def trie_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links inside groups. members (a written table): doc_id and the columns that name a group."""
+    """(a, b): links inside groups. members (a written table): doc_id, n and the columns that name a group.
+
+    With label and partners, components known already, and the doc_ids that a row is held against, instead of all.
+    """
     shingles = Shingler(k, keep=100_000)
 
     def join(pdf: pd.DataFrame) -> list[tuple]:
-        ids = pdf["doc_id"].to_numpy()
-        return [(ids[i], ids[j]) for i, j in linked([shingles(t) for t in pdf["text"]], percent)]
+        ids, label, asked = pdf["doc_id"].to_numpy(), None, None
+        if "partners" in pdf:
+            label, asked = pdf["label"].to_numpy(), [np.isin(ids, p) for p in pdf["partners"]]
+        return [(ids[i], ids[j]) for i, j in linked([shingles(t) for t in pdf["text"]], percent, label, asked)]
 
-    return by_group(members, [c for c in members.columns if c != "doc_id"], join, lambda df: _texts(docs, df))
+    def texts(rows: DataFrame) -> DataFrame:
+        named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        wanted = saved(members.select("doc_id").distinct())
+        return rows.join(lookup(named, wanted, "doc_id", "left_semi").hint("shuffle_merge"), "doc_id")
+
+    return by_group(members, [c for c in members.columns if c not in ("doc_id", "n", "label", "partners")], join, "a long, b long", texts)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id reachable, for every id in links (a, b), a written table."""
-    edges = links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct()
-    edges = saved(edges)
-    labels = saved(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")))
+    """(doc_id, label): the smallest id reachable, for every id in links (a, b), a written table.
+
+    In each round an id takes the least label among its own, its neighbours' and that of the id its label names.
+    """
+    ends = links.select("a", "b").union(links.select("b", "a"))
+    edges = saved(ends.union(ends.select("a", F.col("a").alias("b"))).distinct())
+    labels = saved(edges.groupBy("a").agg(F.min("b").alias("label")))
     while True:
-        near = edges.join(labels.hint("shuffle_merge"), F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near.hint("shuffle_merge"), F.col("id") == F.col("a")).select("id", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        lower = saved(lower)
-        jump = lower.select(F.col("id").alias("via"), F.col("label").alias("there"))
-        new = saved(lower.join(jump.hint("shuffle_merge"), F.col("label") == F.col("via")).select("id", F.least("label", "there").alias("label"), "was"))
-        changed = not new.filter(F.col("label") < F.col("was")).isEmpty()
-        labels = new.select("id", "label")
-        if not changed:
-            return labels
-
-
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """ids with the texts of their doc_id; large partitions of either side are split."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return ids.join(named.hint("shuffle_merge"), "doc_id")
-
-
-def _group_members(shared: DataFrame) -> DataFrame:
-    """group, part, doc_id: each class with the class that it shares most prefix shingles with."""
-    rows = shared.select("doc_id", F.explode("shared").alias("token"))
-    heads = rows.groupBy("token").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("many")).filter("many > 1").drop("many")
-    votes = rows.join(heads.hint("shuffle_merge"), "token").filter("head <> doc_id").groupBy("doc_id", "head").agg(F.count(F.lit(1)).alias("votes"))
-    best = saved(votes.groupBy("doc_id").agg(F.max(F.struct("votes", (-F.col("head")).alias("minus"))).alias("x")).select("doc_id", (-F.col("x.minus")).alias("head")))
-    parts = best.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(GROUP_ROWS))).cast("int").alias("parts"))
-    members = best.join(parts.hint("shuffle_merge"), "head").select("head", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), "doc_id")
-    return members.unionByName(parts.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("head").alias("doc_id")))
-
-
-def _open_shingles(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """token, doc_id, label: prefix shingles that classes of different components share."""
-    rows = shared.select("doc_id", F.explode("shared").alias("token"))
-    rows = rows.join(labels.hint("shuffle_merge"), F.col("doc_id") == F.col("id"), "left").select("token", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    spread = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-    return rows.join(spread.hint("shuffle_merge"), "token", "left_semi")
-
-
-def _open_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b), once each: classes of different components whose ordered beginnings do not rule a link out.
-
-    Among the classes that share a shingle, those of the most frequent component need no look at each other. The others
-    are queries against all: blocks of queries meet blocks of all, so a group of any size is dealt out.
+        seen = edges.union(labels.select("a", F.col("label").alias("b")))
+        new = seen.join(labels.select(F.col("a").alias("b"), "label").hint("shuffle_merge"), "b").groupBy("a").agg(F.min("label").alias("label"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("was"))
+        new = saved(new)
+        released(labels)
+        labels = new
+        if new.filter(F.col("label") < F.col("was")).isEmpty():
+            released(edges)
+            return new.select(F.col("a").alias("doc_id"), "label")
+
+
+def _parts(members: DataFrame, key: str) -> DataFrame:
+    """key, parts as a written table: the groups of members (key, doc_id, n) that are to be split, by rows and shingles."""
+    want = F.greatest(F.count(F.lit(1)) / F.lit(float(GROUP_ROWS)), F.sum("n") / F.lit(float(GROUP_SHINGLES)))
+    return saved(members.groupBy(key).agg(F.ceil(want).cast("int").alias("parts")).filter("parts > 1"))
+
+
+def _part(doc: str) -> Column:
+    return F.pmod(F.xxhash64(doc), F.coalesce("parts", F.lit(1))).cast("int")
+
+
+def postings(shared: DataFrame) -> DataFrame:
+    """token, doc_id, head, weight as a written table: the prefix codes that several classes have, one for all that the same classes have."""
+    rows = saved(shared.select(F.explode("shared").alias("token"), "doc_id"))
+    mark = lambda *salt: F.bit_xor(F.xxhash64("doc_id", *salt))
+    facts = rows.groupBy("token").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("many"), mark().alias("x"), mark(F.lit(1)).alias("y")).filter("many > 1")
+    lists = saved(facts.groupBy("head", "many", "x", "y").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight")).select("token", "head", "weight"))
+    out = saved(lookup(rows, lists, "token"))
+    released(rows, lists)
+    return out
+
+
+def _group_members(posted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """head, part, doc_id, n as a written table: each class with the class that it shares most prefix shingles with, which is in every part."""
+    votes = posted.filter("head <> doc_id").groupBy("doc_id", "head").agg(F.sum("weight").alias("votes"))
+    best = votes.groupBy("doc_id").agg(F.max_by(-F.col("head"), F.struct("votes", -F.col("head"))).alias("minus")).select((-F.col("minus")).alias("head"), "doc_id")
+    named = saved(best.join(sizes.hint("shuffle_merge"), "doc_id").select("head", "doc_id", "n"))
+    many = _parts(named, "head")
+    members = lookup(named, many, "head", "left").select("head", _part("doc_id").alias("part"), "doc_id", "n")
+    heads = members.select("head", "part", F.col("head").alias("doc_id")).distinct().join(sizes.hint("shuffle_merge"), "doc_id")
+    out = saved(members.unionByName(heads.select("head", "part", "doc_id", "n")))
+    released(named, many)
+    return out
+
+
+def _columns(pdf: pd.DataFrame) -> tuple:
+    return tuple(pdf[c].to_numpy() for c in ("doc_id", "n", "early", "whole")) + ([np.asarray(x, dtype=np.int64) for x in pdf["met"]],)
+
+
+def trees(members: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """head, part, root, doc_id, n: the classes of a group that look alike, with the one that stands for them."""
+
+    def grow(pdf: pd.DataFrame) -> list[tuple]:
+        ids, n, early, whole, sets = _columns(pdf)
+        root = np.arange(len(ids))
+        for a, b in forest(sets, n, early, whole, percent):
+            root[root == root[b]] = root[a]
+        head, part = pdf["head"].iloc[0], pdf["part"].iloc[0]
+        size = np.bincount(root, minlength=len(ids))
+        return [(head, part, ids[r], ids[i], n[i]) for i, r in enumerate(root.tolist()) if size[r] > 1]
+
+    known = shared.select("doc_id", "early", "whole", "met").hint("shuffle_merge")
+    return by_group(members, ["head", "part"], grow, "head long, part long, root long, doc_id long, n long", lambda df: df.join(known, "doc_id"))
+
+
+def _labelled(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """token, doc_id, label: the postings that classes of different components share, as a written table."""
+    rows = saved(posted.select("token", "doc_id").join(labels.hint("shuffle_merge"), "doc_id", "left").select("token", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    spread = saved(rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token"))
+    out = saved(lookup(rows, spread, "token", "left_semi"))
+    released(rows, spread)
+    return out
+
+
+def _blocks(rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """token, band, i, j, query, base, doc_id, label, n as a written table: where the classes that share a code meet.
+
+    Queries are the classes outside the code's most frequent component. Up to BLOCK_ROWS classes meet in one block. More
+    are told apart by size: a query goes to its own band of sizes and both neighbours, as others can't be similar; in each
+    band blocks of queries meet blocks of all.
     """
-    rows = _open_shingles(shared, labels)
-    counts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
-    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK_ROWS))).cast("int")
-    sizes = sizes.select("token", F.col("top.label").alias("main"), blocks(F.col("n") - F.col("top.n")).alias("q_blocks"), blocks(F.col("n")).alias("x_blocks"))
-    rows = rows.join(sizes.hint("shuffle_merge"), "token")
+    counts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    facts = saved(counts.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("many")))
+    rows = lookup(rows, facts, "token").withColumn("query", F.col("label") != F.col("main"))
+    rows = saved(rows.join(shared.select("doc_id", "n").hint("shuffle_merge"), "doc_id").select("token", "many", "query", "doc_id", "label", "n"))
+    columns = ["token", "band", "i", "j", "query", "base", "doc_id", "label", "n"]
+    zero, yes, no = F.lit(0), F.lit(True), F.lit(False)
+    few = rows.filter(F.col("many") <= BLOCK_ROWS).withColumns({"band": F.lit(-9), "i": zero, "j": zero, "base": yes}).select(columns)
+    large = rows.filter(F.col("many") > BLOCK_ROWS)
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int")
+    queries = large.filter("query").withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    every = large.withColumn("band", band)
+    blocks = lambda df, name: df.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_ROWS))).cast("int").alias(name))
+    sides = saved(blocks(queries, "q").join(blocks(every, "x").hint("shuffle_merge"), ["token", "band"]))
     mine = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    queries = rows.filter("label <> main").select("token", mine(F.col("q_blocks")).alias("i"), every(F.col("x_blocks")).alias("j"), F.lit(True).alias("query"), "doc_id", "label")
-    others = rows.select("token", every(F.col("q_blocks")).alias("i"), mine(F.col("x_blocks")).alias("j"), F.lit(False).alias("query"), "doc_id", "label")
-    beginnings = shared.select("doc_id", "n", "beginning", "tail").hint("shuffle_merge")
+    each = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    asked = lookup(queries, sides, ["token", "band"]).withColumns({"i": mine(F.col("q")), "base": no}).withColumn("j", each("x")).select(columns)
+    there = lookup(every.withColumn("query", no), sides, ["token", "band"]).withColumns({"j": mine(F.col("x")), "base": yes}).withColumn("i", each("q")).select(columns)
+    out = saved(few.unionByName(asked).unionByName(there))
+    released(facts, rows, sides)
+    return out
+
+
+def _open_pairs(rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """a, b as a written table, each pair once: classes of different components that may be similar by all that is counted.
+
+    A pair is found under the first of the codes that both have.
+    """
 
     def meet(pdf: pd.DataFrame) -> list[tuple]:
-        query = pdf["query"].to_numpy()
-        if not query.any() or query.all():
+        query, base = pdf["query"].to_numpy(), np.flatnonzero(pdf["base"].to_numpy())
+        if not query.any() or not len(base):
             return []
-        ids, labels, n, tails = (pdf[c].to_numpy() for c in ("doc_id", "label", "n", "tail"))
-        sets, size = common_first([np.asarray(x, dtype=np.int64) for x in pdf["beginning"]])
-        base = np.flatnonzero(~query)
-        trie, held = Trie([sets[i] for i in base], n[base], tails[base], percent), np.zeros(size, dtype=bool)
-        out = set()
+        ids, n, early, whole, sets = _columns(pdf)
+        label, late = pdf["label"].to_numpy(), n - early
+        first = int(np.unique(np.concatenate(sets)).searchsorted(pdf["token"].iloc[0]))
+        sets, size = ranked(sets)
+        trie, held = Trie([sets[i] for i in base], n[base], late[base], whole[base], percent), np.zeros(size, dtype=bool)
+        out = []
         for q in np.flatnonzero(query):
             held[sets[q]] = True
-            out.update((min(ids[q], ids[base[x]]), max(ids[q], ids[base[x]])) for x in trie.similar(held, len(sets[q]), int(n[q]), int(tails[q]), labels[q], labels[base]))
+            found = [ids[base[x]] for x, _ in trie.similar(held, len(sets[q]), int(n[q]), int(late[q]), bool(whole[q]), label[q], label[base], first)]
+            out += [(min(ids[q], x), max(ids[q], x)) for x in found]
             held[sets[q]] = False
-        return sorted(out)
+        return out
+
+    known = shared.select("doc_id", "early", "whole", "met").hint("shuffle_merge")
+    dealt = _blocks(rows, shared, percent)
+    found = by_group(dealt, ["token", "band", "i", "j"], meet, "a long, b long", lambda df: df.join(known, "doc_id"))
+    out = saved(found.dropDuplicates(["a", "b"]))
+    released(dealt)
+    return out
 
-    return by_group(saved(queries.unionByName(others)), ["token", "i", "j"], meet, lambda df: df.join(beginnings, "doc_id")).distinct()
+
+def _settled(pairs: DataFrame, labels: DataFrame, docs: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links among pairs (a written table), as a written table.
+
+    Pairs that hang together meet in one group, so that a text is read once for many of them. A large group is split by both
+    sides of its pairs. In a group a class meets the partners that it is asked for.
+    """
+    clusters = components(pairs).withColumnRenamed("label", "cluster")
+    known = saved(clusters.join(sizes.hint("shuffle_merge"), "doc_id").join(labels.hint("shuffle_merge"), "doc_id", "left").select("doc_id", "n", "cluster", F.coalesce("label", "doc_id").alias("label")))
+    named = pairs.join(clusters.withColumnRenamed("doc_id", "a").hint("shuffle_merge"), "a")
+    many = _parts(known, "cluster")
+    named = saved(lookup(named, many, "cluster", "left").select("cluster", _part("a").alias("i"), _part("b").alias("j"), "a", "b"))
+    rows = named.select("cluster", "i", "j", F.col("a").alias("doc_id"), F.col("b").alias("partner"))
+    rows = rows.unionByName(named.select("cluster", "i", "j", F.col("b").alias("doc_id"), F.lit(None).cast("long").alias("partner")))
+    rows = rows.groupBy("cluster", "i", "j", "doc_id").agg(F.collect_list("partner").alias("partners"))
+    rows = saved(rows.join(known.select("doc_id", "n", "label").hint("shuffle_merge"), "doc_id"))
+    out = saved(trie_links(rows, docs, k, percent))
+    released(known, many, named, rows)
+    return out
 
 
 def similar_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    spark = docs.sparkSession
     sketch = saved(sketches(docs, k, percent))
     rows = saved(sketch.select("doc_id", "n", "print"))
-    alive = sketch.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    prints = saved(alive.groupBy("print").agg(F.min("doc_id").alias("first")))
-    classes = alive.join(prints.select(F.col("first").alias("doc_id")).distinct().hint("shuffle_merge"), "doc_id", "left_semi")
-    shared = saved(ordered_prefixes(classes.select("doc_id", "n", "tokens"), percent, counted_span(percent)))
-    del alive, classes
-    released(spark, sketch)
-    links = saved(trie_links(saved(_group_members(shared)), docs, k, percent))
+    alive = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    prints = saved(rows.filter(alive).groupBy("print").agg(F.min("doc_id").alias("doc_id")))
+    copies = saved(rows.filter(alive).select("doc_id").distinct().join(prints.select("doc_id").distinct().hint("shuffle_merge"), "doc_id", "left_anti"))
+    classes = lookup(sketch.filter(alive), copies, "doc_id", "left_anti").select("doc_id", "n", "early", "tokens")
+    shared = shared_codes(classes, percent)
+    released(sketch, copies)
+
+    sizes = shared.select("doc_id", "n")
+    posted = postings(shared)
+    members = _group_members(posted, sizes)
+    grown = saved(trees(members, shared, percent))
+    links = saved(trie_links(grown, docs, k, percent))
+    released(members, grown)
     labels = components(links)
-    released(spark)
 
-    unsettled = saved(_open_shingles(shared, labels).select("doc_id").distinct())
-    if not unsettled.isEmpty():
-        links = links.unionByName(_later_links(docs, unsettled, labels, k, percent))
+    rest = _labelled(posted, labels)
+    released(posted)
+    if not rest.isEmpty():
+        pairs = _open_pairs(rest, shared, percent)
+        links = links.unionByName(_settled(pairs, labels, docs, sizes, k, percent))
         labels = components(links)
-    member = prints.join(labels.hint("shuffle_merge"), F.col("first") == F.col("id"), "left").select(F.col("print").alias("p"), F.coalesce("label", "first").alias("component"))
-    joined = rows.select("doc_id", "n", "print").join(member.hint("shuffle_merge"), F.col("print") == F.col("p"), "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-
-
-def _later_links(docs: DataFrame, ids: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components that the classes `ids` still may have, as a written table."""
-    whole = saved(sketches(_texts(docs, ids), k, percent, whole=True).select("doc_id", "n", "tokens"))
-    released(docs.sparkSession)
-    shared = saved(ordered_prefixes(whole, percent, SPAN))
-    released(docs.sparkSession, whole)
-    pairs = saved(_open_pairs(shared, labels, percent))
-    each = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    return saved(trie_links(saved(each), docs, k, percent))
+        released(pairs)
+    released(shared, rest)
+    labels = labels.withColumnRenamed("doc_id", "first")
+    member = saved(prints.withColumnRenamed("doc_id", "first").join(labels.hint("shuffle_merge"), "first", "left").select("print", F.coalesce("label", "first").alias("component")))
+    found = lookup(rows, member, "print", "left")
+    component = F.when(alive, F.col("component")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Rows of docs, but of each component only those of its smallest doc_id."""
     found = similar_groups(docs.select("doc_id", "text"), k, percent)
-    gone = found.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone.hint("shuffle_merge"), F.col("doc_id") == F.col("__id"), "left_anti")
+    own = f"id_{uuid.uuid4().hex}"
+    gone = saved(found.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(own)).distinct())
+    return lookup(docs.withColumn(own, F.col("doc_id").cast("long")), gone, own, "left_anti").drop(own)
