@@ -2,20 +2,26 @@
 
 A line's key is the line without ASCII white space at its ends and with A-Z in lower case. `LineIndex` keeps, in the
 shared folder, one exact row per (key, document) and per shard of keys one row per key (number of documents, largest
-document) beside a cuckoo filter of the shard's keys. An insertion asks the filter first: a key it doesn't know is new
-and needs no look at the exact rows; one it may know is settled by them. A deletion lowers the counts by the exact rows
-and takes keys nobody holds out of the filter, so that inserting and deleting a document leaves the index as it was.
+document) beside a cuckoo filter of the shard's keys. An insertion asks the filters first: a key they don't know is new,
+and only those they may know are looked up among the exact rows. A deletion lowers the counts by the exact rows and takes
+keys nobody holds out of the filter, so that inserting and deleting a document leaves the index as it was. Shards are
+dealt anew when insertions have made them twice as large as wanted.
+
+To drop lines, cuckoo filters of the keys that enough documents hold are asked for every (key, document); what they pass
+is settled by the exact counts, and texts stay where they are as long as what they lose is few enough to be broadcast.
 
 Shards hold keys, already counted per key before they are gathered, so that a line in a third of all documents is one
 row like any other.
 
 Nulls: a null or empty text is one empty line, whose key is too short to count. Rows without doc_id hold no keys and
 lose no lines. Rows that repeat a doc_id are one document that holds the lines of all of them. Lines tie on nothing: the
-largest doc_id is unique. An empty table gives no rows; columns beside doc_id and text pass through `apply` unchanged.
+largest doc_id is unique. Very long texts are split whole; one such row is a batch of its own. An empty table gives no
+rows. Columns beside doc_id and text pass through `apply` unchanged, but for n_lines and n_dropped, which it sets.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from respira.llm.common import chunks, saved
+from respira.llm.common import LOOKUP_ROWS, chunks, lookup, saved
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 SHARD_KEYS = 100_000
+#: Filters of common keys are given to every task up to this many keys (2.4 bytes each); beyond it all go to the exact counts.
+FILTER_KEYS = 20_000_000
 SPACE = " \t\n\x0b\x0c\r"
 STATE = "shard int, key binary, n_docs long, keep long, cuckoo binary"
 
@@ -65,6 +73,15 @@ class CuckooFilter:
         s = self.slots
         return mark in s[4 * a : 4 * a + 4] or mark in s[4 * b : 4 * b + 4]
 
+    def knows(self, keys: list[bytes]) -> np.ndarray:
+        """Of each key, whether it may have been inserted."""
+        parts = np.frombuffer(b"".join(keys), dtype="<u2").reshape(len(keys), 8).astype(np.int64)
+        mark = np.maximum(parts[:, 0], 1)
+        a = (parts[:, 1] | parts[:, 2] << 16 | parts[:, 3] << 32) & self.mask
+        b = (a ^ (mark * 0x5BD1E995)) & self.mask
+        table = np.array(self.slots, dtype=np.int64).reshape(-1, self.SLOTS)
+        return ((table[a] == mark[:, None]) | (table[b] == mark[:, None])).any(axis=1)
+
     def _put(self, bucket: int, mark: int) -> bool:
         s = self.slots
         for i in range(4 * bucket, 4 * bucket + 4):
@@ -126,7 +143,7 @@ def line_refs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, doc_id), once each, for every line that counts."""
 
     def refs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in chunks(batches):
             keys: list[bytes] = []
             ids: list[int] = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -139,9 +156,13 @@ def line_refs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return held.mapInPandas(refs, "key binary, doc_id long").dropDuplicates(["key", "doc_id"])
 
 
+def _shard(shards: int):
+    return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+
+
 def _counted(refs: DataFrame, shards: int) -> DataFrame:
     counts = refs.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keep"))
-    return counts.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "n_docs", "keep")
+    return counts.select(_shard(shards).alias("shard"), "key", "n_docs", "keep")
 
 
 def _shard_rows(shard: int, rows: dict[bytes, tuple[int, int]], cuckoo: CuckooFilter) -> pd.DataFrame:
@@ -153,15 +174,15 @@ def _shard_rows(shard: int, rows: dict[bytes, tuple[int, int]], cuckoo: CuckooFi
 class LineIndex:
     """refs: (key, doc_id). state: STATE, a row per key, and per shard one with the filter and no key."""
 
-    def __init__(self, refs: DataFrame, state: DataFrame, shards: int, min_chars: int):
-        self.refs, self.state, self.shards, self.min_chars = refs, state, shards, min_chars
+    def __init__(self, refs: DataFrame, state: DataFrame, shards: int, min_chars: int, shard_keys: int = SHARD_KEYS):
+        self.refs, self.state, self.shards, self.min_chars, self.shard_keys = refs, state, shards, min_chars, shard_keys
 
     @classmethod
     def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> LineIndex:
         refs = saved(line_refs(docs, min_chars))
         shards = max(1, -(-refs.count() // shard_keys))
         empty = docs.sparkSession.createDataFrame([], STATE)
-        return cls(refs, cls._merged(empty, _counted(refs, shards), False), shards, min_chars)
+        return cls(refs, cls._merged(empty, _counted(refs, shards), False), shards, min_chars, shard_keys)
 
     @staticmethod
     def _merged(state: DataFrame, changes: DataFrame, final: bool) -> DataFrame:
@@ -189,11 +210,30 @@ class LineIndex:
 
         return saved(state.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(merge, STATE))
 
+    def asked(self, refs: DataFrame) -> DataFrame:
+        """refs with seen: whether the filter of a key's shard may know the key."""
+
+        def ask(key: tuple, filters: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            seen = CuckooFilter(table=bytes(filters["cuckoo"].iloc[0])).knows(list(map(bytes, asked["key"]))) if len(filters) and len(asked) else np.zeros(len(asked), dtype=bool)
+            return asked[["key", "doc_id"]].assign(seen=seen)
+
+        filters = self.state.filter(F.col("key").isNull()).select("shard", "cuckoo")
+        salted = refs.withColumn("shard", _shard(self.shards))
+        return filters.groupBy("shard").cogroup(salted.groupBy("shard")).applyInPandas(ask, "key binary, doc_id long, seen boolean")
+
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with more documents; ids it already has only add lines they did not hold."""
-        new = saved(line_refs(docs, self.min_chars).join(self.refs, ["key", "doc_id"], "left_anti"))
+        asked = saved(self.asked(line_refs(docs, self.min_chars)))
+        known = asked.filter("seen").select("key", "doc_id").join(self.refs, ["key", "doc_id"], "left_anti")
+        new = saved(asked.filter("not seen").select("key", "doc_id").unionByName(known))
         refs = saved(self.refs.unionByName(new))
-        return LineIndex(refs, self._merged(self.state, _counted(new, self.shards), False), self.shards, self.min_chars)
+        grown = LineIndex(refs, self._merged(self.state, _counted(new, self.shards), False), self.shards, self.min_chars, self.shard_keys)
+        keys = grown.counts().count()
+        if keys > 2 * self.shards * self.shard_keys:
+            shards = -(-keys // self.shard_keys)
+            dealt = grown.counts().select(_shard(shards).alias("shard"), "key", "n_docs", "keep")
+            grown = LineIndex(refs, self._merged(grown.state.limit(0), dealt, False), shards, self.min_chars, self.shard_keys)
+        return grown
 
     def delete(self, docs: DataFrame) -> LineIndex:
         """The index as if it had never seen these doc_ids (their texts are not needed)."""
@@ -202,43 +242,67 @@ class LineIndex:
         refs = saved(self.refs.join(ids, "doc_id", "left_anti").select("key", "doc_id"))
         left = refs.join(gone, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep"))
         changes = gone.join(left, "key", "left").select(
-            F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"), "key", F.coalesce("n", F.lit(0)).alias("n_docs"), F.coalesce("keep", F.lit(0)).alias("keep")
+            _shard(self.shards).alias("shard"), "key", F.coalesce("n", F.lit(0)).alias("n_docs"), F.coalesce("keep", F.lit(0)).alias("keep")
         )
-        return LineIndex(refs, self._merged(self.state, changes, True), self.shards, self.min_chars)
+        return LineIndex(refs, self._merged(self.state, changes, True), self.shards, self.min_chars, self.shard_keys)
 
     def counts(self) -> DataFrame:
         return self.state.filter(F.col("key").isNotNull()).select("key", "n_docs", "keep")
 
+    def common(self, min_docs: int = MIN_DOCS) -> DataFrame:
+        """shard, key, keep of the keys that at least min_docs documents hold, as a written table."""
+        return saved(self.state.filter(F.col("key").isNotNull() & (F.col("n_docs") >= min_docs)).select("shard", "key", "keep"))
+
+    def hits(self, common: DataFrame) -> DataFrame:
+        """(key, doc_id) of the keys that cuckoo filters of `common`, one per shard, pass: all that are common, and hardly any else."""
+        if common.limit(FILTER_KEYS + 1).count() > FILTER_KEYS:
+            return self.refs
+        build = lambda pdf: pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "cuckoo": [CuckooFilter.of(list(map(bytes, pdf["key"]))).tobytes()]})
+        filters = {r["shard"]: bytes(r["cuckoo"]) for r in common.groupBy("shard").applyInPandas(build, "shard int, cuckoo binary").collect()}
+
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tables = {shard: CuckooFilter(table=t) for shard, t in filters.items()}
+            for pdf in batches:
+                keys, passed = list(map(bytes, pdf["key"])), np.zeros(len(pdf), dtype=bool)
+                for shard, at in pdf.groupby("shard").indices.items():
+                    if shard in tables:
+                        passed[at] = tables[shard].knows([keys[i] for i in at])
+                yield pdf.loc[passed, ["key", "doc_id"]]
+
+        return self.refs.withColumn("shard", _shard(self.shards)).mapInPandas(ask, "key binary, doc_id long")
+
     def losses(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """(doc_id, keys): the keys whose lines a document loses."""
-        common = self.counts().filter(F.col("n_docs") >= min_docs)
-        lost = self.refs.join(common, "key").filter(F.col("doc_id") != F.col("keep"))
-        return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+        """(doc_id, keys) as a written table: the keys whose lines a document loses."""
+        common = self.common(min_docs)
+        lost = lookup(self.hits(common), common.select("key", "keep"), "key").filter(F.col("doc_id") != F.col("keep"))
+        return saved(lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys")))
 
     def apply(self, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         """docs with the lines they lose taken out of text, and n_lines (before), n_dropped."""
-        min_chars = self.min_chars
-        marked = docs.join(self.losses(min_docs).withColumnsRenamed({"doc_id": "__lost_id", "keys": "__keys"}), F.col("doc_id") == F.col("__lost_id"), "left").drop("__lost_id")
+        min_chars, own, lost = self.min_chars, f"id_{uuid.uuid4().hex}", f"keys_{uuid.uuid4().hex}"
+        plain = docs.drop("n_lines", "n_dropped")
+        losses = self.losses(min_docs).withColumnsRenamed({"doc_id": own, "keys": lost})
+        few = (losses.agg(F.sum(F.size(lost))).first()[0] or 0) <= LOOKUP_ROWS
+        marked = plain.withColumn(own, F.col("doc_id").cast("long")).join(F.broadcast(losses) if few else losses.hint("shuffle_merge"), own, "left").drop(own)
 
         def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in chunks(batches):
                 texts, before, dropped = [], [], []
-                for text, keys in zip(pdf["text"], pdf.pop("__keys"), strict=True):
+                for text, keys in zip(pdf["text"], pdf.pop(lost), strict=True):
                     lines = (text or "").split("\n")
                     before.append(len(lines))
                     if keys is None or not len(keys):
                         texts.append(text)
                         dropped.append(0)
                         continue
-                    lost = set(map(bytes, keys))
-                    stay = [line for line, k in zip(lines, line_keys(text, min_chars), strict=True) if k not in lost]
+                    gone = set(map(bytes, keys))
+                    stay = [line for line, k in zip(lines, line_keys(text, min_chars), strict=True) if k not in gone]
                     texts.append("\n".join(stay))
                     dropped.append(len(lines) - len(stay))
                 yield pdf.assign(text=texts, n_lines=np.array(before, np.int64), n_dropped=np.array(dropped, np.int64))
 
-        plain = marked.drop("n_lines", "n_dropped")
         counts = [StructField("n_lines", LongType()), StructField("n_dropped", LongType())]
-        return plain.mapInPandas(drop, StructType([f for f in plain.schema.fields if f.name != "__keys"] + counts))
+        return marked.mapInPandas(drop, StructType([*plain.schema.fields, *counts]))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
