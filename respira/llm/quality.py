@@ -1,20 +1,26 @@
-"""Co-training of two quality classifiers: one sees the words of a text, the other only the page's metadata.
+"""Co-training of two quality classifiers: one sees the text, the other only the page's metadata.
 
-Both views start from the labelled rows. In each round each classifier labels the unlabelled rows it is sure of, and
-those become training rows of the other one: confidence flows between views, never back into the view it came from.
-Each view's scores are then calibrated by isotonic regression on labelled rows left out of its training, and a last
-logistic step combines the two calibrated views. All documents are scored.
+The content view has words and layout of a text; the metadata view has what is known without reading it: language tag,
+size as stated, source, and how many documents and of what size the source has (counted over all documents). Both start
+from the labelled rows. In each round each classifier labels the unlabelled rows it is sure of, and those become training
+rows of the other one: confidence flows between views, never back into the view it came from. Each view's scores are then
+calibrated by isotonic regression on labelled rows left out of its training, and a last logistic step, fitted on such rows
+too, combines the two calibrated views. All documents are scored.
 
-Fitting takes at most `fit_rows` labelled and as many unlabelled rows, the lowest by a hash of doc_id; this bound holds
-whatever the corpus size, and everything else covers all rows.
+Fitting takes at most `fit_rows` labelled and as many unlabelled documents, the lowest by a hash of doc_id; this bound
+holds whatever the corpus size, and everything else covers all rows.
 
-Nulls: a null text is empty; null metadata is a value of its own. Repeated rows are scored alike. Where there are no
+Nulls: a null text is empty; null metadata, or a column that is not there, is a value of its own. Very long texts are
+read whole, one at a time. Repeated rows are scored alike; where rows that differ repeat a labelled doc_id, the one with
+the lowest features is learned from. Ties in confidence go to the row that comes first by doc_id. Where there are no
 labelled rows, or of one label only, every score is that label's share (0.5 without any). An empty table gives no rows.
-Other columns pass through `score_documents` unchanged.
+keep_good gives all columns of its rows back, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respira.llm.common import chunks, lowest, saved
+from respira.llm.common import chunks, lookup, lowest, saved
 from respira.llm.models import Isotonic, Logistic
 from respira.llm.rules import base_counts
 
@@ -31,51 +37,66 @@ ROUNDS = 4
 SURE = 0.95
 PER_ROUND = 0.1
 LANGS = ("en", "de", "fr", "es")
-CONTENT = 14
-METADATA = 9 + len(LANGS)
+CONTENT = 19
+#: A source is one of so many features, by a hash of its name.
+SOURCES = 16
+METADATA = 7 + len(LANGS) + SOURCES
 
 
 def content_features(text: str | None) -> list[float]:
-    """The words of a text: how long, how varied, how repeated, how much of them is symbols, digits or capitals."""
+    """How long, varied and repeated the words of a text are, how much of them is symbols, digits or capitals, how lines lie."""
     n, chars, symbols, dup, repeated = base_counts(text)
     if not n:
         return [0.0] * CONTENT
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    distinct = len(set(words))
+    words, lines = raw.split(), raw.split(b"\n")
+    distinct, longest = len(set(words)), max(map(len, lines))
     share = lambda drop: (len(raw) - len(raw.translate(None, drop))) / len(raw)
     short = sum(len(w) <= 3 for w in words)
     return [
-        np.log1p(n), chars / n, symbols / n, raw.count(b"|") / n, repeated / n, dup / (raw.count(b"\n") + 1.0), distinct / n,
-        share(b"0123456789"), share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b".!?"), share(b",;:"), share(b"@/\\_=+~^"), short / n, float(n < 50),
+        np.log1p(n), chars / n, symbols / n, raw.count(b"|") / n, repeated / n, dup / len(lines), distinct / n, share(b"0123456789"), share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b".!?"), share(b",;:"), share(b"@/\\_=+~^"), short / n, float(n < 50),
+        np.log1p(len(lines)), np.log1p(len(raw) / len(lines)), np.log1p(longest), float(words[-1][-1:] in (b".", b"!", b"?")), len(raw) / len(text),
     ]
 
 
-def metadata_features(text: str | None, lang: str | None, n_chars: float | None) -> list[float]:
-    """What a crawler knows of a page without reading it: sizes, line layout, language tag."""
-    text = text or ""
-    lines = text.count("\n") + 1
-    size = float(n_chars) if n_chars is not None and n_chars == n_chars else float(len(text))
-    longest = max(map(len, text.split("\n")))
-    ends = text.rstrip()[-1:] in (".", "!", "?", ",")
-    wide = len(text.encode("utf-8", "surrogatepass")) / max(1, len(text))
+def metadata_features(lang: str | None, source: str | None, n_chars: float | None, docs: float | None, mean_chars: float | None) -> list[float]:
+    """What is known of a document without its text; docs and mean_chars are of its source."""
+    known = lambda x: x is not None and x == x
+    size, typical = (np.log1p(max(0.0, float(x))) if known(x) else 0.0 for x in (n_chars, mean_chars))
+    place = zlib.crc32(source.encode("utf-8", "surrogatepass")) % SOURCES if isinstance(source, str) else -1
     return [
-        np.log1p(size), float(size < 300), float(size < 100), np.log1p(lines), np.log1p(size / lines), np.log1p(longest), longest / max(1.0, size), float(ends), wide,
-        *(float(lang == x) for x in LANGS),
+        size, size * size, float(known(n_chars) and n_chars < 300), float(known(n_chars)), np.log1p(docs) if known(docs) else 0.0, typical, size - typical,
+        *(float(lang == x) for x in LANGS), *(float(place == i) for i in range(SOURCES)),
     ]
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """doc_id, content and metadata features of every row."""
+def hosts(docs: DataFrame) -> DataFrame:
+    """source, docs, mean_chars of every source but null, over all documents, as a written table."""
+    source, n_chars = _column(docs, "source", "string"), _column(docs, "n_chars", "double")
+    rows = docs.select(source.alias("source"), n_chars.alias("n_chars")).filter("source is not null")
+    return saved(rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.avg("n_chars").alias("mean_chars")))
+
+
+def _column(docs: DataFrame, name: str, kind: str):
+    return (F.col(name) if name in docs.columns else F.lit(None)).cast(kind)
+
+
+VIEWS = ("text", "lang", "source", "n_chars", "docs", "mean_chars")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in chunks(batches):
-            content = [content_features(t) for t in pdf["text"]]
-            meta = [metadata_features(*x) for x in zip(pdf["text"], pdf["lang"], pdf["n_chars"], strict=True)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "content": content, "metadata": meta})
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("double").alias("n_chars"))
-    return picked.mapInPandas(rows, "doc_id long, content array<double>, metadata array<double>")
+def _viewed(docs: DataFrame, of_source: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with what the views are made of in further columns, under new names: text, lang, source, n_chars, docs, mean_chars."""
+    names = [f"{c}_{uuid.uuid4().hex}" for c in VIEWS]
+    kinds = ("string", "string", "string", "double")
+    rows = docs.withColumns({n: _column(docs, c, k) for n, c, k in zip(names[:4], VIEWS, kinds, strict=False)})
+    return lookup(rows, of_source.select(F.col("source").alias(names[2]), F.col("docs").alias(names[4]), F.col("mean_chars").alias(names[5])), names[2], "left").select(*docs.columns, *names), names
+
+
+def _features(pdf: pd.DataFrame, names: list[str]) -> list[np.ndarray]:
+    """The content and the metadata view of a batch."""
+    content = [content_features(t) for t in pdf[names[0]]]
+    meta = [metadata_features(*x) for x in zip(*(pdf[n] for n in names[1:]), strict=True)]
+    return [np.array(content, dtype=float).reshape(len(pdf), CONTENT), np.array(meta, dtype=float).reshape(len(pdf), METADATA)]
 
 
 class CoTrained:
@@ -98,26 +119,35 @@ class CoTrained:
             self.models = [Logistic().fit(x, t) for x, t in train]
             if not left.any():
                 break
-            given = [self._sure(m.predict(f), left) for m, f in zip(self.models, free, strict=True)]
+            given = [self._sure(m.predict(f), left, float(y[~held].mean())) for m, f in zip(self.models, free, strict=True)]
             for k, (rows, labels) in enumerate(given):
                 x, t = train[1 - k]
                 train[1 - k] = (np.vstack([x, free[1 - k][rows]]), np.concatenate([t, labels]))
                 left[rows] = False
         self.models = [Logistic().fit(x, t) for x, t in train]
         check = held if held.any() else ~held
-        scores = [m.score(v[check]) for m, v in zip(self.models, views, strict=True)]
-        self.steps = [Isotonic().fit(s, y[check]) for s in scores]
-        self.combine = Logistic(ridge=0.1).fit(self._both([v for v in views]), y)
+        scores, y = [m.score(v[check]) for m, v in zip(self.models, views, strict=True)], y[check]
+        self.steps = [Isotonic().fit(s, y) for s in scores]
+        # each half of the rows left out is seen through steps of the other half, as new documents are
+        odd, inputs = np.arange(len(y)) % 2 == 1, np.zeros((len(y), len(views)))
+        for half in (odd, ~odd):
+            if half.any() and not half.all():
+                inputs[half] = self._both([Isotonic().fit(s[~half], y[~half]).predict(s[half]) for s in scores])
+        self.combine = Logistic(ridge=0.1).fit(inputs, y)
         return self
 
-    def _sure(self, p: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows this view is sure of, the surest first, a share of what is left at most and as many of each label as it has."""
-        sure = np.flatnonzero(left & ((p >= self.sure) | (p <= 1 - self.sure)))
-        order = sure[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")][: max(1, int(self.per_round * len(p)))]
-        return order, (p[order] >= 0.5).astype(float)
-
-    def _both(self, views: list[np.ndarray]) -> np.ndarray:
-        p = [np.clip(s.predict(m.score(v)), 0.01, 0.99) for s, m, v in zip(self.steps, self.models, views, strict=True)]
+    def _sure(self, p: np.ndarray, left: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows this view is sure of, the surest of each label first: per_round of all unlabelled rows at most, shared between labels as among labelled rows."""
+        most = self.per_round * len(p)
+        good = np.flatnonzero(left & (p >= self.sure))
+        bad = np.flatnonzero(left & (p <= 1 - self.sure))
+        good = good[np.argsort(-p[good], kind="stable")][: int(np.ceil(most * share))]
+        bad = bad[np.argsort(p[bad], kind="stable")][: int(np.ceil(most * (1 - share)))]
+        return np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
+
+    @staticmethod
+    def _both(shares: list[np.ndarray]) -> np.ndarray:
+        p = [np.clip(s, 0.01, 0.99) for s in shares]
         return np.stack([np.log(q / (1 - q)) for q in p], axis=1)
 
     def predict(self, views: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,49 +155,64 @@ class CoTrained:
         if self.constant is not None:
             return (np.full(len(views[0]), self.constant),) * 3
         each = [s.predict(m.score(v)) for s, m, v in zip(self.steps, self.models, views, strict=True)]
-        return each[0], each[1], self.combine.predict(self._both(views))
+        return each[0], each[1], self.combine.predict(self._both(each))
 
 
 def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     return np.array(rows.tolist(), dtype=float).reshape(len(rows), width)
 
 
-def fit(features: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> CoTrained:
-    """The classifier fitted on a bounded sample; `features` (featured) must be a written table."""
+def fit(docs: DataFrame, of_source: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> CoTrained:
+    """The classifier fitted on a bounded sample: ids are chosen first, and only their texts are read."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    one = features.dropDuplicates(["doc_id"])
-    labelled = lowest(one.join(known, "doc_id"), fit_rows).toPandas()
-    free = lowest(one.join(known, "doc_id", "left_anti"), fit_rows).toPandas()
-    views = [_matrix(labelled["content"], CONTENT), _matrix(labelled["metadata"], METADATA)]
-    return CoTrained().fit(views, (labelled["quality"] > 0).to_numpy(dtype=float), [_matrix(free["content"], CONTENT), _matrix(free["metadata"], METADATA)])
+    known = known.select("doc_id", (F.col("quality") > 0).cast("int").alias("label"))
+    ids = saved(ids.distinct().join(known, "doc_id", "left"))
+    chosen = saved(lowest(ids.filter("label is not null"), fit_rows).unionByName(lowest(ids.filter("label is null"), fit_rows)))
+    own, label = f"id_{uuid.uuid4().hex}", f"label_{uuid.uuid4().hex}"
+    picked = docs.withColumn(own, F.col("doc_id").cast("long")).join(F.broadcast(chosen.withColumnsRenamed({"doc_id": own, "label": label})), own)
+    viewed, names = _viewed(picked, of_source)
 
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in chunks(batches, names[0]):
+            content, meta = _features(pdf, names)
+            yield pd.DataFrame({"doc_id": pdf[own], "label": pdf[label].astype("Int32"), "x": np.hstack([content, meta]).tolist()})
 
-def scored(features: DataFrame, model: CoTrained) -> DataFrame:
-    """doc_id, content_score, metadata_score, score, kept of every row of features."""
+    sample = viewed.select(own, label, *names).mapInPandas(rows, "doc_id long, label int, x array<double>")
+    got = sample.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
+    x, there = _matrix(got["x"], CONTENT + METADATA), got["label"].notna().to_numpy()
+    split = lambda m: [m[:, :CONTENT], m[:, CONTENT:]]
+    return CoTrained().fit(split(x[there]), got["label"][there].to_numpy(dtype=float), split(x[~there]))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            content, meta, both = model.predict([_matrix(pdf["content"], CONTENT), _matrix(pdf["metadata"], METADATA)])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "content_score": content, "metadata_score": meta, "score": both, "kept": both >= 0.5})
 
-    return features.mapInPandas(rows, "doc_id long, content_score double, metadata_score double, score double, kept boolean")
+def _matrix(rows: pd.Series, width: int) -> np.ndarray:
+    return np.array(rows.tolist(), dtype=float).reshape(len(rows), width)
 
 
 def score_all(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, content_score, metadata_score, score (share of quality 1), kept of every row of docs."""
-    features = saved(featured(docs))
-    return scored(features, fit(features, labels, fit_rows))
+    of_source = hosts(docs)
+    model = fit(docs, of_source, labels, fit_rows)
+    viewed, names = _viewed(docs, of_source)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in chunks(batches, names[0]):
+            content, meta, both = model.predict(_features(pdf, names))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "content_score": content, "metadata_score": meta, "score": both, "kept": both >= 0.5})
+
+    picked = viewed.select(F.col("doc_id").cast("long").alias("doc_id"), *names)
+    return picked.mapInPandas(rows, "doc_id long, content_score double, metadata_score double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Rows of docs that the classifier keeps. A row is scored by itself, so no join back is needed."""
-    features = saved(featured(docs))
-    model = fit(features, labels, fit_rows)
+    of_source = hosts(docs)
+    model = fit(docs, of_source, labels, fit_rows)
+    viewed, names = _viewed(docs, of_source)
+    columns = docs.columns
 
     def good(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in chunks(batches):
-            content = np.array([content_features(t) for t in pdf["text"]], dtype=float).reshape(len(pdf), CONTENT)
-            meta = np.array([metadata_features(*x) for x in zip(pdf["text"], pdf["lang"], pdf["n_chars"], strict=True)], dtype=float).reshape(len(pdf), METADATA)
-            yield pdf[model.predict([content, meta])[2] >= 0.5]
+        for pdf in chunks(batches, names[0]):
+            yield pdf.loc[model.predict(_features(pdf, names))[2] >= 0.5, columns]
 
-    return docs.mapInPandas(good, docs.schema)
+    return viewed.mapInPandas(good, docs.schema)
