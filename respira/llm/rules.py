@@ -1,14 +1,16 @@
 """Quality rules per document, and per host (the documents' source) with empirical-Bayes shrinkage.
 
 Every document gets counts and a base verdict. Failures are then summed by host; a beta prior is fitted to the hosts'
-rates by moments; a host's shrunk rate is (failures + a) / (documents + a + b). Hosts whose shrunk rate reaches a
-threshold are bad, and that verdict is joined back to their documents, so a page that passes by itself still goes where
-nearly everything around it fails, while a host with a handful of pages is judged mostly by the prior.
+rates by moments, in which each host counts once whatever its size; a host's shrunk rate is (failures + a) / (documents +
+a + b). Hosts are bad where the shrunk rate, less CERTAINTY standard deviations of its posterior, reaches a threshold, and
+that verdict is joined back to their documents, so a page that passes by itself still goes where nearly everything around
+it fails, while a host with a handful of pages is judged mostly by the prior.
 
-A hot host is pre-aggregated before the shuffle; the join back carries no texts and its large partitions are split.
+A hot host is pre-aggregated before the shuffle; the join back carries no texts, and hosts are broadcast while they are
+few; else its large partitions are split.
 
-Nulls: a null text has no words and fails; a null source is a host of its own. Repeated rows count once each. An empty
-table gives no rows. Columns other than doc_id, text and source play no part.
+Nulls: a null text has no words and fails; a null source is a host of its own. Repeated rows count once each. Ties: a host
+whose bound equals the threshold is bad. Very long texts are counted whole, one at a time. An empty table gives no rows. Columns other than doc_id, text and source play no part.
 """
 
 from __future__ import annotations
@@ -20,11 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respira.llm.common import chunks, saved
+from respira.llm.common import chunks, lookup, saved
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 BAD_HOST_RATE = 0.5
+CERTAINTY = 1.645
+#: Documents that the prior counts for at least: those of a uniform one.
+LEAST_STRENGTH = 2.0
 SYMBOLS = b"#*$%&|<>"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -83,33 +88,36 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """(a, b) by moments of the hosts' failure rates, weighted by documents; (1, 1) where there are none.
+    """(a, b) by moments of the hosts' failure rates; (1, 1) where there are none.
 
-    The binomial variance that the hosts' sizes alone explain is taken off. Where nothing is left of it, all hosts are
-    alike and the prior is as strong as all documents together.
+    The variance that the hosts' sizes alone explain is taken off. Where nothing is left of it, all hosts are alike and the
+    prior is as strong as all documents together.
     """
     rate = F.col("failed") / F.col("n")
-    m = hosts.agg(F.sum("failed").alias("f"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * rate * rate).alias("s")).first()
+    m = hosts.agg(F.avg(rate).alias("mean"), F.avg(rate * rate).alias("square"), F.avg(1 / F.col("n")).alias("small"), F.sum("n").alias("n")).first()
     if not m.n:
         return 1.0, 1.0
-    mean = (m.f + 0.5) / (m.n + 1.0)
-    spread = m.s / m.n - (m.f / m.n) ** 2 - mean * (1 - mean) * m.k / m.n
-    strength = mean * (1 - mean) / spread - 1 if spread > 0 else float(m.n)
-    strength = min(max(strength, 1.0), float(m.n))
-    return mean * strength, (1 - mean) * strength
+    binomial = m.mean * (1 - m.mean)
+    spread = m.square - m.mean**2 - binomial * m.small
+    strength = binomial / spread - 1 if spread > 0 else float(m.n)
+    strength = max(min(strength, float(m.n)), LEAST_STRENGTH)
+    return m.mean * strength, (1 - m.mean) * strength
 
 
 def host_verdicts(base: DataFrame, bad_rate: float = BAD_HOST_RATE) -> DataFrame:
-    """source, n, failed, host_rate, host_bad; `base` (with_base) must be a written table."""
+    """source, host_rate, host_bad as a written table; `base` (with_base) must be a written table."""
     hosts = saved(base.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
     a, b = beta_prior(hosts)
-    rate = (F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    return hosts.withColumn("host_rate", rate).withColumn("host_bad", rate >= bad_rate)
+    size = F.col("n") + F.lit(a + b)
+    rate = (F.col("failed") + F.lit(a)) / size
+    least = F.col("host_rate") - CERTAINTY * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (size + 1))
+    return saved(hosts.withColumn("host_rate", rate).withColumn("host_bad", least >= bad_rate).select("source", "host_rate", "host_bad"))
 
 
 def judge(docs: DataFrame, bad_rate: float = BAD_HOST_RATE) -> DataFrame:
     """doc_id, the counts, base_failed, kept, host_rate of every row of docs."""
     base = saved(with_base(docs))
-    hosts = host_verdicts(base, bad_rate).select(F.col("source").alias("host"), "host_rate", "host_bad")
-    joined = base.join(hosts.hint("shuffle_merge"), F.col("source").eqNullSafe(F.col("host")))
+    # a key that null takes part in: whether there is a source, and its name
+    keyed = lambda df: df.withColumns({"there": F.col("source").isNotNull(), "host": F.coalesce("source", F.lit(""))}).drop("source")
+    joined = lookup(keyed(base), keyed(host_verdicts(base, bad_rate)), ["there", "host"])
     return joined.select("doc_id", *(c.split()[0] for c in BASE.split(", ")), "base_failed", (~F.col("base_failed") & ~F.col("host_bad")).alias("kept"), "host_rate")

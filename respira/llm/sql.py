@@ -68,13 +68,15 @@ WITH split AS (
 ), hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM judged GROUP BY source
 ), moments AS (
-  SELECT sum(failed)::DOUBLE AS f, sum(n)::DOUBLE AS n, count(*) AS k, sum(failed * (failed / n))::DOUBLE AS s FROM hosts
+  SELECT avg(failed / n) AS mean, avg((failed / n) * (failed / n)) AS square, avg(1 / n) AS small, sum(n)::DOUBLE AS n FROM hosts
 ), prior AS (
-  SELECT (f + 0.5) / (n + 1) AS mean, n, s / n - (f / n) ** 2 - (f + 0.5) / (n + 1) * (1 - (f + 0.5) / (n + 1)) * k / n AS spread FROM moments
+  SELECT mean, n, mean * (1 - mean) AS binomial, square - mean ** 2 - mean * (1 - mean) * small AS spread FROM moments
 ), strength AS (
-  SELECT mean, least(greatest(CASE WHEN spread > 0 THEN mean * (1 - mean) / spread - 1 ELSE n END, 1), n) AS st FROM prior
+  SELECT mean, greatest(least(CASE WHEN spread > 0 THEN binomial / spread - 1 ELSE n END, n), 2) AS st FROM prior
+), shrunk AS (
+  SELECT source, n + st AS size, (failed + mean * st) / (n + st) AS rate FROM hosts, strength
 ), verdicts AS (
-  SELECT source, (failed + mean * st) / (n + st) >= 0.5 AS bad FROM hosts, strength
+  SELECT source, rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)) >= 0.5 AS bad FROM shrunk
 )
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
 FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
