@@ -12,11 +12,14 @@ Positions are code points, end exclusive: a lazy group before each match gives t
 up.
 
 Nulls: a null text is empty and has no spans; a null doc_id stays null. Repeated rows are scanned once each. Spans tie
-only between kinds; those come as listed. An empty table gives no rows. Columns other than doc_id and text play no part.
+only between kinds; those come as listed. Very long texts are scanned whole, in time that grows as their length; matches
+are counted up in runs of RUN, and a run of key characters is searched once however long it is. An empty table gives no rows. Columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,8 @@ HEX = r"[0-9a-f]{24,}"
 SPANS = "array<struct<start:int,end:int,value:string,part:string>>"
 MIN_ASSIGNED = 6
 MIN_CANDIDATE = 20
-CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
+CANDIDATE = r"\b[A-Za-z0-9+/=_-]{20,}+"
+RUN = 256
 #: What makes a run worth a window: digits among letters.
 WORTH = r"^(?=.*[0-9].*[0-9])(?=.*[A-Za-z])"
 WINDOW = 20
@@ -41,10 +45,15 @@ ALLOWED = (
     r"(?i)0123456789|abcdefghij|1234567890",
     r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9T_:+-]*$",
-    r"^[A-Za-z]+([/_=+-]+[A-Za-z]+)*[/_=+-]*[0-9]{0,4}$",
+    r"^[A-Za-z][A-Za-z/_=+-]*+[0-9]{0,4}$",
 )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often it is used inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _matches(text: Column, pattern: str, checked: int) -> Column:
     """array<start, end, value, part> of the leftmost non-overlapping matches; part is group `checked` of the pattern."""
     lead = rf"(?s)(.*?)({pattern}|\z)"  # the end counts as a match, or the rest would be searched from each of its places
@@ -52,13 +61,22 @@ def _matches(text: Column, pattern: str, checked: int) -> Column:
     parts = F.regexp_extract_all(text, F.lit(lead), F.lit(2 + checked)) if checked else values
     rows = F.arrays_zip(gaps.alias("gap"), values.alias("value"), parts.alias("part"))
     begin = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("done"))
+    span = lambda start, end, x: F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["part"].alias("part"))
 
     def add(state, x):
         start = state["at"] + F.char_length(x["gap"])
         end = start + F.char_length(x["value"])
-        return F.struct(end.alias("at"), F.concat(state["done"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["part"].alias("part")))).alias("done"))
+        return F.struct(end.alias("at"), F.concat(state["done"], F.array(span(start, end, x))).alias("done"))
+
+    def join(state, run):
+        moved = F.transform(run["done"], lambda x: span(state["at"] + x["start"], state["at"] + x["end"], x))
+        return F.struct((state["at"] + run["at"]).alias("at"), F.concat(state["done"], moved).alias("done"))
 
-    return F.filter(F.aggregate(rows, begin, add, lambda state: state["done"]), lambda x: x["value"] != "")
+    def counted(every):
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(every, k * RUN + 1, F.lit(RUN)), begin, add))
+        return F.aggregate(runs, begin, join, lambda state: state["done"])
+
+    return F.filter(_let(rows, counted), lambda x: x["value"] != "")
 
 
 def window_entropy(value: Column, width: int = WINDOW) -> Column:
@@ -67,27 +85,31 @@ def window_entropy(value: Column, width: int = WINDOW) -> Column:
     State: a count per ASCII character, the sum of c*log2(c) over them, and the least such sum of a full window.
     """
     term = lambda c: F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
-    size = F.char_length(value)
-    code = lambda i: F.ascii(F.substr(value, i, F.lit(1))) + 1
-    span = F.least(size, F.lit(width))
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(1e9).alias("least"))
+    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.ascii(c) + 1)
+    left = F.slice(F.concat(F.array_repeat(F.lit(0), width), codes), F.lit(1), F.char_length(value))  # what leaves the window as a character comes in
+    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.least(F.char_length(value), F.lit(width)).alias("span"), F.lit(1e9).alias("least"))
 
     def bump(n, at, by):
         return F.concat(F.slice(n, F.lit(1), at - 1), F.array(F.element_at(n, at) + by), F.slice(n, at + 1, F.lit(128) - at))
 
-    def step(state, i):
-        into = code(i)
-        c = F.element_at(state["n"], into)
-        n = bump(state["n"], into, 1)
-        s = state["s"] + term(c + 1) - term(c)
-        out = code(F.greatest(i - span, F.lit(1)))
-        gone = F.element_at(n, out)
-        full = i > span
-        n, s = F.when(full, bump(n, out, -1)).otherwise(n), F.when(full, s + term(gone - 1) - term(gone)).otherwise(s)
-        return F.struct(n.alias("n"), s.alias("s"), F.when(i >= span, F.least(state["least"], s)).otherwise(state["least"]).alias("least"))
+    def step(state, x):
+        c = F.element_at(state["n"], x["into"])
+        more = F.struct(bump(state["n"], x["into"], 1).alias("n"), (state["s"] + term(c + 1) - term(c)).alias("s"))
+
+        def less(m):
+            gone = F.element_at(m["n"], F.greatest(x["out"], F.lit(1)))
+            full = x["out"] > 0
+            n, s = F.when(full, bump(m["n"], F.greatest(x["out"], F.lit(1)), -1)).otherwise(m["n"]), F.when(full, m["s"] + term(gone - 1) - term(gone)).otherwise(m["s"])
+            return F.struct(n.alias("n"), s.alias("s"))
+
+        def closed(m):
+            i = state["i"] + 1
+            return F.struct(m["n"].alias("n"), m["s"].alias("s"), i.alias("i"), state["span"].alias("span"), F.when(i >= state["span"], F.least(state["least"], m["s"])).otherwise(state["least"]).alias("least"))
+
+        return _let(_let(more, less), closed)
 
-    least = F.aggregate(F.sequence(F.lit(1), size), start, step, lambda x: x["least"])
-    return F.when(size > 0, F.log2(span.cast("double")) - least / span).otherwise(F.lit(0.0))
+    best = F.aggregate(F.arrays_zip(codes.alias("into"), left.alias("out")), start, step, lambda x: F.log2(x["span"].cast("double")) - x["least"] / x["span"])
+    return F.when(F.char_length(value) > 0, best).otherwise(F.lit(0.0))
 
 
 def char_class(value: Column) -> Column:
@@ -111,7 +133,7 @@ def scan(docs: DataFrame) -> DataFrame:
         # most texts have no match at all, and a search costs less than splitting the text by matches
         return F.when(F.col("text").rlike(pattern), _matches(F.col("text"), pattern, checked)).otherwise(none)
 
-    rows = rows.select("doc_id", found(ASSIGN, 1).alias("assign"), found(ACCESS).alias("access"), found(HEX).alias("hex"), found(rf"\b(?=[A-Za-z+/=_-]*[0-9]){CANDIDATE}").alias("wide"))
+    rows = rows.select("doc_id", found(ASSIGN, 1).alias("assign"), found(ACCESS).alias("access"), found(HEX).alias("hex"), found(CANDIDATE).alias("wide"))
     named = lambda kind, k: F.transform(F.filter(kind, lambda x: F.char_length(x["part"]) >= MIN_ASSIGNED), lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("rank"), x["end"].alias("end"), x["value"].alias("value")))
     rows = rows.select("doc_id", F.concat(named("assign", 0), named("access", 1), named("hex", 2)).alias("base"), F.filter("wide", lambda x: x["value"].rlike(WORTH) & ~suppressed(x["value"])).alias("wide"))
     fresh = F.filter("wide", lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
