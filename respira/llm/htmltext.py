@@ -10,7 +10,9 @@ token with a score of its own, and its words are not given out. A part that hold
 never closed though it needs an end tag, or is named so only in part (no-comments, related-work), is kept: outside of
 articles its tag scores like a part that is no article. In a page with articles elsewhere, those of a part so named count as outside.
 
-The text is that of the region's blocks: references decoded, white space inside a block one space, blocks joined by \\n.
+The text is that of the region's blocks: references decoded, white space inside a block one space, blocks joined by \\n. Very long pages
+are read whole, in time that grows as their length: open elements stand on a stack, and a tag that never ends is given up
+at the next <, or, if quotes may hide that, after searches that sum up to WIDE_SHARE times the page.
 
 Nulls: a null html is an empty page, whose text is empty; a null page_id or url stays null. Unclosed, crossed and cut-off
 tags are read as they come. Repeated rows give the same text. Ties go to the region that begins first and then to the
@@ -33,7 +35,11 @@ from pyspark.sql import functions as F
 
 from respira.llm.common import chunks
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPEN = re.compile(r"<(?=[A-Za-z/!?])")
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/<>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>", re.S)
+#: A tag that has < inside quotes: looked for where TAG fails, until what was searched in vain is WIDE_SHARE times the page.
+WIDE = re.compile(r"<(/?)([A-Za-z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+WIDE_SHARE = 20
 #: Elements that hold characters and no markup.
 RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "select", "xmp", "noembed", "noframes")
 #: Elements that are never part of an article.
@@ -120,9 +126,17 @@ def _tags(page: str) -> list[Tag]:
         return None
 
     at, size = 0, len(page)
-    while m := TAG.search(page, at):
+    budget = WIDE_SHARE * size
+    while there := OPEN.search(page, at):
+        at = there.start()
+        m = TAG.match(page, at)
+        if m is None and budget > 0 and (m := WIDE.match(page, at)) is None:
+            budget -= size - at
+        if m is None:
+            at += 1
+            continue
         at = m.end()
-        tag = Tag(m.start(), at, bool(m[1]), (m[2] or "").lower(), m[3] or "")
+        tag = Tag(m.start(), at, *((bool(m[1]), m[2].lower(), m[3]) if m[2] else (False, "", "")))
         out.append(tag)
         name = tag.name
         if not name:
