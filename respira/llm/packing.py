@@ -3,11 +3,14 @@
 Documents become token ids followed by one end id. One longer than a sequence is cut into full pieces with a shorter
 first piece. Full pieces are sequences of their own. The others are dealt by hash into shards of bounded size, and each
 shard is packed by the sum-of-squares rule: an item goes where the sum of the squared counts of open bins per residual
-gap becomes smallest. The rule needs nothing but those counts, so a shard's state is one array of `length` numbers and a
-stack of open bins per gap. Items are taken from long to short and a bin is opened only for one that fits in no open bin:
-so few bins stay open that the loss against one global packing is a bin or two per shard of tens of thousands of pieces.
-
-Nulls: a null text is an empty one (its end id alone). Repeated rows are packed once each. An empty table gives no rows.
+gap becomes smallest. A new bin is one of the choices, at a price added to its sum (0: the plain rule, which opens bins
+early; the default is a sequence's length). The rule needs nothing but those counts, so a shard's state is one array of
+`length` numbers and a stack of open bins per gap. Items are taken from long to short, and so few bins stay open that the
+loss against one global packing is a bin or two per shard of tens of thousands of pieces.
+
+Nulls: a null text is an empty one (its end id alone). Repeated rows are packed once each. Ties between choices go to the
+smallest gap, and to an open bin before a new one; items of one length come by doc_id, copy and piece. Very long texts are
+encoded whole, one at a time. An empty table gives no rows. Columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respira.llm.common import saved
+from respira.llm.common import chunks, saved
 
 LENGTH = 2048
 END_ID = 0
@@ -67,7 +70,7 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k", length: int = LENG
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocabulary)
-        for pdf in batches:
+        for pdf in chunks(batches):
             rows = []
             for doc, copy, text in zip(pdf["doc_id"], pdf["copy"], pdf["text"], strict=True):
                 ids = np.array((encode(text) if isinstance(text, str) else []) + [END_ID], dtype="<u4")
@@ -79,27 +82,32 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k", length: int = LENG
     return source.mapInPandas(cut, PIECES)
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of every item, taken in order; a gap costs its squared number of open bins.
+def sum_of_squares(lengths: np.ndarray, capacity: int, price: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of every item, taken in order; a gap costs its squared number of open bins, a new bin `price` (None: capacity) more.
 
-    Putting an item of size s into a bin with gap g changes the sum by 2*(N[g-s] - N[g]) + 2; a gap of 0 is closed and
-    costs nothing. Ties go to the smallest gap. A bin is opened only where the item fits in none.
+    Putting an item of size s into a bin with gap g changes the sum by 2*(N[g-s] - N[g]) + 2, opening one by 2*N[capacity-s]
+    + 1; a gap of 0 is closed and costs nothing.
     """
+    price = capacity if price is None else price
     open_bins = np.zeros(capacity + 1, dtype=np.int64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, n_bins = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
     for i, s in enumerate(lengths.tolist()):
         there = open_bins[s:capacity]  # gaps s .. capacity-1
         used = np.flatnonzero(there)
+        opening = price + (2 * open_bins[capacity - s] + 1 if s < capacity else 0)
+        gap = capacity
         if len(used):
             cost = 2 * (open_bins[used] - there[used]) + 2
             if used[0] == 0:
                 cost[0] = 1 - 2 * there[0]
-            gap = s + int(used[cost.argmin()])
+            best = cost.argmin()
+            gap = s + int(used[best]) if cost[best] <= opening else capacity
+        if gap < capacity:
             b = stacks[gap].pop()
             open_bins[gap] -= 1
         else:
-            gap, b, n_bins = capacity, n_bins, n_bins + 1
+            b, n_bins = n_bins, n_bins + 1
         bins[i], offsets[i] = b, capacity - gap
         if gap > s:
             stacks[gap - s].append(b)
