@@ -3,14 +3,16 @@
 The lexicon is learned: words and word beginnings that are far more frequent in toxic than in other training texts. A
 text's features are densities of lexicon hits, how near they stand to second-person words, capitals, punctuation and
 obfuscation (letters written as digits or signs). For the trees' training rows the lexicon comes from the other half of
-the training rows, so that they see hits as unseen texts have them. Scores of trees trained on one half, for the rows of
-the other half, calibrate the sum of all.
+the training rows, so that they see hits as unseen texts have them. A fifth of the labelled rows takes no part in lexicon
+and trees: the final model scores them as it scores any text, and those scores calibrate it by isotonic regression (by
+the trees' own log odds where that fifth has fewer than LEAST_LABELS of either label).
 
 Labels are learned from at most `fit_rows` labelled rows that are not held out, the lowest by a hash of doc_id; every
 text is scored whole. A score never depends on labels, lang, source or doc_id.
 
 Nulls: a null text is empty; a null label does not count; a null doc_id is scored and counts as held out. Of rows that
-repeat a doc_id each is scored by itself. Where there are no labels to learn from, or of one kind only, every score is
+repeat a doc_id each is scored by itself. Ties between words for a place in the lexicon go by the word. Very long texts
+are read whole, one at a time. Where there are no labels to learn from, or of one kind only, every score is
 the share of toxic rows (0 without any). An empty table gives no rows. Other columns play no part.
 """
 
@@ -31,6 +33,7 @@ FIT_ROWS = 20_000
 FOLDS = 5
 LEXICON = 4_000
 MIN_TOXIC = 4
+LEAST_LABELS = 10
 MIN_EVIDENCE = 18.0
 BEGINNINGS = (4, 5, 6)
 NEAR = 5
@@ -139,15 +142,16 @@ CAPITALS = dict.fromkeys(c for c in range(sys.maxunicode + 1) if chr(c).isupper(
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
-    """doc_id, toxic, half, text of the labelled rows to learn from: fit_rows at most, so their ids may be broadcast."""
+    """doc_id, toxic, half (0, 1; 2: to calibrate), text of the labelled rows to learn from: fit_rows at most, so their ids may be broadcast."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.pmod(id_crc(), F.lit(FOLDS)) != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    chosen = saved(lowest(known, fit_rows).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")))
+    chosen = saved(lowest(known, fit_rows).withColumn("half", F.floor(F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(5)) / 2).cast("int")))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
 
 def lexicons(rows: DataFrame, size: int = LEXICON) -> list[dict[str, float]]:
     """Lexicons of half 0, half 1 and both: units whose frequency in toxic rows is beyond chance, at most `size` each."""
+    rows = rows.filter("half < 2")
     words_of = rows.select("toxic", "half", "text")
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,6 +190,8 @@ class Toxicity:
         if self.trees is None:
             return np.full(len(x), self.share)
         z = self.trees.score(x)
+        if self.steps is None:
+            return sigmoid(z)
         # inside a step of the calibration the trees' own order is kept, at a thousandth of its weight
         return np.clip(0.999 * self.steps.predict(z) + 0.001 * sigmoid(z), 0.0, 1.0)
 
@@ -195,22 +201,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     books = lexicons(rows)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        other = [Features(books[1]), Features(books[0])]
+        unseen = [Features(books[1]), Features(books[0]), Features(books[2])]
         for pdf in chunks(batches):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "half": pdf["half"], "x": [other[h](t) for t, h in zip(pdf["text"], pdf["half"], strict=True)]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "half": pdf["half"], "x": [unseen[h](t) for t, h in zip(pdf["text"], pdf["half"], strict=True)]})
 
-    got = rows.mapInPandas(featured, "doc_id long, toxic int, half int, x array<double>").toPandas()
-    got = got.sort_values("doc_id").drop_duplicates("doc_id")
-    y = got["toxic"].to_numpy(dtype=float)
-    if len(y) < 8 or y.min() == y.max():
+    seen = rows.mapInPandas(featured, "doc_id long, toxic int, half int, x array<double>")
+    got = seen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("half").alias("half"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
+    y, left = got["toxic"].to_numpy(dtype=float), (got["half"] == 2).to_numpy()
+    learn = y[~left]
+    if len(learn) < 8 or learn.min() == learn.max():
         return Toxicity(books[2], None, None, float(y.mean()) if len(y) else 0.0)
-    x, half = np.array(got["x"].tolist(), dtype=float), got["half"].to_numpy()
-    across = np.zeros(len(y))
-    for h in (0, 1):
-        a, b = half != h, half == h
-        if a.any() and b.any():
-            across[b] = BoostedTrees().fit(x[a], y[a]).score(x[b])
-    return Toxicity(books[2], BoostedTrees().fit(x, y), Isotonic().fit(across, y), float(y.mean()))
+    x = np.array(got["x"].tolist(), dtype=float)
+    trees = BoostedTrees().fit(x[~left], learn)
+    enough = min(y[left].sum(), (1 - y[left]).sum()) >= LEAST_LABELS
+    return Toxicity(books[2], trees, Isotonic().fit(trees.score(x[left]), y[left]) if enough else None, float(y.mean()))
 
 
 def score_texts(docs: DataFrame, model: Toxicity) -> DataFrame:
