@@ -17,9 +17,9 @@ size). Only documents that share such a shingle are looked at any further.
    apart into trees of classes that look alike, and only the texts of those are read: a second trie, over whole sets in
    hash order, gives their links. Groups are split by rows and shingles, each part with the class that stands for it.
 4. Groups are no limit on links: prefix shingles that classes of different components still share are taken up again. A
-   trie per such shingle gives the pairs that may be similar: classes outside the most frequent component are queries
-   against all, in blocks, and of large groups only those of sizes that allow the similarity meet. Pairs
-   that hang together then meet once more, over whole sets.
+   trie per such shingle finds which may be similar: classes outside the most frequent component are queries against
+   all, in blocks, and of large groups only those of sizes that allow the similarity meet. What comes out of a block is a
+   spanning forest, never all its pairs. Classes that hang together then meet once more in the same way, over whole sets.
 5. Components: smallest label over links, with pointer jumping, until nothing changes.
 
 No link between different texts is lost: steps 1-3 find links early, step 4 holds for all that remains.
@@ -48,7 +48,9 @@ PERCENT = 80
 #: A group is split so that a part has about this many classes, and this many shingles, at most.
 GROUP_ROWS = 400
 GROUP_SHINGLES = 400_000
-BLOCK_ROWS = 250
+BLOCK_ROWS = 1000
+SETTLE_ROWS = 800
+BLOCK_SHINGLES = 1_000_000
 #: What one call in a Python worker takes on, in shingles; a class counts as ROW_SHINGLES more.
 BATCH_SHINGLES = 1_000_000
 ROW_SHINGLES = 500
@@ -238,34 +240,38 @@ def alike(overlap: int, a: int, b: int, percent: int) -> bool:
     return overlap * (100 + percent) >= percent * (a + b)
 
 
-def linked(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None, asked: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs of similar whole sets that join all sets reachable over such pairs: a spanning forest of the links."""
     n = np.array([len(s) for s in sets], dtype=np.int64)
-    return forest(sets, n, n, np.ones(len(sets), dtype=bool), percent, 0, label, asked)
+    return forest(sets, n, n, np.ones(len(sets), dtype=bool), percent, 0)
 
 
-def forest(
-    sets: list[np.ndarray], n: np.ndarray, early: np.ndarray, whole: np.ndarray, percent: int, slack: int = SLACK, label: np.ndarray | None = None, asked: list[np.ndarray] | None = None
-) -> list[tuple[int, int]]:
-    """Pairs that join the sets reachable over pairs which look alike by what is given of them (whole sets: are similar).
+def forest(sets: list[np.ndarray], n: np.ndarray, early: np.ndarray, whole: np.ndarray, percent: int, slack: int = SLACK) -> list[tuple[int, int]]:
+    """Pairs that join the sets reachable over pairs which look alike by what is given of them (whole sets: are similar)."""
+    everyone = np.arange(len(sets))
+    near = lambda a, b, overlap: whole[a] and whole[b] or alike(overlap, int(early[a]), int(early[b]), percent - slack)
+    return met(sets, n, n - early, whole, everyone, everyone, everyone, percent, near)
 
-    label: components known already. asked: per set the others (a mask) that it is held against, instead of all.
-    """
+
+def met(
+    sets: list[np.ndarray], n: np.ndarray, late: np.ndarray, whole: np.ndarray, label: np.ndarray, queries: np.ndarray, base: np.ndarray, percent: int,
+    accept: Callable[[int, int, int], bool] | None = None, first: int | None = None,
+) -> list[tuple[int, int]]:
+    """(query, other) of a spanning forest: those of `base` that may be similar to a query (are, if whole), where labels differ and no pair before joined them."""
+    start = 0 if first is None else int(np.unique(np.concatenate(sets)).searchsorted(first))
     ids, size = ranked(sets)
-    late, label = n - early, np.arange(len(sets)) if label is None else label.copy()
-    trie, out, held = Trie(ids, n, late, whole, percent), [], np.zeros(size, dtype=bool)
-    for own, s in enumerate(ids):
-        if asked is not None and not asked[own].any():
-            continue
-        seen = label if asked is None else np.where(asked[own], label, label[own])
-        held[s] = True
-        for other, overlap in trie.similar(held, len(s), int(n[own]), int(late[own]), bool(whole[own]), label[own], seen):
-            both = whole[own] and whole[other]
-            if label[other] != label[own] and (both or alike(overlap, int(early[own]), int(early[other]), percent - slack)):
+    label, out, held = label.copy(), [], np.zeros(size, dtype=bool)
+    trie = Trie([ids[i] for i in base], n[base], late[base], whole[base], percent)
+    there = label[base]
+    for own in queries.tolist():
+        held[ids[own]] = True
+        for x, overlap in trie.similar(held, len(ids[own]), int(n[own]), int(late[own]), bool(whole[own]), label[own], there, start):
+            other = int(base[x])
+            if label[other] != label[own] and (accept is None or accept(own, other, overlap)):
                 out.append((own, other))
-                seen[seen == label[other]] = label[own]
+                there[there == label[other]] = label[own]
                 label[label == label[other]] = label[own]
-        held[s] = False
+        held[ids[own]] = False
     return out
 
 
@@ -289,22 +295,24 @@ def by_group(rows: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], li
 def trie_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links inside groups. members (a written table): doc_id, n and the columns that name a group.
 
-    With label and partners, components known already, and the doc_ids that a row is held against, instead of all.
+    With query, base and label, the rows marked query meet those marked base, but for those of the same label.
     """
     shingles = Shingler(k, keep=100_000)
 
     def join(pdf: pd.DataFrame) -> list[tuple]:
-        ids, label, asked = pdf["doc_id"].to_numpy(), None, None
-        if "partners" in pdf:
-            label, asked = pdf["label"].to_numpy(), [np.isin(ids, p) for p in pdf["partners"]]
-        return [(ids[i], ids[j]) for i, j in linked([shingles(t) for t in pdf["text"]], percent, label, asked)]
+        ids, sets = pdf["doc_id"].to_numpy(), [shingles(t) for t in pdf["text"]]
+        if "query" not in pdf:
+            return [(ids[i], ids[j]) for i, j in linked(sets, percent)]
+        n = np.array([len(s) for s in sets], dtype=np.int64)
+        queries, base = (np.flatnonzero(pdf[c].to_numpy()) for c in ("query", "base"))
+        return [(ids[i], ids[j]) for i, j in met(sets, n, n - n, n == n, pdf["label"].to_numpy(), queries, base, percent)] if len(base) else []
 
     def texts(rows: DataFrame) -> DataFrame:
         named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         wanted = saved(members.select("doc_id").distinct())
         return rows.join(lookup(named, wanted, "doc_id", "left_semi").hint("shuffle_merge"), "doc_id")
 
-    return by_group(members, [c for c in members.columns if c not in ("doc_id", "n", "label", "partners")], join, "a long, b long", texts)
+    return by_group(members, [c for c in members.columns if c not in ("doc_id", "n", "label", "query", "base")], join, "a long, b long", texts)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -389,83 +397,67 @@ def _labelled(posted: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def _blocks(rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """token, band, i, j, query, base, doc_id, label, n as a written table: where the classes that share a code meet.
+def _blocks(rows: DataFrame, sizes: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """token, band, i, j, query, base, doc_id, label, n as a written table: where the classes under a token (rows: token, doc_id, label) meet.
 
-    Queries are the classes outside the code's most frequent component. Up to BLOCK_ROWS classes meet in one block. More
-    are told apart by size: a query goes to its own band of sizes and both neighbours, as others can't be similar; in each
-    band blocks of queries meet blocks of all.
+    Queries are the classes outside the token's most frequent component. Up to block_rows classes, of BLOCK_SHINGLES, meet
+    in one block. More are told apart by size: a query goes to its own band of sizes and both neighbours, as others can't be
+    similar; in each band blocks of queries meet blocks of all.
     """
-    counts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
-    facts = saved(counts.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("many")))
-    rows = lookup(rows, facts, "token").withColumn("query", F.col("label") != F.col("main"))
-    rows = saved(rows.join(shared.select("doc_id", "n").hint("shuffle_merge"), "doc_id").select("token", "many", "query", "doc_id", "label", "n"))
+    rows = saved(rows.join(sizes.hint("shuffle_merge"), "doc_id").select("token", "doc_id", "label", "n"))
+    counts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    facts = saved(counts.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s")))
+    wanted = lambda c, s: F.ceil(F.greatest(c / F.lit(float(block_rows)), s / F.lit(float(BLOCK_SHINGLES)))).cast("int")
+    facts = facts.select("token", "main", (wanted(F.col("c"), F.col("s")) > 1).alias("large"))
+    marked = lookup(rows, facts, "token").withColumn("query", F.col("label") != F.col("main"))
     columns = ["token", "band", "i", "j", "query", "base", "doc_id", "label", "n"]
     zero, yes, no = F.lit(0), F.lit(True), F.lit(False)
-    few = rows.filter(F.col("many") <= BLOCK_ROWS).withColumns({"band": F.lit(-9), "i": zero, "j": zero, "base": yes}).select(columns)
-    large = rows.filter(F.col("many") > BLOCK_ROWS)
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int")
-    queries = large.filter("query").withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-    every = large.withColumn("band", band)
-    blocks = lambda df, name: df.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_ROWS))).cast("int").alias(name))
-    sides = saved(blocks(queries, "q").join(blocks(every, "x").hint("shuffle_merge"), ["token", "band"]))
+    few = marked.filter("not large").withColumns({"band": F.lit(-9), "i": zero, "j": zero, "base": yes}).select(columns)
+    large = saved(marked.filter("large").select("token", "query", "doc_id", "label", "n", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.000001)).cast("int").alias("band")))
+    queries = large.filter("query").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    blocks = lambda df, name: df.groupBy("token", "band").agg(wanted(F.count(F.lit(1)), F.sum("n")).alias(name))
+    sides = saved(blocks(queries, "q").join(blocks(large, "x").hint("shuffle_merge"), ["token", "band"]))
     mine = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     each = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
     asked = lookup(queries, sides, ["token", "band"]).withColumns({"i": mine(F.col("q")), "base": no}).withColumn("j", each("x")).select(columns)
-    there = lookup(every.withColumn("query", no), sides, ["token", "band"]).withColumns({"j": mine(F.col("x")), "base": yes}).withColumn("i", each("q")).select(columns)
+    there = lookup(large.withColumn("query", no), sides, ["token", "band"]).withColumns({"j": mine(F.col("x")), "base": yes}).withColumn("i", each("q")).select(columns)
     out = saved(few.unionByName(asked).unionByName(there))
-    released(facts, rows, sides)
+    released(rows, large, sides)
     return out
 
 
 def _open_pairs(rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """a, b as a written table, each pair once: classes of different components that may be similar by all that is counted.
+    """(a, b) as a written table: components that hang together, as they have classes that may be similar by all that is counted.
 
-    A pair is found under the first of the codes that both have.
+    Two classes meet under the first of the codes that both have. Of each block a spanning forest is given, not all pairs.
     """
 
     def meet(pdf: pd.DataFrame) -> list[tuple]:
-        query, base = pdf["query"].to_numpy(), np.flatnonzero(pdf["base"].to_numpy())
-        if not query.any() or not len(base):
+        queries, base = (np.flatnonzero(pdf[c].to_numpy()) for c in ("query", "base"))
+        if not len(queries) or not len(base):
             return []
-        ids, n, early, whole, sets = _columns(pdf)
-        label, late = pdf["label"].to_numpy(), n - early
-        first = int(np.unique(np.concatenate(sets)).searchsorted(pdf["token"].iloc[0]))
-        sets, size = ranked(sets)
-        trie, held = Trie([sets[i] for i in base], n[base], late[base], whole[base], percent), np.zeros(size, dtype=bool)
-        out = []
-        for q in np.flatnonzero(query):
-            held[sets[q]] = True
-            found = [ids[base[x]] for x, _ in trie.similar(held, len(sets[q]), int(n[q]), int(late[q]), bool(whole[q]), label[q], label[base], first)]
-            out += [(min(ids[q], x), max(ids[q], x)) for x in found]
-            held[sets[q]] = False
-        return out
+        _, n, early, whole, sets = _columns(pdf)
+        label = pdf["label"].to_numpy()
+        return [(label[q], label[x]) for q, x in met(sets, n, n - early, whole, label, queries, base, percent, first=pdf["token"].iloc[0])]
 
     known = shared.select("doc_id", "early", "whole", "met").hint("shuffle_merge")
-    dealt = _blocks(rows, shared, percent)
+    dealt = _blocks(rows, shared.select("doc_id", "n"), percent, BLOCK_ROWS)
     found = by_group(dealt, ["token", "band", "i", "j"], meet, "a long, b long", lambda df: df.join(known, "doc_id"))
-    out = saved(found.dropDuplicates(["a", "b"]))
+    out = saved(found.distinct())
     released(dealt)
     return out
 
 
-def _settled(pairs: DataFrame, labels: DataFrame, docs: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links among pairs (a written table), as a written table.
+def _settled(pairs: DataFrame, rows: DataFrame, docs: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) as a written table: links between components that hang together (pairs), among the classes of rows (token, doc_id, label).
 
-    Pairs that hang together meet in one group, so that a text is read once for many of them. A large group is split by both
-    sides of its pairs. In a group a class meets the partners that it is asked for.
+    Their classes meet once more, over whole sets, in blocks of queries and all.
     """
-    clusters = components(pairs).withColumnRenamed("label", "cluster")
-    known = saved(clusters.join(sizes.hint("shuffle_merge"), "doc_id").join(labels.hint("shuffle_merge"), "doc_id", "left").select("doc_id", "n", "cluster", F.coalesce("label", "doc_id").alias("label")))
-    named = pairs.join(clusters.withColumnRenamed("doc_id", "a").hint("shuffle_merge"), "a")
-    many = _parts(known, "cluster")
-    named = saved(lookup(named, many, "cluster", "left").select("cluster", _part("a").alias("i"), _part("b").alias("j"), "a", "b"))
-    rows = named.select("cluster", "i", "j", F.col("a").alias("doc_id"), F.col("b").alias("partner"))
-    rows = rows.unionByName(named.select("cluster", "i", "j", F.col("b").alias("doc_id"), F.lit(None).cast("long").alias("partner")))
-    rows = rows.groupBy("cluster", "i", "j", "doc_id").agg(F.collect_list("partner").alias("partners"))
-    rows = saved(rows.join(known.select("doc_id", "n", "label").hint("shuffle_merge"), "doc_id"))
-    out = saved(trie_links(rows, docs, k, percent))
-    released(known, many, named, rows)
+    clusters = components(pairs).select(F.col("doc_id").alias("label"), F.col("label").alias("token"))
+    placed = rows.select("doc_id", "label").distinct().join(clusters.hint("shuffle_merge"), "label")
+    dealt = _blocks(placed, sizes, percent, SETTLE_ROWS)
+    out = saved(trie_links(dealt, docs, k, percent))
+    released(dealt)
     return out
 
 
@@ -492,7 +484,7 @@ def similar_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
     released(posted)
     if not rest.isEmpty():
         pairs = _open_pairs(rest, shared, percent)
-        links = links.unionByName(_settled(pairs, labels, docs, sizes, k, percent))
+        links = links.unionByName(_settled(pairs, rest, docs, sizes, k, percent))
         labels = components(links)
         released(pairs)
     released(shared, rest)
