@@ -19,6 +19,9 @@ CHUNK_CHARS = 2_000_000
 LOOKUP_ROWS = 500_000
 #: Shuffle files of a query go as soon as it has been written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: rows in a batch between the JVM and Python, so that long texts don't fill either.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -41,12 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
 def write(df: DataFrame, path: str) -> None:
     """df as Parquet; its shuffle files are removed when it is written."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
+    before = {name: conf.get(name, None) for name in (CLEANUP, BATCH)}
     conf.set(CLEANUP, "true")
+    conf.set(BATCH, str(min(BATCH_ROWS, int(before[BATCH] or BATCH_ROWS))))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 def saved(df: DataFrame) -> DataFrame:

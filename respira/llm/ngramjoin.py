@@ -47,12 +47,12 @@ WORDS = 5
 PERCENT = 80
 #: A group is split so that a part has about this many classes, and this many shingles, at most.
 GROUP_ROWS = 400
-GROUP_SHINGLES = 400_000
+GROUP_SHINGLES = 200_000
 BLOCK_ROWS = 1000
-SETTLE_ROWS = 800
-BLOCK_SHINGLES = 1_000_000
+SETTLE_ROWS = 400
+BLOCK_SHINGLES = 200_000
 #: What one call in a Python worker takes on, in shingles; a class counts as ROW_SHINGLES more.
-BATCH_SHINGLES = 1_000_000
+BATCH_SHINGLES = 500_000
 ROW_SHINGLES = 500
 #: Batches are no reason for more partitions than that; each then takes several.
 MOST_PARTITIONS = 20_000
@@ -164,14 +164,14 @@ def shared_codes(classes: DataFrame, percent: int) -> DataFrame:
 
 
 class Trie:
-    """Ordered sets, stored by their common beginnings.
+    """Ordered sets of ranks, stored by their common beginnings.
 
     Of a set only the codes counted are given, unless it is whole: n is its size, late how many of it are not counted.
     """
 
     def __init__(self, sets: list[np.ndarray], n: np.ndarray, late: np.ndarray, whole: np.ndarray, percent: int):
         self.sets, self.n, self.late, self.whole, self.t = sets, n, late, whole, percent
-        self.order = np.array(sorted(range(len(sets)), key=lambda i: sets[i].tolist()), dtype=np.int64)
+        self.order = np.array(sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes()), dtype=np.int64)
         self.root, children = self._node(0, len(sets), 0)
         todo = [(self.root, children)]
         while todo:
