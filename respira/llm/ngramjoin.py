@@ -169,8 +169,8 @@ class Trie:
     Of a set only the codes counted are given, unless it is whole: n is its size, late how many of it are not counted.
     """
 
-    def __init__(self, sets: list[np.ndarray], n: np.ndarray, late: np.ndarray, whole: np.ndarray, percent: int):
-        self.sets, self.n, self.late, self.whole, self.t = sets, n, late, whole, percent
+    def __init__(self, sets: list[np.ndarray], n: np.ndarray, late: np.ndarray, whole: np.ndarray, percent: int, first: int = 0):
+        self.sets, self.n, self.late, self.whole, self.t, self.first = sets, n, late, whole, percent, first
         self.order = np.array(sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes()), dtype=np.int64)
         self.root, children = self._node(0, len(sets), 0)
         todo = [(self.root, children)]
@@ -183,7 +183,7 @@ class Trie:
                     todo.append((child, below))
 
     def _node(self, lo: int, hi: int, depth: int) -> tuple[tuple, list[tuple[int, int]]]:
-        """((lo, hi, segment, depth after it, longest, smallest n, most late, all whole, sets ending here, children), spans of children)."""
+        """((lo, hi, segment, depth after it, longest, smallest n, most late, all whole, sets ending here, how much of the segment comes before first, the set if it is one alone, children), spans of children)."""
         at_ = lambda i: self.sets[self.order[i]]
         a, b = at_(lo), at_(hi - 1)
         m = min(len(a), len(b))
@@ -202,28 +202,28 @@ class Trie:
             at = low
         rows = self.order[lo:hi]
         longest = max(len(self.sets[i]) for i in rows)
-        return (lo, hi, a[depth:end], end, longest, int(self.n[rows].min()), int(self.late[rows].max()), bool(self.whole[rows].all()), ends, []), spans
+        before, alone = int(a[depth:end].searchsorted(self.first)) if self.first else 0, int(rows[0]) if hi - lo == 1 else -1
+        return (lo, hi, a[depth:end], end, longest, int(self.n[rows].min()), int(self.late[rows].max()), bool(self.whole[rows].all()), ends, before, alone, []), spans
 
-    def similar(self, held: np.ndarray, length: int, n: int, late: int, whole: bool, own: int, label: np.ndarray, first: int = 0) -> Iterator[tuple[int, int]]:
+    def similar(self, held: np.ndarray, length: int, n: int, late: int, whole: bool, own: int, label: np.ndarray) -> Iterator[tuple[int, int]]:
         """(set, overlap of what is given) of those that may be similar to one of `length` given codes, which are marked in `held`.
 
         Where both sets are whole they are similar indeed; else what is not counted of the smaller may be common too. Sets
-        whose label is `own` are left out, with the subtrees of such, and those with a common code before `first`.
+        whose label is `own` are left out, with the subtrees of such, and those with a common code before the trie's `first`.
         """
         todo = [(self.root, 0)]
         while todo:
-            (lo, hi, segment, depth, longest, smallest, most_late, all_whole, ends, children), overlap = todo.pop()
-            rows = self.order[lo:hi]
-            if (label[rows] == own).all():
+            (lo, hi, segment, depth, longest, smallest, most_late, all_whole, ends, before, alone, children), overlap = todo.pop()
+            if label[alone] == own if alone >= 0 else (label[self.order[lo:hi]] == own).all():
                 continue
             common = held[segment]
-            if first and common[: int(segment.searchsorted(first))].any():
+            if before and common[:before].any():
                 continue
-            overlap += int(common.sum())
+            overlap += int(np.count_nonzero(common))
             unseen = 0 if whole and all_whole else min(late, most_late)
             if (overlap + min(longest - depth, length - overlap) + unseen) * (100 + self.t) < self.t * (n + smallest):
                 continue
-            for i in rows[:ends].tolist():
+            for i in self.order[lo : lo + ends].tolist():
                 unseen = 0 if whole and self.whole[i] else min(late, int(self.late[i]))
                 if label[i] != own and (overlap + unseen) * (100 + self.t) >= self.t * (n + int(self.n[i])):
                     yield i, overlap
@@ -261,11 +261,11 @@ def met(
     start = 0 if first is None else int(np.unique(np.concatenate(sets)).searchsorted(first))
     ids, size = ranked(sets)
     label, out, held = label.copy(), [], np.zeros(size, dtype=bool)
-    trie = Trie([ids[i] for i in base], n[base], late[base], whole[base], percent)
+    trie = Trie([ids[i] for i in base], n[base], late[base], whole[base], percent, start)
     there = label[base]
     for own in queries.tolist():
         held[ids[own]] = True
-        for x, overlap in trie.similar(held, len(ids[own]), int(n[own]), int(late[own]), bool(whole[own]), label[own], there, start):
+        for x, overlap in trie.similar(held, len(ids[own]), int(n[own]), int(late[own]), bool(whole[own]), label[own], there):
             other = int(base[x])
             if label[other] != label[own] and (accept is None or accept(own, other, overlap)):
                 out.append((own, other))
