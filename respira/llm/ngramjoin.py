@@ -51,6 +51,7 @@ GROUP_SHINGLES = 200_000
 BLOCK_ROWS = 1000
 SETTLE_ROWS = 400
 BLOCK_SHINGLES = 200_000
+THINNED_PAIRS = 200_000
 #: What one call in a Python worker takes on, in shingles; a class counts as ROW_SHINGLES more.
 BATCH_SHINGLES = 500_000
 ROW_SHINGLES = 500
@@ -443,11 +444,30 @@ def _open_pairs(rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     known = shared.select("doc_id", "early", "whole", "met").hint("shuffle_merge")
     dealt = _blocks(rows, shared.select("doc_id", "n"), percent, BLOCK_ROWS)
     found = by_group(dealt, ["token", "band", "i", "j"], meet, "a long, b long", lambda df: df.join(known, "doc_id"))
-    out = saved(found.distinct())
-    released(dealt)
+    every = saved(found.distinct())
+    out = saved(every.repartition(1 + every.count() // THINNED_PAIRS).mapInPandas(thinned, "a long, b long"))
+    released(dealt, every)
     return out
 
 
+def thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of a partition that join what none before it joined: forests of many blocks over the same classes become one."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for pdf in batches:
+        keep = np.zeros(len(pdf), dtype=bool)
+        for i, (a, b) in enumerate(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True)):
+            a, b = top(a), top(b)
+            if a != b:
+                parent[a], keep[i] = b, True
+        yield pdf[keep]
+
+
 def _settled(pairs: DataFrame, rows: DataFrame, docs: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) as a written table: links between components that hang together (pairs), among the classes of rows (token, doc_id, label).
 
