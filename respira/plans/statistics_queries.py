@@ -28,10 +28,13 @@ q("a10_median_iqr", "SELECT l_suppkey, round(median(l_quantity), 6) AS median, r
 q("a11_scenario_stats", "WITH c AS (SELECT l_suppkey, count(*)::DOUBLE AS n FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY l_suppkey) SELECT count(n) AS n, sum(n) AS total, min(n) AS min, quantile_cont(n, 0.25) AS p25, median(n) AS median, quantile_cont(n, 0.75) AS p75, max(n) AS max, round(max(n) / sum(n), 6) AS largest_share FROM c")(
     lambda s, d: ag.describe(li(s, d).filter("l_suppkey % 2 = 0").groupBy("l_suppkey").agg(F.count(F.lit(1)).cast("double").alias("k")), "k", []).withColumn("largest_share", F.round("largest_share", 6))
 )
+q("a11_scenario_stats_whole", "WITH c AS (SELECT l_suppkey, count(*)::DOUBLE AS n FROM lineitem GROUP BY l_suppkey) SELECT count(n) AS n, sum(n) AS total, min(n) AS min, quantile_cont(n, 0.25) AS p25, median(n) AS median, quantile_cont(n, 0.75) AS p75, max(n) AS max, max(n) / sum(n) AS largest_share FROM c")(
+    lambda s, d: ag.describe(li(s, d).groupBy("l_suppkey").agg(F.count(F.lit(1)).cast("double").alias("k")), "k", [])
+)
 CENSUS = "x AS (SELECT *, l_quantity / 50 AS cov_q, l_discount * 10 AS cov_d FROM (SELECT l_suppkey, l_quantity, l_discount, " + FLAGS + " FROM lineitem))"
 q("a12_hospital_census", f"""WITH {CENSUS}, g AS (SELECT l_suppkey AS hospital, count(*) AS n_stays, count(*) FILTER (f1) AS n_f1, count(*) FILTER (f3) AS n_f3, median(cov_q) AS mq, median(cov_d) AS md FROM x GROUP BY l_suppkey)
-  SELECT hospital, n_stays, n_f1, n_f3, round(mq, 6) AS med_cov_q, round(md, 6) AS med_cov_d, round(n_f1 / n_stays, 6) AS share_f1, round(n_f3 / n_stays, 6) AS share_f3, CASE WHEN mq <= md THEN 'cov_q' ELSE 'cov_d' END AS limiting FROM g""")(
-    lambda s, d: rounded(ag.census(li(s, d).select(F.col("l_suppkey").alias("hospital"), (F.col("l_returnflag") == "R").alias("f1"), (F.col("l_discount") > 0.05).alias("f3"), (F.col("l_quantity") / 50).alias("cov_q"), (F.col("l_discount") * 10).alias("cov_d")), "hospital", ["f1", "f3"], ["cov_q", "cov_d"]), "hospital", "n_stays", "n_f1", "n_f3", "limiting")
+  SELECT hospital, n_stays, n_f1, n_f3, round(mq, 6) AS med_cov_q, round(md, 6) AS med_cov_d, n_f1 / n_stays AS share_f1, n_f3 / n_stays AS share_f3, CASE WHEN mq <= md THEN 'cov_q' ELSE 'cov_d' END AS limiting FROM g""")(
+    lambda s, d: rounded(ag.census(li(s, d).select(F.col("l_suppkey").alias("hospital"), (F.col("l_returnflag") == "R").alias("f1"), (F.col("l_discount") > 0.05).alias("f3"), (F.col("l_quantity") / 50).alias("cov_q"), (F.col("l_discount") * 10).alias("cov_d")), "hospital", ["f1", "f3"], ["cov_q", "cov_d"]), "hospital", "n_stays", "n_f1", "n_f3", "share_f1", "share_f3", "limiting")
 )
 q("a14_label_inventory", f"{WITH} SELECT event_type, count(*) AS n_rows, count(DISTINCT stay_key) AS n_stays FROM ev GROUP BY event_type")(lambda s, d: ev(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("stay_key").alias("n_stays")))
 NAMES = ["f1", "f2", "f3", "f4"]
