@@ -228,6 +228,42 @@ def rbf_kernel(vectors: DataFrame, groups: list[tuple[int, int, float]], gammas:
     other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cells = dealt.withColumn("m", other).select("id", "v", "b", F.least("b", "m").alias("p"), F.greatest("b", "m").alias("q"))
     kind = vectors.schema["id"].dataType.simpleString()
+
+    def rows(p: int, q: int, cell: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        a, b = cell[cell["b"] == p], cell[cell["b"] == q]
+        i, j = a["id"].to_numpy(), b["id"].to_numpy()
+        for at, k in _kernel(a["v"], b["v"], groups, gammas):
+            ids = i[at : at + len(k)]
+            r, c = np.nonzero(ids[:, None] <= j[None, :]) if p == q else np.indices(k.shape).reshape(2, -1)
+            yield pd.DataFrame({"i": np.minimum(ids[r], j[c]), "j": np.maximum(ids[r], j[c]), "k": k[r, c]})
+
+    pairs = cells.groupBy("p", "q").applyInPandas(lambda key, cell: _joined(rows(*key, cell)), f"i {kind}, j {kind}, k double")
+    return pairs.withColumn("k", F.nanvl("k", F.lit(None).cast("double")))
+
+
+def rbf_rows(queries: DataFrame, vectors: DataFrame, groups: list[tuple[int, int, float]], gammas: list[float], block: int = 500) -> DataFrame:
+    """Rows of that kernel: every query i against every vector j, a task taking a block of each. Otherwise as rbf_kernel."""
+    a, b = (df.filter(F.col("id").isNotNull()).select("id", F.col("v").cast("array<double>").alias("v")) for df in (queries, vectors))
+    n, m = (max(1, ceil(df.count() / block)) for df in (a, b))
+    deal = lambda df, k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = a.select("id", "v", F.lit(True).alias("query"), deal(a, n).alias("p"), each(m).alias("q"))
+    right = b.select("id", "v", F.lit(False).alias("query"), each(n).alias("p"), deal(b, m).alias("q"))
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def rows(cell: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        x, y = cell[cell["query"]], cell[~cell["query"]]
+        i, j = x["id"].to_numpy(), y["id"].to_numpy()
+        for at, k in _kernel(x["v"], y["v"], groups, gammas):
+            r, c = np.indices(k.shape).reshape(2, -1)
+            yield pd.DataFrame({"i": i[at + r], "j": j[c], "k": k[r, c]})
+
+    pairs = left.unionByName(right).groupBy("p", "q").applyInPandas(lambda cell: _joined(rows(cell)), f"i {kind}, j {kind}, k double")
+    return pairs.withColumn("k", F.nanvl("k", F.lit(None).cast("double")))
+
+
+def _kernel(a: pd.Series, b: pd.Series, groups: list[tuple[int, int, float]], gammas: list[float]) -> Iterator[tuple[int, np.ndarray]]:
+    """Kernel values of up to 32 rows of a against all of b, with the first row's place; NaN where a value is missing."""
     width = max(start + length - 1 for start, length, _ in groups)
 
     def matrix(values: pd.Series) -> np.ndarray:
@@ -238,20 +274,13 @@ def rbf_kernel(vectors: DataFrame, groups: list[tuple[int, int, float]], gammas:
                 row[: len(v)] = v
         return out
 
-    def rows(p: int, q: int, cell: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        a, b = cell[cell["b"] == p], cell[cell["b"] == q]
-        x, y, i, j = matrix(a["v"]), matrix(b["v"]), a["id"].to_numpy(), b["id"].to_numpy()
-        for at in range(0, len(i), 32):
-            ids = i[at : at + 32]
-            k = np.zeros((len(ids), len(j)))
-            for (start, length, weight), gamma in zip(groups, gammas, strict=True):
-                cut = slice(start - 1, start - 1 + length)
-                k += weight * np.exp(-gamma * ((x[at : at + 32, None, cut] - y[None, :, cut]) ** 2).sum(axis=2))
-            r, c = np.nonzero(ids[:, None] <= j[None, :]) if p == q else np.indices(k.shape).reshape(2, -1)
-            yield pd.DataFrame({"i": np.minimum(ids[r], j[c]), "j": np.maximum(ids[r], j[c]), "k": k[r, c]})
-
-    pairs = cells.groupBy("p", "q").applyInPandas(lambda key, cell: _joined(rows(*key, cell)), f"i {kind}, j {kind}, k double")
-    return pairs.withColumn("k", F.nanvl("k", F.lit(None).cast("double")))
+    x, y = matrix(a), matrix(b)
+    for at in range(0, len(x), 32):
+        k = np.zeros((len(x[at : at + 32]), len(y)))
+        for (start, length, weight), gamma in zip(groups, gammas, strict=True):
+            cut = slice(start - 1, start - 1 + length)
+            k += weight * np.exp(-gamma * ((x[at : at + 32, None, cut] - y[None, :, cut]) ** 2).sum(axis=2))
+        yield at, k
 
 
 def _joined(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:

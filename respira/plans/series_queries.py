@@ -174,8 +174,7 @@ q("w21_features_at_cutoffs", f"""{WITH}, c AS (SELECT stay_key, admit_h + 24 AS
     lambda s, d: wn.features_at_cutoffs(ev(s, d), fx.stays(s, d).select("stay_key", F.explode(F.array(F.col("admit_h") + 24, F.col("admit_h") + 72)).alias("cutoff_h")), K, 12.0).withColumn("mean", F.round("mean", 6))
 )
 # ---- sorting, limits, sets
-q("s01_stable_sort_rank", f"{WITH} SELECT event_id, row_number() OVER (ORDER BY user_id, t_h, event_id)::INTEGER AS pos FROM ev WHERE user_id < 20")(lambda s, d: wn.global_rank(ev(s, d).filter("user_id < 20").select("event_id", "user_id", "t_h"), ["user_id", "t_h", "event_id"]).select("event_id", F.col("pos").cast("int").alias("pos")))
-q("s01_stable_sort_rank_whole", f"{WITH} SELECT event_id, row_number() OVER (ORDER BY user_id, t_h, event_id) AS pos FROM ev")(lambda s, d: wn.global_rank(ev(s, d).select("event_id", "user_id", "t_h"), ["user_id", "t_h", "event_id"]).select("event_id", "pos"))
+q("s01_stable_sort_rank", f"{WITH} SELECT event_id, row_number() OVER (ORDER BY user_id, t_h, event_id) AS pos FROM ev")(lambda s, d: wn.global_rank(ev(s, d).select("event_id", "user_id", "t_h"), ["user_id", "t_h", "event_id"]).select("event_id", "pos"))
 q("s02_top_per_group", f"{WITH}, {ANNOTATED} SELECT stay_key, start_h, end_h FROM annotated QUALIFY row_number() OVER (PARTITION BY stay_key ORDER BY end_h - start_h DESC, start_h) = 1")(lambda s, d: wn.top_per_group(annotated(s, d), K, [F.desc(F.col("end_h") - F.col("start_h")), F.col("start_h")]))
 q("s03_top_n", f"{WITH} SELECT event_id, value FROM ev ORDER BY value DESC, event_id LIMIT 50")(lambda s, d: ev(s, d).orderBy(F.desc("value"), "event_id").limit(50).select("event_id", "value"))
 q("s04_most_common", "SELECT p_type, count(*) AS n FROM part GROUP BY p_type ORDER BY n DESC, p_type LIMIT 3")(lambda s, d: fx.table(s, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p_type").limit(3))

@@ -25,10 +25,7 @@ n_if = lambda c: F.count(F.when(c, 1))
 q("a10_median_iqr", "SELECT l_suppkey, round(median(l_quantity), 6) AS median, round(quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25), 6) AS iqr FROM lineitem GROUP BY l_suppkey")(
     lambda s, d: li(s, d).groupBy("l_suppkey").agg(F.round(F.median("l_quantity"), 6).alias("median"), F.round(F.percentile("l_quantity", F.lit(0.75)) - F.percentile("l_quantity", F.lit(0.25)), 6).alias("iqr"))
 )
-q("a11_scenario_stats", "WITH c AS (SELECT l_suppkey, count(*)::DOUBLE AS n FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY l_suppkey) SELECT count(n) AS n, sum(n) AS total, min(n) AS min, quantile_cont(n, 0.25) AS p25, median(n) AS median, quantile_cont(n, 0.75) AS p75, max(n) AS max, round(max(n) / sum(n), 6) AS largest_share FROM c")(
-    lambda s, d: ag.describe(li(s, d).filter("l_suppkey % 2 = 0").groupBy("l_suppkey").agg(F.count(F.lit(1)).cast("double").alias("k")), "k", []).withColumn("largest_share", F.round("largest_share", 6))
-)
-q("a11_scenario_stats_whole", "WITH c AS (SELECT l_suppkey, count(*)::DOUBLE AS n FROM lineitem GROUP BY l_suppkey) SELECT count(n) AS n, sum(n) AS total, min(n) AS min, quantile_cont(n, 0.25) AS p25, median(n) AS median, quantile_cont(n, 0.75) AS p75, max(n) AS max, max(n) / sum(n) AS largest_share FROM c")(
+q("a11_scenario_stats", "WITH c AS (SELECT l_suppkey, count(*)::DOUBLE AS n FROM lineitem GROUP BY l_suppkey) SELECT count(n) AS n, sum(n) AS total, min(n) AS min, quantile_cont(n, 0.25) AS p25, median(n) AS median, quantile_cont(n, 0.75) AS p75, max(n) AS max, max(n) / sum(n) AS largest_share FROM c")(
     lambda s, d: ag.describe(li(s, d).groupBy("l_suppkey").agg(F.count(F.lit(1)).cast("double").alias("k")), "k", [])
 )
 CENSUS = "x AS (SELECT *, l_quantity / 50 AS cov_q, l_discount * 10 AS cov_d FROM (SELECT l_suppkey, l_quantity, l_discount, " + FLAGS + " FROM lineitem))"
@@ -55,7 +52,7 @@ q("a19_correction_verdict", "WITH x AS (SELECT l_returnflag AS k, avg((l_discoun
 )
 # calibration sweep: intervals at several gaps over thinned annotations against the reference intervals of 10 h
 GAPS = (6.0, 8.0, 10.0, 12.0)
-SWEEP = f"""{ANNOTATED}, gaps AS (SELECT unnest([6.0::DOUBLE, 8.0::DOUBLE, 10.0::DOUBLE, 12.0::DOUBLE]) AS gap), thin AS (SELECT stay_key, t_h FROM adj WHERE event_id % 3 <> 0),
+SWEEP = f"""{ANNOTATED}, gaps AS (SELECT unnest([6.0::DOUBLE, 8.0::DOUBLE, 10.0::DOUBLE, 12.0::DOUBLE]) AS gap), thin AS (SELECT stay_key, min(t_h) AS t_h FROM adj GROUP BY stay_key UNION ALL SELECT stay_key, t FROM (SELECT a.stay_key, min(n.t_h) AS t FROM thin a JOIN adj n ON n.stay_key = a.stay_key AND n.t_h - a.t_h >= 3.0::DOUBLE - 1e-9::DOUBLE GROUP BY a.stay_key)),
   runs AS (SELECT gap, stay_key, t_h, sum(fresh) OVER (PARTITION BY gap, stay_key ORDER BY t_h ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT gap, stay_key, t_h, CASE WHEN t_h - lag(t_h) OVER (PARTITION BY gap, stay_key ORDER BY t_h) <= gap + 1e-9 THEN 0 ELSE 1 END AS fresh FROM thin, gaps)),
   found AS (SELECT gap, stay_key, min(t_h) AS s, max(t_h) AS e FROM runs GROUP BY gap, stay_key, g HAVING max(t_h) > min(t_h)),
   refs AS (SELECT gap, stay_key, start_h, end_h FROM annotated, gaps),
@@ -64,10 +61,15 @@ SWEEP = f"""{ANNOTATED}, gaps AS (SELECT unnest([6.0::DOUBLE, 8.0::DOUBLE, 10.0:
   byfound AS (SELECT gap, sum(e - s) AS hours, count(*) AS n_found FROM found GROUP BY gap)"""
 
 
+def thinned(s, d):
+    """Annotations at least three hours apart within a stay."""
+    return iv.subsample_times(fx.adjustments(s, d).select("stay_key", "t_h"), K, 3.0).select("stay_key", "t_h")
+
+
 def sweep(s, d):
     """One job for all gaps: parameters are rows."""
     gaps = F.explode(F.array(*(F.lit(g) for g in GAPS)))
-    thin = fx.adjustments(s, d).filter("event_id % 3 <> 0").select("stay_key", "t_h").withColumn("gap", gaps)
+    thin = thinned(s, d).withColumn("gap", gaps)
     w = Window.partitionBy("gap", "stay_key").orderBy("t_h")
     fresh = F.when(F.col("t_h") - F.lag("t_h").over(w) <= F.col("gap") + 1e-9, 0).otherwise(1)
     runs = thin.withColumn("fresh", fresh).withColumn("g", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -84,10 +86,10 @@ def sweep(s, d):
     return byref.join(found.groupBy("gap").agg(F.sum(F.col("e") - F.col("s")).alias("hours"), F.count(F.lit(1)).alias("n_found")), "gap")
 
 
-q("a20_calibration_sweep", f"{WITH}, {SWEEP} SELECT gap, n_ref, n_lost, n_found, round(hours - ov, 6) AS extra_h, round(fragments, 6) AS fragments, round(start_err, 6) AS start_err, round(end_err, 6) AS end_err, round(end2, 6) AS end2 FROM byref JOIN byfound USING (gap)")(
-    lambda s, d: sweep(s, d).select("gap", "n_ref", "n_lost", "n_found", F.round(F.col("hours") - F.col("ov"), 6).alias("extra_h"), *map(R, ("fragments", "start_err", "end_err", "end2")))
+q("a20_calibration_sweep", f"WITH RECURSIVE {fx.SQL}, {SWEEP} SELECT gap, n_ref, n_lost, n_found, round(hours - ov, 6) + 0.0::DOUBLE AS extra_h, round(fragments, 6) AS fragments, round(start_err, 6) AS start_err, round(end_err, 6) AS end_err, round(end2, 6) AS end2 FROM byref JOIN byfound USING (gap)")(
+    lambda s, d: sweep(s, d).select("gap", "n_ref", "n_lost", "n_found", (F.round(F.col("hours") - F.col("ov"), 6) + F.lit(0.0)).alias("extra_h"), *map(R, ("fragments", "start_err", "end_err", "end2")))
 )
-q("a21_error_stats", f"""{WITH}, {SWEEP} SELECT gap, count(e) AS n, round(median(e - end_h), 6) AS median, round(quantile_cont(e - end_h, 0.75) - quantile_cont(e - end_h, 0.25), 6) AS iqr, round(quantile_cont(abs(e - end_h), 0.9), 6) AS p90_abs, round(avg((abs(e - end_h) <= 1)::INT) * 100, 6) AS within1,
+q("a21_error_stats", f"""WITH RECURSIVE {fx.SQL}, {SWEEP} SELECT gap, count(e) AS n, round(median(e - end_h), 6) AS median, round(quantile_cont(e - end_h, 0.75) - quantile_cont(e - end_h, 0.25), 6) AS iqr, round(quantile_cont(abs(e - end_h), 0.9), 6) AS p90_abs, round(avg((abs(e - end_h) <= 1)::INT) * 100, 6) AS within1,
   round(avg((abs(e - end_h) <= 2)::INT) * 100, 6) AS within2, round(avg((abs(e - end_h) <= 4)::INT) * 100, 6) AS within4, round(quantile_cont(e - end_h, 0.1), 6) AS p10, round(quantile_cont(e - end_h, 0.9), 6) AS p90 FROM hits GROUP BY gap""")(
     lambda s, d: rounded(ag.error_stats(sweep_hits(s, d), "err", ["gap"]), "gap", "n")
 )
@@ -95,7 +97,7 @@ q("a21_error_stats", f"""{WITH}, {SWEEP} SELECT gap, count(e) AS n, round(median
 
 def sweep_hits(s, d):
     gaps = F.explode(F.array(*(F.lit(g) for g in GAPS)))
-    thin = fx.adjustments(s, d).filter("event_id % 3 <> 0").select("stay_key", "t_h").withColumn("gap", gaps)
+    thin = thinned(s, d).withColumn("gap", gaps)
     w = Window.partitionBy("gap", "stay_key").orderBy("t_h")
     fresh = F.when(F.col("t_h") - F.lag("t_h").over(w) <= F.col("gap") + 1e-9, 0).otherwise(1)
     runs = thin.withColumn("fresh", fresh).withColumn("g", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -109,7 +111,7 @@ STRATA = "st AS (SELECT l_linenumber AS gap, l_returnflag AS stratum, avg(l_disc
 q("a22_choose_gap", f"WITH {STRATA}, p AS (SELECT gap, bool_and(ok) AS ok, min(score) AS worst FROM st GROUP BY gap) SELECT gap, round(worst, 6) AS worst FROM p WHERE ok AND worst >= (SELECT max(worst) FROM p WHERE ok) - 0.02 ORDER BY gap LIMIT 1")(
     lambda s, d: ag.choose_gap(li(s, d).groupBy(F.col("l_linenumber").alias("gap"), F.col("l_returnflag").alias("stratum")).agg((F.avg("l_discount") * 10).alias("score"), (F.avg("l_tax") < 0.0405).alias("ok"))).withColumn("worst", F.round("worst", 6))
 )
-q("x40_worst_score", f"{WITH}, {SWEEP} SELECT gap, round((end2 + CASE WHEN gap < 8 THEN 0 ELSE fragments END) / CASE WHEN gap < 8 THEN 1 ELSE 2 END, 6) AS score FROM byref")(
+q("x40_worst_score", f"WITH RECURSIVE {fx.SQL}, {SWEEP} SELECT gap, round((end2 + CASE WHEN gap < 8 THEN 0 ELSE fragments END) / CASE WHEN gap < 8 THEN 1 ELSE 2 END, 6) AS score FROM byref")(
     lambda s, d: sweep(s, d).select("gap", F.round(ag.worst_score(F.col("end2"), F.when(F.col("gap") >= 8, F.col("fragments"))), 6).alias("score"))
 )
 q("x32_weighted_error", "WITH x AS (SELECT l_returnflag, avg(l_discount) AS v, count(*) AS w FROM lineitem GROUP BY 1) SELECT round(sum(v * w) / sum(w), 6) AS weighted FROM x")(
@@ -223,8 +225,9 @@ q("m10_base_curve", f"""{WITH}, x AS (SELECT ln(1 + (t_h - admit_h)) AS x, disch
 )
 q("m11_curve_lookup", f"{WITH} SELECT event_id, round(CASE WHEN least(greatest(value, 10), 400) <= 100 THEN 1 + (least(greatest(value, 10), 400) - 10) * (2.0 / 90) ELSE 3 + (least(greatest(value, 10), 400) - 100) * (-2.5 / 300) END, 6) AS base FROM ev")(lambda s, d: ev(s, d).select("event_id", F.round(pt.curve_lookup(ev(s, d), "value", [(10.0, 1.0), (100.0, 3.0), (400.0, 0.5)]), 6).alias("base")))
 q("m12_residual_targets", f"{WITH} SELECT event_id, round(ln(greatest(value, 1e-6)) - 2.5, 6) AS residual FROM ev")(lambda s, d: ev(s, d).select("event_id", F.round(F.log(F.greatest("value", F.lit(1e-6))) - 2.5, 6).alias("residual")))
-q("m19_rbf_kernel", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 40) SELECT a.vec_id AS i, b.vec_id AS j, round(0.5 * exp(-0.1 * list_sum(list_transform(range(1, 33), lambda k: (a.e[k] - b.e[k]) ** 2))) + 0.5 * exp(-0.2 * list_sum(list_transform(range(33, 65), lambda k: (a.e[k] - b.e[k]) ** 2))), 6) AS k FROM v a JOIN v b ON a.vec_id <= b.vec_id")(
-    lambda s, d: ag.rbf_kernel(fx.table(s, d, "embeddings").filter("vec_id < 40").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), [(1, 32, 0.5), (33, 32, 0.5)], [0.1, 0.2]).select("i", "j", R("k"))
+KERNEL = "round(0.5 * exp(-0.1 * list_sum(list_transform(range(1, 33), lambda k: (a.e[k] - b.e[k]) ** 2))) + 0.5 * exp(-0.2 * list_sum(list_transform(range(33, 65), lambda k: (a.e[k] - b.e[k]) ** 2))), 6)"
+q("m19_rbf_kernel", f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, {KERNEL} AS k FROM v a JOIN v b ON a.vec_id % 100 = 0")(
+    lambda s, d: (lambda v: ag.rbf_rows(v.filter("id % 100 = 0"), v, [(1, 32, 0.5), (33, 32, 0.5)], [0.1, 0.2]).select("i", "j", R("k")))(fx.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
 )
 q("m19_rbf_kernel_whole", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, round(0.5 * exp(-0.1 * list_sum(list_transform(range(1, 33), lambda k: (a.e[k] - b.e[k]) ** 2))) + 0.5 * exp(-0.2 * list_sum(list_transform(range(33, 65), lambda k: (a.e[k] - b.e[k]) ** 2))), 6) AS k FROM v a JOIN v b ON a.vec_id <= b.vec_id")(
     lambda s, d: ag.rbf_kernel(fx.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), [(1, 32, 0.5), (33, 32, 0.5)], [0.1, 0.2]).select("i", "j", R("k"))

@@ -19,8 +19,8 @@ SF = "/root/testdata/sf0.01"
 def test_rank_of_all_events(spark):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{SF}/events.parquet'")
-    got = entry.queries()["s01_stable_sort_rank_whole"](spark, SF)
-    want = con.execute(entry.oracle_sql()["s01_stable_sort_rank_whole"]).fetchall()
+    got = entry.queries()["s01_stable_sort_rank"](spark, SF)
+    want = con.execute(entry.oracle_sql()["s01_stable_sort_rank"]).fetchall()
     data = got.collect()
     assert len(data) == spark.read.parquet(f"{SF}/events.parquet").count()
     assert rows(got.columns, data) == rows(["event_id", "pos"], want)
@@ -64,3 +64,18 @@ def test_kernel_in_blocks(spark):
     for block in (500, 7):
         got = ag.rbf_kernel(df, [(1, 1, 0.25), (2, 2, 0.75)], [0.1, 0.5], block=block)
         assert rows(["i", "j", "k"], got.select("i", "j", "k").collect()) == rows(["i", "j", "k"], want)
+
+
+def test_kernel_of_queries_against_all(spark):
+    data = [(i % 17 if i < 20 else i, [float(i), 0.0, float(i * i % 5)]) for i in range(40)] + [(50, None), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(data, "id long, v array<double>")
+    queries = df.filter("id % 5 = 0 or id is null")
+
+    def one(x, y):
+        return None if x is None or y is None else 0.25 * math.exp(-0.1 * (x[0] - y[0]) ** 2) + 0.75 * math.exp(-0.5 * ((x[1] - y[1]) ** 2 + (x[2] - y[2]) ** 2))
+
+    want = [(i, j, one(x, y)) for i, x in data for j, y in data if i is not None and j is not None and i % 5 == 0]
+    for block in (500, 7):
+        got = ag.rbf_rows(queries, df, [(1, 1, 0.25), (2, 2, 0.75)], [0.1, 0.5], block=block)
+        assert rows(["i", "j", "k"], got.collect()) == rows(["i", "j", "k"], want)
+    assert ag.rbf_rows(queries.limit(0), df, [(1, 1, 1.0)], [0.1]).count() == 0
