@@ -103,3 +103,9 @@ def curve_lookup(rows: DataFrame, t: str, curve: list[tuple[float, float]]) -> C
     x = F.greatest(F.least(F.col(t), F.lit(curve[-1][0])), F.lit(curve[0][0]))
     pieces = [F.when((x >= a) & (x <= b), F.lit(u) + (x - a) * ((v - u) / (b - a))) for (a, u), (b, v) in zip(curve, curve[1:], strict=False)]
     return F.coalesce(*pieces) if pieces else F.lit(curve[0][1])
+
+
+def residual_targets(rows: DataFrame, t: str, remaining: str, curve: list[tuple[float, float]]) -> DataFrame:
+    """Rows with `residual`: log of what remains less log of the base curve at t, both floored at a millionth."""
+    floor = F.lit(1e-6)
+    return rows.withColumn("residual", F.log(F.greatest(F.col(remaining), floor)) - F.log(F.greatest(curve_lookup(rows, t, curve), floor)))

@@ -57,6 +57,35 @@ def melted(wide: DataFrame, ids: list[str], columns: dict[str, str]) -> DataFram
     return named.unpivot(ids, list(columns.values()), "variable", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def constants(tables: list[tuple[DataFrame, dict[str, str]]], ids: list[str]) -> DataFrame:
+    """Values charted once, of several wide tables, as long rows."""
+    out = None
+    for wide, columns in tables:
+        rows = melted(wide, ids, columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def with_epochs(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Seconds since 1970 of timestamp columns under new names; a time without zone counts as UTC."""
+    us = lambda c: F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(`{c}` AS timestamp_ntz))")
+    return rows.withColumns({new: us(old) / 1e6 for old, new in columns.items()})
+
+
+def ids_of(rows: DataFrame, key: str, column: str, value: str) -> DataFrame:
+    """Distinct keys of the rows of one system."""
+    return rows.filter(F.col(column) == value).select(key).distinct()
+
+
+def known(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.dropna(subset=columns)
+
+
+def annotated_sites(rows: DataFrame, sites: DataFrame, key: str, defaults: dict[str, str]) -> DataFrame:
+    """Rows with their site's annotations; missing ones take their default."""
+    return rows.join(sites, key, "left").fillna(defaults)
+
+
 def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, c) for c, items in CHART_ITEMS.items() for i in items], "itemid long, concept string")
 
