@@ -161,11 +161,10 @@ def hash_order(seed: int, identity: Column) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit("-"), identity.cast("string")))
 
 
-def global_rank(rows: DataFrame, order: list[str], name: str = "pos", part_rows: int = 500_000) -> DataFrame:
-    """Rows with their 1-based position in the ascending order of all rows, nulls first; `order` must leave no ties.
+def _by_ranges(rows: DataFrame, order: list[str], part_rows: int) -> DataFrame:
+    """Rows with __part, the number of their range of the ascending order, nulls first; equal ones share a range.
 
-    Rows are dealt by ranges of the order, counted and numbered per range; a range's offset is the rows of those before.
-    The ranges' bounds are sampled: they decide which task numbers a row, not its position.
+    The ranges' bounds are sampled: they decide which task has a row, not what comes of it.
     """
     spark = rows.sparkSession
     total = rows.count()
@@ -183,12 +182,38 @@ def global_rank(rows: DataFrame, order: list[str], name: str = "pos", part_rows:
         below = lambda found: F.size(F.filter(found, lambda b: b <= key))
         group = F.greatest(below(F.array(*(literal(g[0]) for g in groups))) - 1, F.lit(0))
         part = group * step + below(F.element_at(F.array(*(F.array(*map(literal, g)) for g in groups)), group + 1))
-    dealt = rows.withColumn("__part", part)
-    counts = {r["__part"]: r["n"] for r in dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return rows.withColumn("__part", part)
+
+
+def _offsets(sums: dict[int, float], kind: str) -> Column:
+    """The sum over all ranges before a row's own."""
     before, offsets = 0, []
-    for i in range(max(counts, default=0) + 1):
+    for i in range(max(sums, default=0) + 1):
         offsets.append(before)
-        before += counts.get(i, 0)
+        before += sums.get(i) or 0
+    return F.element_at(F.array(*(F.lit(o).cast(kind) for o in offsets)), F.col("__part") + 1)
+
+
+def global_rank(rows: DataFrame, order: list[str], name: str = "pos", part_rows: int = 500_000) -> DataFrame:
+    """Rows with their 1-based position in the ascending order of all rows, nulls first; `order` must leave no ties.
+
+    Rows are dealt by ranges of the order, counted and numbered per range; a range's offset is the rows of those before.
+    """
+    dealt = _by_ranges(rows, order, part_rows)
+    counts = {r["__part"]: r["n"] for r in dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*order)).cast("long")
-    offset = F.element_at(F.array(*(F.lit(o).cast("long") for o in offsets)), F.col("__part") + 1)
-    return dealt.withColumn(name, local + offset).drop("__part")
+    return dealt.withColumn(name, local + _offsets(counts, "long")).drop("__part")
+
+
+def running_sums(rows: DataFrame, order: list[str], columns: list[str], part_rows: int = 500_000) -> DataFrame:
+    """Rows with <column>_before, the sum of a long column over all rows before it in the order, and <column>_total; `order`
+    must leave no ties. Summed per range of the order, as in global_rank."""
+    dealt = _by_ranges(rows, order, part_rows)
+    per = dealt.groupBy("__part").agg(*(F.sum(c).cast("long").alias(c) for c in columns)).collect()
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt
+    for c in columns:
+        sums = {r["__part"]: r[c] or 0 for r in per}
+        local = F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long")
+        out = out.withColumns({f"{c}_before": local + _offsets(sums, "long"), f"{c}_total": F.lit(sum(sums.values())).cast("long")})
+    return out.drop("__part")

@@ -77,3 +77,13 @@ def test_checks(spark):
     assert t == {
         "a_mechanical_power": (1, 35.0), "b_within_4h": (1, 35.0), "c_within_2h": (0, 0.0), "d_usable_70": (1, 35.0), "e_plausible_4h_30": (1, 35.0), "e2_plausible_4h_50": (0, 0.0), "f_plausible_2h_30": (0, 0.0), "g_plausible_30": (2, 84.0),
     }
+
+
+def test_no_window_over_all_rows(spark):
+    from respira.operators import agreement as ag
+    from respira.operators import partitions as pt
+
+    df = spark.range(300).select("id", (F.col("id") % 50).cast("double").alias("v"), (F.col("id") % 2).alias("g"))
+    for plan in (ag.ks_statistic(df, "v", F.col("g")), ag.mann_whitney(df, "v", F.col("g")), pt.patient_partition(df, "id"), pt.temporal_partition(df, "id", "v"), rp.order_statistics(df, "v", rp.SIX)):
+        windows = [line for line in plan._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in line]
+        assert windows and all("__part" in line for line in windows)
