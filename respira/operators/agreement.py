@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from respira.operators.windows import running_sums
+
 
 def _n(c: Column) -> Column:
     return F.count(F.when(c, 1))
@@ -147,13 +149,16 @@ def group_distance(rows: DataFrame, label: Column, columns: list[str]) -> DataFr
     return rows.agg((F.sqrt(sum((x * x for x in d[1:]), d[0] * d[0])) / F.sqrt(sum(v[1:], v[0]))).alias("separation"))
 
 
-def ks_statistic(rows: DataFrame, value: str, label: Column) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance, by one sort of counts per distinct value."""
+def _value_counts(rows: DataFrame, value: str, label: Column) -> DataFrame:
+    """Distinct values with both groups' counts (a, b), the counts below and in all."""
     per = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(_n(label == 0).alias("a"), _n(label == 1).alias("b"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = F.abs(F.sum("a").over(w) / F.sum("a").over(whole) - F.sum("b").over(w) / F.sum("b").over(whole))
-    return per.select(d.alias("d")).agg(F.max("d").alias("ks"))
+    return running_sums(per, ["v"], ["a", "b"])
+
+
+def ks_statistic(rows: DataFrame, value: str, label: Column) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov distance, by running counts over ranges of the distinct values."""
+    share = lambda c: (F.col(f"{c}_before") + F.col(c)) / F.when(F.col(f"{c}_total") > 0, F.col(f"{c}_total"))
+    return _value_counts(rows, value, label).select(F.abs(share("a") - share("b")).alias("d")).agg(F.max("d").alias("ks"))
 
 
 def welch_t(rows: DataFrame, value: str, label: Column) -> DataFrame:
@@ -163,10 +168,8 @@ def welch_t(rows: DataFrame, value: str, label: Column) -> DataFrame:
 
 
 def mann_whitney(rows: DataFrame, value: str, label: Column) -> DataFrame:
-    """U of group 1, with mid-ranks for ties, from counts per distinct value."""
-    per = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(_n(label == 0).alias("a"), _n(label == 1).alias("b"))
-    before = F.coalesce(F.sum("a").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.select((F.col("b") * (before + F.col("a") / 2)).alias("u")).agg(F.sum("u").alias("u"))
+    """U of group 1, with mid-ranks for ties, from running counts over ranges of the distinct values."""
+    return _value_counts(rows, value, label).select((F.col("b") * (F.col("a_before") + F.col("a") / 2)).alias("u")).agg(F.sum("u").alias("u"))
 
 
 def correlations(rows: DataFrame, columns: list[str], least: float = 0.0) -> DataFrame:

@@ -9,16 +9,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from respira.operators.windows import hash_order
+from respira.operators.windows import global_rank, hash_order
 
 
 def patient_partition(ids: DataFrame, key: str, seed: int = 42, test: float = 0.15, folds: int = 5) -> DataFrame:
-    """split and fold of each id: the first `test` in hash order are held out, the others dealt to folds."""
-    order = Window.orderBy(hash_order(seed, F.col(key)), key)
-    ranked = ids.select(key).distinct().withColumn("r", F.row_number().over(order) - 1)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    cut = F.bround(n * test).cast("int")
-    return ranked.withColumn("cut", cut).select(key, F.when(F.col("r") < F.col("cut"), "test").otherwise("train").alias("split"), F.when(F.col("r") >= F.col("cut"), (F.col("r") - F.col("cut")) % folds).cast("int").alias("fold"))
+    """split and fold of each id: the first `test` in hash order are held out, the others dealt to folds. Ranked by ranges."""
+    ranked = global_rank(ids.select(key).distinct().withColumn("__h", hash_order(seed, F.col(key))), ["__h", key]).withColumn("r", F.col("pos") - 1)
+    cut = ranked.agg(F.bround(F.count(F.lit(1)) * test).cast("int").alias("cut"))
+    held = F.col("r") < F.col("cut")
+    return ranked.join(F.broadcast(cut)).select(key, F.when(held, "test").otherwise("train").alias("split"), F.when(~held, (F.col("r") - F.col("cut")) % folds).cast("int").alias("fold"))
 
 
 def site_partition(rows: DataFrame, site: str, test_sites: list[int], folds: int = 5) -> DataFrame:
@@ -29,12 +28,13 @@ def site_partition(rows: DataFrame, site: str, test_sites: list[int], folds: int
 
 
 def temporal_partition(rows: DataFrame, key: str, time: str, test: float = 0.4, blocks: int = 4) -> DataFrame:
-    """The latest `test` of rows are the test set; the others' blocks grow with time."""
-    w = Window.orderBy(time, key)
-    ranked = rows.select(key, time).withColumns({"r": F.row_number().over(w), "n": F.count(F.lit(1)).over(Window.partitionBy())})
-    train = F.col("r") <= F.bround(F.col("n") * (1 - test))
-    split = ranked.withColumn("split", F.when(train, "train").otherwise("test"))
-    return split.withColumn("block", F.when(F.col("split") == "train", F.ntile(blocks).over(Window.partitionBy("split").orderBy(time, key)) - 1)).select(key, "split", "block")
+    """The latest `test` of rows are the test set; the others' blocks, equal but for one row, grow with time. Ranked by ranges."""
+    ranked = global_rank(rows.select(key, time), [time, key])
+    size = ranked.agg(F.bround(F.count(F.lit(1)) * (1 - test)).cast("long").alias("m")).withColumns({"q": F.floor(F.col("m") / blocks), "more": F.col("m") % blocks})
+    at, q, more = F.col("pos") - 1, F.col("q"), F.col("more")
+    block = F.when(at < more * (q + 1), F.floor(at / (q + 1))).otherwise(more + F.floor((at - more * (q + 1)) / q))
+    train = F.col("pos") <= F.col("m")
+    return ranked.join(F.broadcast(size)).select(key, F.when(train, "train").otherwise("test").alias("split"), F.when(train, block).cast("int").alias("block"))
 
 
 def external_partition(rows: DataFrame, key: str) -> DataFrame:

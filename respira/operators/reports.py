@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from respira.functions.physiology import safi
 from respira.functions.rules import ratio
 from respira.operators import agreement as ag
-from respira.operators.windows import global_rank, hash_order
+from respira.operators.windows import global_rank, hash_order, running_sums
 
 
 def _yes(c: Column) -> Column:
@@ -91,11 +91,11 @@ def missing_channels(present: DataFrame, key: list[str], channel: str, expected:
 
 
 def order_statistics(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """name, value: values at half-even round((n - 1) * share) of all sorted ones, ranked by ranges, nothing gathered."""
-    ranked = global_rank(rows.filter(F.col(value).isNotNull()).select(value), [value])
-    at = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), (F.bround((F.col("n") - 1) * F.lit(p)) + 1).cast("long").alias("pos")) for k, p in shares.items())))
-    wanted = ranked.agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(at.alias("w")).select("w.name", "w.pos")
-    return ranked.join(F.broadcast(wanted), "pos").select("name", F.col(value).alias("value"))
+    """name, value: values at half-even round((n - 1) * share) of all sorted ones, by running counts of the distinct ones."""
+    per = running_sums(rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")), [value], ["n"])
+    at = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.bround((F.col("n_total") - 1) * F.lit(p)).cast("long").alias("pos")) for k, p in shares.items())))
+    found = per.select(F.col(value).alias("value"), "n", "n_before", at.alias("w"))
+    return found.filter((F.col("w.pos") >= F.col("n_before")) & (F.col("w.pos") < F.col("n_before") + F.col("n"))).select("w.name", "value")
 
 
 SIX = {"min": 0.0, "p5": 0.05, "median": 0.5, "p95": 0.95, "max": 1.0}
