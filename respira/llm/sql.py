@@ -114,3 +114,21 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+OP13 = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), anchors AS (
+  SELECT row_number() OVER () AS k, * FROM v WHERE vec_id % 100 = 0
+), scores AS (
+  SELECT k, a.vec_id AS anchor_id, v.vec_id AS other_id, a.label = v.label AS same, list_inner_product(a.q, v.q)::BIGINT AS score FROM anchors a JOIN v ON a.vec_id <> v.vec_id
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, other_id) AS place FROM scores WHERE same QUALIFY place <= 5
+), negatives AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.k, place ORDER BY n.score DESC, n.other_id)::INTEGER AS rank
+  FROM positives p JOIN scores n ON n.k = p.k AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5
+"""
