@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respira.llm import flac, hardnegatives, htmltext, linededup, mixing, ngramjoin, packing, quality, rules, secrets, sql, toxicity
+from respira.llm import flac, hardnegatives, htmltext, linededup, mixing, ngramjoin, packing, quality, rules, secrets, sql, toxicity, turntrie
 from respira.llm.common import table
 from respira.registry import Registry
 
@@ -65,6 +65,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@REGISTRY.query("op11_turn_trie", sql.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.family_trie(table(spark, sf_dir, "conversations"))
+
+
 @REGISTRY.query("op13_hard_negatives", sql.OP13)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.mined(table(spark, sf_dir, "embeddings"))

@@ -132,3 +132,34 @@ WITH v AS (
 )
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5
 """
+
+# crc32 of an id's digits: each digit's code, then eight shifts
+CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: [ord(d), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
+OP11 = rf"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), wide AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS own FROM turns GROUP BY conv_id
+), hashed AS (
+  SELECT *, {CRC} % 9 AS h FROM wide
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(list_slice(coalesce(b.own, []), 1, h), list_slice(c.own, h + 1, len(c.own))) AS seq FROM hashed c LEFT JOIN wide b ON b.conv_id = c.conv_id - c.conv_id % 5
+), prefixes AS (
+  SELECT conv_id, d, list_slice(seq, 1, d) AS p FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n FROM prefixes GROUP BY d, p
+), kids AS (
+  SELECT d - 1 AS d, list_slice(p, 1, d - 1) AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2
+), below AS (
+  SELECT q.d, q.p, count(*) FILTER (k.n IS NULL) AS n_leaves, sum(CASE WHEN u.d = 0 THEN 0 ELSE (u.n - 1) * strlen(u.p[u.d].text) END)::BIGINT AS saved_tokens
+  FROM nodes u LEFT JOIN kids k ON k.d = u.d AND k.p = u.p JOIN prefixes q ON q.conv_id = u.conv_id AND q.d <= u.d GROUP BY q.d, q.p
+), ends AS (
+  SELECT len(seq) AS d, seq AS p, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM rebuilt GROUP BY 1, 2
+)
+SELECT v.conv_id, v.d AS depth, up.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(k.n, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes v JOIN below b ON b.d = v.d AND b.p = v.p LEFT JOIN kids k ON k.d = v.d AND k.p = v.p LEFT JOIN ends e ON e.d = v.d AND e.p = v.p
+LEFT JOIN nodes up ON up.d = v.d - 1 AND up.p = list_slice(v.p, 1, v.d - 1)
+"""
