@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respira.llm import flac, hardnegatives, htmltext, linededup, mixing, ngramjoin, packing, quality, rules, secrets, sql, toxicity, turntrie
+from respira.llm import flac, hardnegatives, htmltext, linededup, mixing, ngramjoin, packing, quality, rules, secrets, sharding, sql, toxicity, turntrie
 from respira.llm.common import table
 from respira.registry import Registry
 
@@ -70,6 +70,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turntrie.family_trie(table(spark, sf_dir, "conversations"))
 
 
+@REGISTRY.query("op12_shards")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: rounds of moves under quotas; tested against counts, cut links and the best cut of small cases."""
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.query("op13_hard_negatives", sql.OP13)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.mined(table(spark, sf_dir, "embeddings"))
