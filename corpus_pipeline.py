@@ -1,7 +1,13 @@
 """The corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, source mixing, packing.
 
 Each stage works on the rows that its predecessor kept, written as Parquet and read again; all but the last return the
-columns of documents. The mix may hold a document more than once; copies are packed like any other rows.
+columns of documents, and any others that the table has, whatever their names. The mix may hold a document more than once;
+copies are packed like any other rows.
+
+A null text is a text of one empty line: the classifier scores it as empty, the line stage leaves it null, it is linked with
+nothing, counts as one token in the mix and is packed as its end mark alone. A null doc_id or source stays as it is. Very long
+texts are read whole by every stage. Ties: of near copies the smallest doc_id stays, of a common line the largest doc_id's.
+Rows that repeat a doc_id stand and fall together, and the mix takes them as one document. An empty table gives no sequences.
 """
 
 from __future__ import annotations
@@ -9,9 +15,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from respira.llm import linededup, mixing, ngramjoin, packing, quality
-from respira.llm.common import documents_columns, shared_dir, table
+from respira.llm.common import shared_dir, table, write
 from respira.registry import Registry
 
 
@@ -22,8 +29,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def fewer_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many of them share (operator 7); n_chars follows the text."""
-    kept = linededup.dedup_lines(docs)
-    return kept.selectExpr(*(("cast(char_length(text) as bigint) as n_chars" if c == "n_chars" else c) for c in documents_columns(docs)))
+    kept = linededup.without_common_lines(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/respira/{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        write(stage(spark, docs, sf_dir), f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
 

@@ -94,10 +94,6 @@ def chunks(batches: Iterable[pd.DataFrame], text: str = "text") -> Iterator[pd.D
             yield pdf.iloc[start:].reset_index(drop=True)
 
 
-def documents_columns(df: DataFrame) -> list[str]:
-    return [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in df.columns]
-
-
 def text_bytes(value: object) -> bytes:
     return value.encode("utf-8", "surrogatepass") if isinstance(value, str) else b""
 

@@ -277,10 +277,10 @@ class LineIndex:
         lost = lookup(self.hits(common), common.select("key", "keep"), "key").filter(F.col("doc_id") != F.col("keep"))
         return saved(lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys")))
 
-    def apply(self, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-        """docs with the lines they lose taken out of text, and n_lines (before), n_dropped."""
+    def apply(self, docs: DataFrame, min_docs: int = MIN_DOCS, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+        """docs with the lines they lose taken out of text, and under `names` the number of lines before, and dropped."""
         min_chars, own, lost = self.min_chars, f"id_{uuid.uuid4().hex}", f"keys_{uuid.uuid4().hex}"
-        plain = docs.drop("n_lines", "n_dropped")
+        plain = docs.drop(*names)
         losses = self.losses(min_docs).withColumnsRenamed({"doc_id": own, "keys": lost})
         few = (losses.agg(F.sum(F.size(lost))).first()[0] or 0) <= LOOKUP_ROWS
         marked = plain.withColumn(own, F.col("doc_id").cast("long")).join(F.broadcast(losses) if few else losses.hint("shuffle_merge"), own, "left").drop(own)
@@ -299,12 +299,18 @@ class LineIndex:
                     stay = [line for line, k in zip(lines, line_keys(text, min_chars), strict=True) if k not in gone]
                     texts.append("\n".join(stay))
                     dropped.append(len(lines) - len(stay))
-                yield pdf.assign(text=texts, n_lines=np.array(before, np.int64), n_dropped=np.array(dropped, np.int64))
+                yield pdf.assign(text=texts, **{names[0]: np.array(before, np.int64), names[1]: np.array(dropped, np.int64)})
 
-        counts = [StructField("n_lines", LongType()), StructField("n_dropped", LongType())]
+        counts = [StructField(n, LongType()) for n in names]
         return marked.mapInPandas(drop, StructType([*plain.schema.fields, *counts]))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Every row of docs without the lines that at least min_docs documents hold, except in the largest doc_id."""
+    """Every row of docs without the lines that at least min_docs documents hold, except in the largest doc_id; n_lines, n_dropped."""
     return LineIndex.build(docs, min_chars).apply(docs, min_docs)
+
+
+def without_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """As dedup_lines, with the columns of docs as they are, whatever their names."""
+    names = tuple(f"{n}_{uuid.uuid4().hex}" for n in ("n_lines", "n_dropped"))
+    return LineIndex.build(docs, min_chars).apply(docs, min_docs, names).drop(*names)

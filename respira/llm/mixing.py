@@ -20,18 +20,20 @@ text play no part.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from respira.llm.common import saved
+from respira.llm.common import lookup, saved
 
 TARGET_ENTROPY = 0.95
 MAX_REPEATS = 1.5
 BLOCK_TOKENS = 1_000_000
 RANGE_ROWS = 4096
 SEED = 7
-STEPS = 24
+#: Halvings of the exponent's interval in all, and in one aggregate.
+STEPS, BITS = 24, 6
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,25 +49,30 @@ def source_totals(units: DataFrame) -> DataFrame:
 
 
 def exponent(totals: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS) -> float:
-    """The bisected exponent, rounded up to six digits; each step is one aggregate over the table of sources."""
+    """The bisected exponent, rounded up to six digits; six halvings are one aggregate over the table of sources."""
     whole = totals.agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.min("tokens").alias("lo"), F.max("tokens").alias("hi")).first()
     if not whole.t or whole.n == 1:
         return 1.0
     log_share = F.log(F.col("tokens") / F.lit(float(whole.t)))
 
-    def entropy(a: float) -> float:
+    target = target_entropy * math.log(whole.n)
+
+    def enough(exponents: list[float]) -> int:
+        """How many of the exponents, smallest first, keep the entropy: one aggregate over the sources for all of them."""
+        each = totals.select(log_share.alias("l"), F.posexplode(F.array(*map(F.lit, exponents))).alias("i", "a"))
         # with w = e^(a*l) / z: -sum(w log w) = log z - a * sum(l e^(a*l)) / z
-        x = totals.agg(F.sum(F.exp(a * log_share)).alias("z"), F.sum(log_share * F.exp(a * log_share)).alias("y")).first()
-        return math.log(x.z) - a * x.y / x.z
+        sums = each.groupBy("i", "a").agg(F.sum(F.exp(F.col("a") * F.col("l"))).alias("z"), F.sum(F.col("l") * F.exp(F.col("a") * F.col("l"))).alias("y"))
+        good = {r.i for r in sums.collect() if math.log(r.z) - r.a * r.y / r.z >= target}
+        return next((i for i in range(len(exponents)) if i not in good), len(exponents))
 
-    target = target_entropy * math.log(whole.n)
-    lo, hi = 0.0, 1.0
-    if entropy(1.0) >= target:
+    # entropy falls as the exponent grows: each aggregate halves the interval BITS times
+    lo, width = 0.0, 1.0
+    if enough([1.0]):
         lo = 1.0
     else:
-        for _ in range(STEPS):
-            middle = (lo + hi) / 2
-            lo, hi = (middle, hi) if entropy(middle) >= target else (lo, middle)
+        for _ in range(STEPS // BITS):
+            width /= 1 << BITS
+            lo += width * enough([lo + width * i for i in range(1, 1 << BITS)])
     # a source of share p is passed p^(a-1) times as often as one of share 1: the limit holds from here on
     spread = math.log(whole.hi / whole.lo)
     least = 1 - math.log(max_repeats) / spread if spread > math.log(max_repeats) else 0.0
@@ -91,19 +98,17 @@ def mix(units: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: f
     total = plan.agg(F.sum("budget").alias("b")).first().b or 0
     blocks = max(1, -(-total // block_tokens))
 
-    same = units.source.eqNullSafe(plan.source)
     passes = F.ceil(F.col("budget") / F.col("tokens")).cast("int")
-    # sources are few, but not provably: a plain join, whose large partitions AQE splits
-    copies = units.join(plan.hint("shuffle_merge"), same).select(units.doc_id, units.source, "n_tokens", "tokens", "budget", "ranges", F.explode(F.sequence(F.lit(0), passes - 1)).alias("epoch"))
-    copies = copies.withColumn("h", _hash(seed, F.col("epoch"), F.col("doc_id")))
+    named = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("k")  # null is a source too
+    of_source = lookup(units.select("*", named), saved(plan.select(named, "tokens", "budget", "ranges")), "k")
+    copies = of_source.withColumn("epoch", F.explode(F.sequence(F.lit(0), passes - 1))).withColumn("h", _hash(seed, F.col("epoch"), F.col("doc_id")))
     unit_hash = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
-    copies = copies.withColumn("r", F.floor(unit_hash * F.col("ranges") / F.lit(float(1 << 32))).cast("long"))
+    copies = saved(copies.withColumn("r", F.floor(unit_hash * F.col("ranges") / F.lit(float(1 << 32))).cast("long")))
 
-    key = ["source", "epoch", "r"]
+    key = ["k", "epoch", "r"]
     sums = copies.groupBy(*key).agg(F.sum("n_tokens").alias("sum"))
-    before = F.coalesce(F.sum("sum").over(Window.partitionBy("source", "epoch").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("r").alias("q"), before.alias("range_start"))
-    joined = copies.join(starts.hint("shuffle_merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("r") == F.col("q")))
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy("k", "epoch").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = lookup(copies, saved(sums.select(*key, before.alias("range_start"))), key)
     inside = Window.partitionBy(*key).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("epoch") * F.col("tokens") + F.col("range_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     placed = joined.withColumn("at", at).filter(F.col("at") + F.col("n_tokens") <= F.col("budget"))
@@ -118,5 +123,6 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Rows of docs, each as often as the mix has it; the columns stay."""
-    copies = mix_documents(docs, **options).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))).drop("__id", "__source")
+    own = [f"{c}_{uuid.uuid4().hex}" for c in ("id", "source")]
+    copies = mix_documents(docs, **options).select(F.col("doc_id").alias(own[0]), F.col("source").alias(own[1]))
+    return docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col(own[0])) & F.col("source").cast("string").eqNullSafe(F.col(own[1]))).drop(*own)

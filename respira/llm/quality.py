@@ -185,10 +185,6 @@ def fit(docs: DataFrame, of_source: DataFrame, labels: DataFrame, fit_rows: int
     return CoTrained().fit(split(x[there]), got["label"][there].to_numpy(dtype=float), split(x[~there]))
 
 
-def _matrix(rows: pd.Series, width: int) -> np.ndarray:
-    return np.array(rows.tolist(), dtype=float).reshape(len(rows), width)
-
-
 def score_all(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, content_score, metadata_score, score (share of quality 1), kept of every row of docs."""
     of_source = hosts(docs)

@@ -75,20 +75,19 @@ def _paths(turns: DataFrame) -> DataFrame:
 def _hashed_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pieces of nodes' lists in order, joined and hashed as they come."""
     key, n, least, sha = None, 0, 0, None
-    row = lambda: pd.DataFrame([(*key, least, n, sha.hexdigest())], columns=["top", "a", "b", "conv_id", "n", "ends"])
+    names = ["top", "a", "b", "conv_id", "n", "ends"]
     for pdf in batches:
         out = []
         for r in pdf.itertuples(index=False):
             if (r.top, r.a, r.b) != key:
                 if key is not None:
-                    out.append(row())
+                    out.append((*key, least, n, sha.hexdigest()))
                 key, n, least, sha = (r.top, r.a, r.b), 0, r.least, hashlib.sha256()
             sha.update((("," if n else "") + r.ids).encode())
             n += r.n
-        if out:
-            yield pd.concat(out)
+        yield pd.DataFrame(out, columns=names)
     if key is not None:
-        yield row()
+        yield pd.DataFrame([(*key, least, n, sha.hexdigest())], columns=names)
 
 
 def _ended(paths: DataFrame, ids: DataFrame) -> DataFrame:
