@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from respira.functions.signal import median_slope
 from respira.operators.windows import running_sums
 
 
@@ -190,10 +191,19 @@ def scaled_variance(rows: DataFrame, fit: Column, columns: list[str], how: str =
 
 
 def trajectory_structure(rows: DataFrame, key: list[str], time: str, value: str) -> DataFrame:
-    """Per key the Theil-Sen slope (median over all pairs of its points), share of falling steps, variance of steps."""
-    a = rows.select(*key, F.col(time).alias("t0"), F.col(value).alias("v0"))
-    b = rows.select(*key, F.col(time).alias("t1"), F.col(value).alias("v1"))
-    slopes = a.join(b, key).filter("t1 > t0").groupBy(*key).agg(F.median((F.col("v1") - F.col("v0")) / (F.col("t1") - F.col("t0"))).alias("slope"))
+    """Per key the Theil-Sen slope (median over all pairs of its points), share of falling steps, variance of steps.
+
+    A key's points meet in one task, as numbers; the slope is selected by counting inversions, without a list of pairs.
+    """
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*key).schema)
+
+    def middle(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        good = pdf.dropna()
+        found = median_slope(good["t"].to_numpy(dtype=float), good["v"].to_numpy(dtype=float))
+        return pd.DataFrame([] if found is None else [(*group, found)], columns=[*key, "slope"])
+
+    points = rows.select(*key, F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("v"))
+    slopes = points.groupBy(*key).applyInPandas(middle, f"{names}, slope double")
     step = F.col(value) - F.lag(value).over(Window.partitionBy(*key).orderBy(time))
     steps = rows.select(*key, step.alias("d")).filter("d is not null").groupBy(*key).agg(F.avg((F.col("d") < 0).cast("double")).alias("falling"), F.var_pop("d").alias("step_var"))
     kind = F.when(F.col("slope") < -0.1, "convergent").when(F.col("slope") > 0.1, "divergent").otherwise("flat")

@@ -160,6 +160,16 @@ def split_regions(regions: DataFrame, cuts: DataFrame, key: Key) -> DataFrame:
     return pieces.select(*key, F.col("from_h").alias("start_h"), F.col("to_h").alias("end_h")).withColumn("region_idx", number)
 
 
+def region_index(points: DataFrame, cuts: DataFrame, key: Key, time: str = "t_h") -> DataFrame:
+    """points with region, the number of their key's cuts (cut_h) at or before them: a running count over one union."""
+    rest = [c for c in points.columns if c not in (*key, time)]
+    a = points.select(*key, F.col(time).alias("__t"), F.struct(F.lit(True).alias("own"), *rest).alias("__row"), F.lit(None).cast("double").alias("__cut"))
+    b = cuts.select(*key, F.col("cut_h").alias("__t"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col("cut_h").alias("__cut"))
+    so_far = Window.partitionBy(*key).orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = a.unionByName(b).withColumn("region", F.count("__cut").over(so_far)).filter("__row IS NOT NULL")
+    return out.select(*key, F.col("__t").alias(time), *(F.col(f"__row.{c}").alias(c) for c in rest), "region")
+
+
 def identity_regions(vent: DataFrame, monitor_points: DataFrame, monitor_spans: DataFrame, key: Key, bounds: DataFrame | None = None, gap: float = 1.0) -> DataFrame:
     """Regions of one patient: the key's bounds, or else the extent of all it has, cut where monitoring pauses."""
     if bounds is None:

@@ -5,6 +5,7 @@ An as-of join is a union of both sides and a window over the key, one shuffle an
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,26 +34,55 @@ def first_by_priority(rows: DataFrame, key: list[str], name: str, preferred: lis
     return ranked.withColumn("__best", F.min("__rank").over(Window.partitionBy(*key))).filter("__rank = __best").drop("__rank", "__best")
 
 
+def _taken_nearest(wants: np.ndarray, free: np.ndarray, tolerance: float) -> list[float | None]:
+    """For each of the sorted wants in order the nearest of the sorted free values not taken yet; ties go to the earlier.
+
+    The next free value on either side is found by union-find with path halving, so a key costs near its length.
+    """
+    # place i of the free values is slot i + 1 downwards, where slot 0 is none, and slot i upwards, where the last is none
+    down, up = list(range(len(free) + 1)), list(range(len(free) + 1))
+
+    def root(slots: list[int], i: int) -> int:
+        while slots[i] != i:
+            slots[i] = slots[slots[i]]
+            i = slots[i]
+        return i
+
+    out = []
+    for t, at in zip(wants.tolist(), np.searchsorted(free, wants).tolist(), strict=True):
+        near = (root(down, at) - 1, root(up, at))
+        best = min(((abs(free[i] - t), i) for i in near if 0 <= i < len(free)), default=None)
+        if best is None or best[0] > tolerance:
+            out.append(None)
+            continue
+        i = best[1]
+        out.append(float(free[i]))
+        down[i + 1], up[i] = i, i + 1
+    return out
+
+
 def greedy_match(left: DataFrame, right: DataFrame, key: list[str], tolerance: float) -> DataFrame:
     """Key, ref_h, found_h: in order of time each left row takes the nearest right row not yet taken, within tolerance.
 
-    What is free depends on earlier choices, so a key's rows meet in one task; keys are stays, whose rows are few. Ties
-    go to the earlier right row.
+    What is free depends on earlier choices only as far as rows are no further apart than the tolerance: a key is cut
+    where they are, and its pieces are dealt like keys. Ties go to the earlier right row. A null time takes nothing.
     """
+    both = left.select(*key, "t_h", F.lit(True).alias("__left")).unionByName(right.filter("t_h IS NOT NULL").select(*key, "t_h", F.lit(False).alias("__left")))
+    w = Window.partitionBy(*key).orderBy("t_h")
+    apart = F.coalesce((F.col("t_h") - F.lag("t_h").over(w) > tolerance).cast("int"), F.lit(0))
+    pieces = both.withColumn("__apart", apart).withColumn("__piece", F.sum("__apart").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select(*key).schema)
 
-    def match(group: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        free, out = sorted(b["t_h"].tolist()), []
-        for t in sorted(a["t_h"].tolist()):
-            best = min(free, key=lambda x: (abs(x - t), x), default=None)
-            if best is not None and abs(best - t) <= tolerance:
-                free.remove(best)
-                out.append((*group, t, best))
-            else:
-                out.append((*group, t, None))
-        return pd.DataFrame(out, columns=[*key, "ref_h", "found_h"])
-
-    return left.select(*key, "t_h").groupBy(*key).cogroup(right.select(*key, "t_h").groupBy(*key)).applyInPandas(match, f"{names}, ref_h double, found_h double")
+    def match(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows["__left"].to_numpy()
+        t = rows["t_h"].to_numpy(dtype=float)
+        wants = np.sort(t[own])  # missing times come last
+        known = np.isfinite(wants)
+        found = [*_taken_nearest(wants[known], np.sort(t[~own]), tolerance), *([None] * (~known).sum())]
+        times = (None if t != t else t for t in wants.tolist())
+        return pd.DataFrame([(*group[:-1], t, f) for t, f in zip(times, found, strict=True)], columns=[*key, "ref_h", "found_h"])
+
+    return pieces.groupBy(*key, "__piece").applyInPandas(match, f"{names}, ref_h double, found_h double")
 
 
 def aligned(rows: DataFrame, key: list[str], time: Column, names: list[str], how: str = "last", order: str = "event_id") -> DataFrame:

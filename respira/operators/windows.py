@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from respira.sources.scratch import written
+
 EPS = 1e-9
 
 
@@ -137,12 +138,17 @@ def trailing_run(rows: DataFrame, key: list[str], condition: Column) -> DataFram
 
 
 def features_at_cutoffs(rows: DataFrame, cutoffs: DataFrame, key: list[str], back: float) -> DataFrame:
-    """Mean and last value over [cutoff - back, cutoff]; where there is none, the last value before."""
-    e = rows.select(*key, "t_h", "value")
-    hit = cutoffs.join(e, key).filter(F.col("t_h") <= F.col("cutoff_h"))
-    near = F.col("t_h") >= F.col("cutoff_h") - back
-    agg = hit.groupBy(*key, "cutoff_h").agg(F.avg(F.when(near, F.col("value"))).alias("mean"), F.max_by("value", "t_h").alias("last"))
-    return cutoffs.join(agg.select(*key, "cutoff_h", F.coalesce("mean", "last").alias("mean"), "last"), [*key, "cutoff_h"], "left")
+    """Mean and last value over [cutoff - back, cutoff]; where there is none, the last value before.
+
+    Rows and cut-offs are one union in order of time; a range frame gives the mean, the frame from the beginning the last.
+    """
+    e = rows.select(*key, F.col("t_h").alias("__t"), "t_h", "value", F.lit(None).cast("double").alias("cutoff_h"))
+    c = cutoffs.select(*key, F.col("cutoff_h").alias("__t"), F.lit(None).cast("double").alias("t_h"), F.lit(None).cast("double").alias("value"), "cutoff_h")
+    over = f"(PARTITION BY {', '.join(f'`{k}`' for k in key)} ORDER BY __t RANGE BETWEEN {{}} PRECEDING AND CURRENT ROW)"
+    near = F.expr(f"avg(value) OVER {over.format(f'{float(back)}D')}")
+    last = F.expr(f"max_by(value, t_h) OVER {over.format('UNBOUNDED')}")
+    out = e.unionByName(c).withColumns({"__near": near, "last": last}).filter("cutoff_h IS NOT NULL")
+    return out.select(*key, "cutoff_h", F.coalesce("__near", "last").alias("mean"), "last")
 
 
 def sliding_bins(rows: DataFrame, key: list[str], size: float, step: float) -> DataFrame:
@@ -161,59 +167,40 @@ def hash_order(seed: int, identity: Column) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit("-"), identity.cast("string")))
 
 
-def _by_ranges(rows: DataFrame, order: list[str], part_rows: int) -> DataFrame:
-    """Rows with __part, the number of their range of the ascending order, nulls first; equal ones share a range.
+def _sorted_parts(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows dealt by ranges of the ascending order (nulls first) and sorted, as a written table with __part, the number of a
+    row's range, and __at, its place there from 0. Spark samples the ranges; they are fixed once the table is written."""
+    by = [F.asc_nulls_first(c) for c in order]
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id())
+    return written(placed).withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id")
 
-    The ranges' bounds are sampled: they decide which task has a row, not what comes of it.
-    """
-    spark = rows.sparkSession
-    total = rows.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / part_rows))
-    key = F.struct(*(F.col(c).alias(c) for c in order))
-    drawn = rows.select(key.alias("k")).sample(min(1.0, 40 * parts / max(total, 1)), 7).orderBy("k").collect()
-    bounds = list(dict.fromkeys(drawn[len(drawn) * i // parts]["k"] for i in range(1, parts))) if drawn else []
-    types = rows.select(key.alias("k")).schema["k"].dataType
-    part = F.lit(0)
-    if bounds:
-        # two steps: the group of bounds, then the place in it
-        literal = lambda b: F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, types.fields, strict=True)))
-        step = isqrt(len(bounds)) + 1
-        groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-        below = lambda found: F.size(F.filter(found, lambda b: b <= key))
-        group = F.greatest(below(F.array(*(literal(g[0]) for g in groups))) - 1, F.lit(0))
-        part = group * step + below(F.element_at(F.array(*(F.array(*map(literal, g)) for g in groups)), group + 1))
-    return rows.withColumn("__part", part)
-
-
-def _offsets(sums: dict[int, float], kind: str) -> Column:
-    """The sum over all ranges before a row's own."""
-    before, offsets = 0, []
-    for i in range(max(sums, default=0) + 1):
-        offsets.append(before)
-        before += sums.get(i) or 0
-    return F.element_at(F.array(*(F.lit(o).cast(kind) for o in offsets)), F.col("__part") + 1)
-
-
-def global_rank(rows: DataFrame, order: list[str], name: str = "pos", part_rows: int = 500_000) -> DataFrame:
+
+def _offsets(parts: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Per range, sums over all ranges before it (<name>_before) and over all (<name>_total); as many rows as ranges."""
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    per = parts.groupBy("__part").agg(*(c.alias(n) for n, c in sums.items()))
+    add = {f"{n}_before": F.coalesce(F.sum(n).over(before), F.lit(0)).cast("long") for n in sums} | {f"{n}_total": F.sum(n).over(Window.partitionBy()).cast("long") for n in sums}
+    return per.withColumns(add).drop(*sums)
+
+
+def global_rank(rows: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     """Rows with their 1-based position in the ascending order of all rows, nulls first; `order` must leave no ties.
 
-    Rows are dealt by ranges of the order, counted and numbered per range; a range's offset is the rows of those before.
+    A distributed prefix sum: rows are sorted by ranges once, ranges are counted, and the counts' running sums, a row per
+    range, are broadcast to the rows.
     """
-    dealt = _by_ranges(rows, order, part_rows)
-    counts = {r["__part"]: r["n"] for r in dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order)).cast("long")
-    return dealt.withColumn(name, local + _offsets(counts, "long")).drop("__part")
+    parts = _sorted_parts(rows, order)
+    offsets = _offsets(parts, {"__n": F.count(F.lit(1))}).select("__part", "__n_before")
+    return parts.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__at") + F.col("__n_before") + 1).select(*rows.columns, name)
 
 
-def running_sums(rows: DataFrame, order: list[str], columns: list[str], part_rows: int = 500_000) -> DataFrame:
+def running_sums(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
     """Rows with <column>_before, the sum of a long column over all rows before it in the order, and <column>_total; `order`
     must leave no ties. Summed per range of the order, as in global_rank."""
-    dealt = _by_ranges(rows, order, part_rows)
-    per = dealt.groupBy("__part").agg(*(F.sum(c).cast("long").alias(c) for c in columns)).collect()
-    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt
-    for c in columns:
-        sums = {r["__part"]: r[c] or 0 for r in per}
-        local = F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long")
-        out = out.withColumns({f"{c}_before": local + _offsets(sums, "long"), f"{c}_total": F.lit(sum(sums.values())).cast("long")})
-    return out.drop("__part")
+    parts = _sorted_parts(rows, order)
+    offsets = _offsets(parts, {f"__{c}": F.coalesce(F.sum(c), F.lit(0)) for c in columns})
+    w = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    local = parts.withColumns({f"__{c}_local": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in columns})
+    out = local.join(F.broadcast(offsets), "__part")
+    added = [e for c in columns for e in ((F.col(f"__{c}_local") + F.col(f"__{c}_before")).cast("long").alias(f"{c}_before"), F.col(f"__{c}_total").alias(f"{c}_total"))]
+    return out.select(*rows.columns, *added)

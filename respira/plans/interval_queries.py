@@ -174,7 +174,7 @@ q("i32_qc_points_outside", f"""{WITH}, {ANNOTATED} SELECT stay_key, event_id, t_
     lambda s, d: iv.points_outside(fx.events(s, d).select("stay_key", "event_id", "t_h"), annotated(s, d), K)
 )
 q("i34_region_index", f"""{WITH}, {POINT_CUTS} SELECT e.event_id, count(c.cut_h) AS region FROM ev e LEFT JOIN pcuts c ON c.stay_key = e.stay_key AND c.cut_h <= e.t_h GROUP BY e.event_id""")(
-    lambda s, d: (lambda e, c: e.join(c, (e.stay_key == c.stay_key) & (c.cut_h <= e.t_h), "left").groupBy(e.event_id).agg(F.count("cut_h").alias("region")))(fx.events(s, d), iv.point_boundaries(monitor(s, d), K))
+    lambda s, d: iv.region_index(fx.events(s, d).select("stay_key", "event_id", "t_h"), iv.point_boundaries(monitor(s, d), K), K).select("event_id", "region")
 )
 q("i36_flag_runs", f"""{WITH}, f AS (SELECT stay_key, t_h, event_id, value > 100 AS flag FROM ev),
   r AS (SELECT *, row_number() OVER (PARTITION BY stay_key ORDER BY t_h) - row_number() OVER (PARTITION BY stay_key, flag ORDER BY t_h) AS run FROM f)

@@ -43,7 +43,12 @@ q("j07_interval_overlap_join", f"""{WITH}, {ANNOTATED} SELECT a.stay_key, a.star
 q("j08_support_semi", f"{WITH} SELECT event_id FROM ev e WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM ev x WHERE x.event_type = 'view' AND x.stay_key = e.stay_key AND abs(x.t_h - e.t_h) <= 2)")(
     lambda s, d: (lambda e, x: e.join(x, (e.stay_key == x.sk) & (F.abs(x.th - e.t_h) <= 2), "left_semi").select("event_id"))(of(s, d, "purchase"), of(s, d, "view").select(F.col("stay_key").alias("sk"), F.col("t_h").alias("th")))
 )
-q("j09_greedy_match")(lambda s, d: jn.greedy_match(of(s, d, "purchase"), of(s, d, "click"), K, 2.0))
+NEAR = "list_filter(free, lambda x: abs(x - ls[i + 1]) <= 2.0)"
+q("j09_greedy_match", f"""WITH RECURSIVE {fx.SQL.lstrip()}, l AS (SELECT stay_key, list(t_h ORDER BY t_h) AS ls FROM ev WHERE event_type = 'purchase' GROUP BY stay_key), r AS (SELECT stay_key, list(t_h) AS rs FROM ev WHERE event_type = 'click' GROUP BY stay_key),
+  step AS (SELECT stay_key, 0 AS i, ls, coalesce(rs, []) AS free, NULL::DOUBLE AS ref_h, NULL::DOUBLE AS found_h FROM l LEFT JOIN r USING (stay_key)
+    UNION ALL SELECT stay_key, i + 1, ls, CASE WHEN best IS NULL THEN free ELSE list_filter(free, lambda x: x <> best) END, ls[i + 1], best
+    FROM (SELECT *, list_sort(list_transform({NEAR}, lambda x: {{'d': abs(x - ls[i + 1]), 'x': x}}))[1].x AS best FROM step WHERE i < len(ls)))
+  SELECT stay_key, ref_h, found_h FROM step WHERE i > 0""")(lambda s, d: jn.greedy_match(of(s, d, "purchase"), of(s, d, "click"), K, 2.0))
 WIDE = "max_by(value, event_id) FILTER (event_type = '{v}') AS {v}"
 NAMES = ["view", "click", "purchase", "signup", "error"]
 long = lambda s, d: ev(s, d).withColumn("variable", F.col("event_type"))
