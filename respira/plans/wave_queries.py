@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from respira.functions.filters import recursive_bandpass
 from respira.operators import waves as wv
 from respira.registry import Registry
 from respira.sources import fixtures as fx
@@ -43,6 +44,32 @@ q("d18_co2_features")(lambda s, d: wv.breath_features(waves(s, d), ["vec_id"], "
 q("d19_awp_features")(lambda s, d: wv.breath_features(waves(s, d), ["vec_id"], "awp"))
 q("d20_derivatives")(lambda s, d: wv.derivative_series(waves(s, d), ["vec_id"]).select("vec_id", "series", F.size("samples").alias("n")))
 
+long_rows = lambda w: wv.explode_samples(w).select("vec_id", "pos", F.round("value", 6).alias("value"))
+q("d01_resampled_samples")(lambda s, d: long_rows(wv.resampled(waves(s, d), 12.0)))
+q("d03_bandpass_samples")(lambda s, d: long_rows(wv.map_samples(waves(s, d), lambda x, fs: recursive_bandpass(x, fs, 0.5, 3.0, 2))))
+q("d04_pieces_samples")(lambda s, d: wv.explode_samples(wv.filtered_in_pieces(waves(s, d), K, 1.0, 3.0, 2, piece_s=4.0, overlap_s=4.0)).select("vec_id", F.round("t_s", 6).alias("t_s"), F.round("value", 6).alias("value")))
+q("d22_features_in_pieces")(lambda s, d: wv.features_in_pieces(waves(s, d), K, "awp", piece_s=6.0, overlap_s=4.0))
+
+
+def two_signals(s: SparkSession, d: str) -> DataFrame:
+    """A vector as pressure, the same turned round as flow; every seventh flow has a sample less."""
+    w = waves(s, d).drop("signal")
+    pressure = w.withColumn("signal", F.lit("awp")).withColumn("samples", F.transform("samples", lambda x: x + 10))
+    flow = w.withColumn("signal", F.lit("flow")).withColumn("samples", F.when(F.col("vec_id") % 7 == 0, F.slice(F.reverse("samples"), 2, 1000)).otherwise(F.transform(F.reverse("samples"), lambda x: x * 10)))
+    return pressure.unionByName(flow)
+
+
+q("d16_derived_by_minute")(lambda s, d: wv.derived_by_minute(two_signals(s, d), K))
+WHOLE = "PARTITION BY vec_id ORDER BY t_s"
+TAPS = (-36, 9, 44, 69, 84, 89, 84, 69, 44, 9, -36)
+q("d21_numeric_derivatives", f"""WITH {SAMPLES}, a AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY vec_id) AS n, CASE WHEN lag(value) OVER w IS NULL THEN (lead(value) OVER w - value) * 8 WHEN lead(value) OVER w IS NULL THEN (value - lag(value) OVER w) * 8 ELSE (lead(value) OVER w - lag(value) OVER w) * 4 END AS d1,
+    avg(abs(value)) OVER ({WHOLE} ROWS UNBOUNDED PRECEDING) AS auc_cum, ({' + '.join(f'{c} * ' + (f'lag(value, {5 - k}) OVER w' if k < 5 else f'lead(value, {k - 5}) OVER w' if k > 5 else 'value') for k, c in enumerate(TAPS))}) / 429.0::DOUBLE AS filtered FROM s WINDOW w AS ({WHOLE})),
+  b AS (SELECT *, CASE WHEN lag(d1) OVER w IS NULL THEN (lead(d1) OVER w - d1) * 8 WHEN lead(d1) OVER w IS NULL THEN (d1 - lag(d1) OVER w) * 8 ELSE (lead(d1) OVER w - lag(d1) OVER w) * 4 END AS d2 FROM a WINDOW w AS ({WHOLE}))
+  SELECT vec_id, t_s, round(d1, 4) AS d1, round(d2, 4) AS d2, round(filtered, 4) AS filtered, round(value - filtered, 4) AS residual, round(auc_cum, 4) AS auc_cum FROM b WHERE n >= 15 AND i > 5 AND i <= n - 5""")(
+    lambda s, d: wv.numeric_derivatives(samples(s, d), K, 8.0).withColumns({"i": F.row_number().over(Window.partitionBy("vec_id").orderBy("t_s")), "n": F.count(F.lit(1)).over(Window.partitionBy("vec_id"))})
+    .filter("i > 5 AND i <= n - 5").select("vec_id", "t_s", *(F.round(c, 4).alias(c) for c in ("d1", "d2", "filtered", "residual", "auc_cum")))
+)
+
 # ---- readers
 ev = fx.events
 q("sc03_split_by_label", f"WITH {fx.SQL} SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'adjustment' ELSE 'fio2' END AS \"group\", CASE WHEN event_id % 10 <> 0 THEN value END AS number FROM ev WHERE event_type IN ('view', 'click', 'signup')")(
