@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from respira.functions.rules import CHART_ITEMS, PROCEDURE_ITEMS, trach_code, trach_text
+from respira.sources.records import file_heads
 
 OBSERVATIONS = "key string, variable string, t_h double, value double"
 SPANS = "key string, start_h double, end_h double"
@@ -130,9 +131,9 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 
 def header_fields(spark: SparkSession, folder: str, fields: dict[str, tuple[int, int]], pattern: str = "*") -> DataFrame:
-    """path and big-endian integers at (offset, bytes) of each file's head."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    at = lambda o, n: F.conv(F.hex(F.substring("content", o + 1, n)), 16, 10).cast("long")
+    """path and big-endian integers at (offset, bytes) of each file's head; only as much of a file is read."""
+    rows = file_heads(spark, folder, max((o + n for o, n in fields.values()), default=1), pattern)
+    at = lambda o, n: F.conv(F.hex(F.substring("head", o + 1, n)), 16, 10).cast("long")
     return rows.select("path", *(at(o, n).alias(k) for k, (o, n) in fields.items()))
 
 
