@@ -7,8 +7,9 @@ rows of the other one: confidence flows between views, never back into the view
 calibrated by isotonic regression on labelled rows left out of its training, and a last logistic step, fitted on such rows
 too, combines the two calibrated views. All documents are scored.
 
-Fitting takes at most `fit_rows` labelled and as many unlabelled documents, the lowest by a hash of doc_id; this bound
-holds whatever the corpus size, and everything else covers all rows.
+Fitting takes at most `fit_rows` labelled documents, the lowest by a hash of doc_id; this bound holds whatever the corpus size.
+The unlabelled rows are all others: their features are written once, and in each round the executors score them all. A view
+hands over the GIVEN surest of them at most, so what is fitted stays bounded.
 
 Nulls: a null text is empty; null metadata, or a column that is not there, is a value of its own. Very long texts are
 read whole, one at a time. Repeated rows are scored alike; where rows that differ repeat a labelled doc_id, the one with
@@ -22,13 +23,14 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respira.llm.common import chunks, lookup, lowest, saved
+from respira.llm.common import chunks, lookup, lowest, released, saved
 from respira.llm.models import Isotonic, Logistic
 from respira.llm.rules import base_counts
 
@@ -36,6 +38,8 @@ FIT_ROWS = 20_000
 ROUNDS = 4
 SURE = 0.95
 PER_ROUND = 0.1
+#: Rows that a view hands over in a round, at most.
+GIVEN = 2_000
 LANGS = ("en", "de", "fr", "es")
 CONTENT = 19
 #: A source is one of so many features, by a hash of its name.
@@ -99,31 +103,92 @@ def _features(pdf: pd.DataFrame, names: list[str]) -> list[np.ndarray]:
     return [np.array(content, dtype=float).reshape(len(pdf), CONTENT), np.array(meta, dtype=float).reshape(len(pdf), METADATA)]
 
 
+def _shares(most: float, share: float) -> tuple[int, int]:
+    """How many good and how many bad rows a view may hand over, as among labelled rows."""
+    return int(np.ceil(most * share)), int(np.ceil(most * (1 - share)))
+
+
+class FreeArrays:
+    """Unlabelled rows in memory: per view their features."""
+
+    def __init__(self, views: list[np.ndarray]):
+        self.views, self.left = views, np.ones(len(views[0]), dtype=bool)
+
+    def sure(self, models: list[Logistic], bound: float, per_round: float, share: float) -> list[tuple[list[np.ndarray], np.ndarray]] | None:
+        """Per view the rows it is sure of, the surest of each label first: the features of all views, and labels. None if no row is left."""
+        if not self.left.any():
+            return None
+        out, taken = [], []
+        for m, f in zip(models, self.views, strict=True):
+            p = m.predict(f)
+            n_good, n_bad = _shares(min(per_round * len(p), GIVEN), share)
+            good, bad = np.flatnonzero(self.left & (p >= bound)), np.flatnonzero(self.left & (p <= 1 - bound))
+            good, bad = good[np.argsort(-p[good], kind="stable")][:n_good], bad[np.argsort(p[bad], kind="stable")][:n_bad]
+            rows = np.concatenate([good, bad])
+            taken.append(rows)
+            out.append(([v[rows] for v in self.views], np.concatenate([np.ones(len(good)), np.zeros(len(bad))])))
+        self.left[np.concatenate(taken)] = False
+        return out
+
+
+class FreeTable:
+    """Unlabelled rows as a written table (doc_id, x): scored by the executors, the surest alone come to the driver."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.count, self.gone = rows, rows.count(), set()
+
+    def sure(self, models: list[Logistic], bound: float, per_round: float, share: float) -> list[tuple[list[np.ndarray], np.ndarray]] | None:
+        if self.count <= len(self.gone):
+            return None
+        spark = self.rows.sparkSession
+        gone = spark.createDataFrame([(i,) for i in sorted(self.gone)], "doc_id long")  # 4 * GIVEN a round at most
+        n_good, n_bad = _shares(min(per_round * self.count, GIVEN), share)
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                x = _matrix(pdf["x"], CONTENT + METADATA)
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], **{f"p{k}": m.predict(v) for k, (m, v) in enumerate(zip(models, _split(x), strict=True))}})
+
+        scored = saved(self.rows.join(F.broadcast(gone), "doc_id", "left_anti").mapInPandas(score, "doc_id long, p0 double, p1 double"))
+        picked = []
+        for k in range(len(models)):
+            p = F.col(f"p{k}")
+            for label, found, n in ((1, scored.filter(p >= bound).orderBy(p.desc(), "doc_id"), n_good), (0, scored.filter(p <= 1 - bound).orderBy(p, "doc_id"), n_bad)):
+                picked.append(found.limit(n).select("doc_id", F.lit(k).alias("view"), F.lit(label).alias("given")))
+        chosen = saved(reduce(DataFrame.unionByName, picked).distinct())
+        ids = F.broadcast(chosen.select("doc_id").distinct())
+        x = self.rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("x").alias("x"))
+        got = chosen.join(x, "doc_id").toPandas().sort_values(["view", "given", "doc_id"])
+        released(scored, chosen)
+        self.gone |= set(got["doc_id"].tolist())
+        per_view = (got[got["view"] == k] for k in range(len(models)))
+        return [(_split(_matrix(g["x"], CONTENT + METADATA)), g["given"].to_numpy(dtype=float)) for g in per_view]
+
+
 class CoTrained:
     """The two fitted views, their calibrations and the step that combines them."""
 
     def __init__(self, rounds: int = ROUNDS, sure: float = SURE, per_round: float = PER_ROUND):
         self.rounds, self.sure, self.per_round, self.constant = rounds, sure, per_round, None
 
-    def fit(self, views: list[np.ndarray], y: np.ndarray, free: list[np.ndarray]) -> CoTrained:
-        """views, free: per view the features of labelled and of unlabelled rows."""
+    def fit(self, views: list[np.ndarray], y: np.ndarray, free) -> CoTrained:
+        """views: per view the features of labelled rows; free: FreeArrays, FreeTable, or per view the features of unlabelled rows."""
         if len(y) < 8 or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.5
             return self
+        free = FreeArrays(free) if isinstance(free, list) else free() if callable(free) else free
         held = np.arange(len(y)) % 4 == 3
         if y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
             held = np.zeros(len(y), dtype=bool)
         train = [(v[~held], y[~held]) for v in views]
-        left = np.ones(len(free[0]), dtype=bool)
         for _ in range(self.rounds):
             self.models = [Logistic().fit(x, t) for x, t in train]
-            if not left.any():
+            given = free.sure(self.models, self.sure, self.per_round, float(y[~held].mean()))
+            if given is None:
                 break
-            given = [self._sure(m.predict(f), left, float(y[~held].mean())) for m, f in zip(self.models, free, strict=True)]
             for k, (rows, labels) in enumerate(given):
                 x, t = train[1 - k]
-                train[1 - k] = (np.vstack([x, free[1 - k][rows]]), np.concatenate([t, labels]))
-                left[rows] = False
+                train[1 - k] = (np.vstack([x, rows[1 - k]]), np.concatenate([t, labels]))
         self.models = [Logistic().fit(x, t) for x, t in train]
         check = held if held.any() else ~held
         scores, y = [m.score(v[check]) for m, v in zip(self.models, views, strict=True)], y[check]
@@ -136,15 +201,6 @@ class CoTrained:
         self.combine = Logistic(ridge=0.1).fit(inputs, y)
         return self
 
-    def _sure(self, p: np.ndarray, left: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows this view is sure of, the surest of each label first: per_round of all unlabelled rows at most, shared between labels as among labelled rows."""
-        most = self.per_round * len(p)
-        good = np.flatnonzero(left & (p >= self.sure))
-        bad = np.flatnonzero(left & (p <= 1 - self.sure))
-        good = good[np.argsort(-p[good], kind="stable")][: int(np.ceil(most * share))]
-        bad = bad[np.argsort(p[bad], kind="stable")][: int(np.ceil(most * (1 - share)))]
-        return np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
-
     @staticmethod
     def _both(shares: list[np.ndarray]) -> np.ndarray:
         p = [np.clip(s, 0.01, 0.99) for s in shares]
@@ -162,27 +218,36 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     return np.array(rows.tolist(), dtype=float).reshape(len(rows), width)
 
 
+def _split(x: np.ndarray) -> list[np.ndarray]:
+    return [x[:, :CONTENT], x[:, CONTENT:]]
+
+
 def fit(docs: DataFrame, of_source: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> CoTrained:
-    """The classifier fitted on a bounded sample: ids are chosen first, and only their texts are read."""
+    """The classifier fitted on a bounded sample of labelled rows, whose texts alone are read for it, and on all unlabelled rows."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    known = known.select("doc_id", (F.col("quality") > 0).cast("int").alias("label"))
-    ids = saved(ids.distinct().join(known, "doc_id", "left"))
-    chosen = saved(lowest(ids.filter("label is not null"), fit_rows).unionByName(lowest(ids.filter("label is null"), fit_rows)))
+    known = saved(known.select("doc_id", (F.col("quality") > 0).cast("int").alias("label")))
+    chosen = saved(lowest(lookup(ids.distinct(), known, "doc_id"), fit_rows))
     own, label = f"id_{uuid.uuid4().hex}", f"label_{uuid.uuid4().hex}"
-    picked = docs.withColumn(own, F.col("doc_id").cast("long")).join(F.broadcast(chosen.withColumnsRenamed({"doc_id": own, "label": label})), own)
-    viewed, names = _viewed(picked, of_source)
+    numbered = docs.withColumn(own, F.col("doc_id").cast("long"))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in chunks(batches, names[0]):
-            content, meta = _features(pdf, names)
-            yield pd.DataFrame({"doc_id": pdf[own], "label": pdf[label].astype("Int32"), "x": np.hstack([content, meta]).tolist()})
+    def features(picked: DataFrame) -> DataFrame:
+        viewed, names = _viewed(picked, of_source)
+
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in chunks(batches, names[0]):
+                yield pd.DataFrame({"doc_id": pdf[own], "label": pdf[label].astype("Int32"), "x": np.hstack(_features(pdf, names)).tolist()})
+
+        return viewed.select(own, label, *names).mapInPandas(rows, "doc_id long, label int, x array<double>")
 
-    sample = viewed.select(own, label, *names).mapInPandas(rows, "doc_id long, label int, x array<double>")
+    sample = features(numbered.join(F.broadcast(chosen.withColumnsRenamed({"doc_id": own, "label": label})), own))
     got = sample.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
-    x, there = _matrix(got["x"], CONTENT + METADATA), got["label"].notna().to_numpy()
-    split = lambda m: [m[:, :CONTENT], m[:, CONTENT:]]
-    return CoTrained().fit(split(x[there]), got["label"][there].to_numpy(dtype=float), split(x[~there]))
+
+    def free() -> FreeTable:
+        rest = lookup(numbered.filter(F.col(own).isNotNull()), known.select(F.col("doc_id").alias(own)), own, "left_anti")
+        return FreeTable(saved(features(rest.withColumn(label, F.lit(None).cast("int"))).drop("label")))
+
+    return CoTrained().fit(_split(_matrix(got["x"], CONTENT + METADATA)), got["label"].to_numpy(dtype=float), free)
 
 
 def score_all(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

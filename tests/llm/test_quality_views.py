@@ -68,3 +68,32 @@ def test_names_clash(spark):
     docs, labels = labelled(spark, 60)
     clash = docs.withColumnsRenamed({"key": "docs", "h": "label", "shard": "content", "token": "x"})
     assert sorted(quality.keep_good(clash, labels).columns) == sorted(clash.columns)
+
+
+def test_table_of_unlabelled_rows_gives_what_arrays_give(spark, monkeypatch):
+    """All unlabelled rows are scored where they are; the same rows are handed over, round by round, as from memory."""
+    rng = np.random.default_rng(4)
+    width = quality.CONTENT + quality.METADATA
+    x = rng.normal(size=(500, width))
+    models = [quality.Logistic().fit(v[:60], (v[:60, 0] > 0).astype(float)) for v in quality._split(x)]
+    monkeypatch.setattr(quality, "GIVEN", 30)
+    arrays = quality.FreeArrays(quality._split(x))
+    table = quality.FreeTable(quality.saved(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id long, x array<double>")))
+    for _ in range(3):
+        one, two = arrays.sure(models, 0.8, 0.1, 0.6), table.sure(models, 0.8, 0.1, 0.6)
+        for (a, t), (b, u) in zip(one, two, strict=True):
+            key = lambda rows, given: sorted((g, *r) for r, g in zip(rows.tolist(), given.tolist(), strict=True))
+            assert key(np.hstack(a), t) == key(np.hstack(b), u) and len(t) <= 30
+
+
+def test_telling_metadata_moves_a_verdict(spark):
+    """A source that is always bad makes texts bad that the content view alone, with few labels, holds for good."""
+    docs, labels = labelled(spark, 400)
+    told = docs.join(labels.select("doc_id", "quality"), "doc_id").withColumn("source", F.when(F.col("quality") == 1, "good.example").otherwise("bad.example")).drop("quality")
+    plain = F.lit("a plain sentence of common words that says little , and goes on . ")
+    odd = told.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(plain, F.col("doc_id"), *([plain] * 8))).otherwise(F.col("text")))
+    got = quality.score_all(odd, labels.filter("doc_id % 3 <> 1")).join(labels, "doc_id").toPandas()
+    same = got[(got.doc_id % 7 == 0) & (got.doc_id % 3 == 1)]
+    bad, good = same[same.quality == 0], same[same.quality == 1]
+    assert len(bad) and len(good) and bad.metadata_score.mean() < 0.3 < 0.7 < good.metadata_score.mean()
+    assert bad.score.mean() < good.score.mean() - 0.2  # equal texts, told apart by where they stand
