@@ -177,9 +177,10 @@ def _sorted_parts(rows: DataFrame, order: list[str]) -> DataFrame:
 
 def _offsets(parts: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """Per range, sums over all ranges before it (<name>_before) and over all (<name>_total); as many rows as ranges."""
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.orderBy("__part")
+    before, whole = ranges.rowsBetween(Window.unboundedPreceding, -1), ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per = parts.groupBy("__part").agg(*(c.alias(n) for n, c in sums.items()))
-    add = {f"{n}_before": F.coalesce(F.sum(n).over(before), F.lit(0)).cast("long") for n in sums} | {f"{n}_total": F.sum(n).over(Window.partitionBy()).cast("long") for n in sums}
+    add = {f"{n}_before": F.coalesce(F.sum(n).over(before), F.lit(0)).cast("long") for n in sums} | {f"{n}_total": F.sum(n).over(whole).cast("long") for n in sums}
     return per.withColumns(add).drop(*sums)
 
 
