@@ -57,9 +57,9 @@ def error_stats(rows: DataFrame, error: str, by: list[str]) -> DataFrame:
 
 
 def correction_verdict(before: DataFrame, after: DataFrame, key: str, value: str, least_gain: float) -> DataFrame:
-    """Whether every stratum gains at least so much."""
+    """Whether every stratum gains more than that."""
     both = before.select(key, F.col(value).alias("x")).join(after.select(key, F.col(value).alias("y")), key)
-    return both.agg(F.coalesce(F.bool_and(F.col("y") - F.col("x") >= least_gain), F.lit(False)).alias("approved"), F.min(F.col("y") - F.col("x")).alias("least_gain"))
+    return both.agg(F.coalesce(F.bool_and(F.col("y") - F.col("x") > least_gain), F.lit(False)).alias("approved"), F.min(F.col("y") - F.col("x")).alias("least_gain"))
 
 
 def worst_score(*parts: Column) -> Column:

@@ -88,7 +88,7 @@ def segment_attempts(spans: DataFrame, key: Key, gap: float = 2.0) -> DataFrame:
     return merged.withColumn("attempt_idx", F.row_number().over(Window.partitionBy(*key).orderBy("start_h")) - 1)
 
 
-def intervals_from_points(points: DataFrame, key: Key, gap: float, keep_singletons: bool = True) -> DataFrame:
+def intervals_from_points(points: DataFrame, key: Key, gap: float | Column, keep_singletons: bool = True) -> DataFrame:
     """Runs of points no further apart than `gap`, from first to last point; singletons have no length."""
     order = Window.partitionBy(*key).orderBy("t_h")
     before = F.lag("t_h").over(order)
@@ -102,7 +102,7 @@ def spans_from_points(points: DataFrame, key: Key, gap: float) -> DataFrame:
     return intervals_from_points(points, key, gap, keep_singletons=False).drop("n_points")
 
 
-def kept_times(times: Column, min_gap: float) -> Column:
+def kept_times(times: Column, min_gap: float | Column) -> Column:
     """Of an array of times, those at least min_gap after the last one kept: a fold over the sorted array."""
     begin = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("kept"))
 
@@ -113,10 +113,18 @@ def kept_times(times: Column, min_gap: float) -> Column:
     return F.aggregate(F.array_sort(times), begin, step, lambda s: s["kept"])
 
 
-def subsample_times(points: DataFrame, key: Key, min_gap: float) -> DataFrame:
-    """Greedy thinning of each key's points. A key's times are gathered, as the rule depends on what was kept before."""
-    times = points.filter(F.col("t_h").isNotNull()).groupBy(*key).agg(F.collect_list("t_h").alias("times"))
-    return times.select(*key, F.explode(kept_times(F.col("times"), min_gap)).alias("t_h"))
+def subsample_times(points: DataFrame, key: Key, min_gap: float | Column) -> DataFrame:
+    """Greedy thinning of each key's points; min_gap may be an expression over the key's columns.
+
+    A point that far after its predecessor is kept whatever was kept before, so a key is cut there and only the times
+    between two cuts are gathered.
+    """
+    order = Window.partitionBy(*key).orderBy("t_h")
+    cut = F.coalesce((F.col("t_h") - F.lag("t_h").over(order) >= min_gap - EPS).cast("int"), F.lit(0))
+    known = points.filter(F.col("t_h").isNotNull()).select(*key, "t_h", cut.alias("__cut"))
+    pieces = known.withColumn("__piece", F.sum("__cut").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    times = pieces.groupBy(*key, "__piece").agg(F.collect_list("t_h").alias("__times"))
+    return times.select(*key, F.explode(kept_times(F.col("__times"), min_gap)).alias("t_h"))
 
 
 def annotation_interval(points: DataFrame, key: Key) -> DataFrame:
@@ -125,8 +133,9 @@ def annotation_interval(points: DataFrame, key: Key) -> DataFrame:
     return points.select(*key, step.alias("step")).groupBy(*key).agg(F.median(F.when(F.col("step") > EPS, F.col("step"))).alias("median_h"))
 
 
-def shift_interval_ends(spans: DataFrame, shift: float, min_duration: float = 0.0) -> DataFrame:
-    return spans.withColumn("end_h", F.greatest(F.col("end_h") + F.lit(float(shift)), F.col("start_h") + F.lit(float(min_duration))))
+def shift_interval_ends(spans: DataFrame, shift: float | Column, min_duration: float = 0.0) -> DataFrame:
+    by = shift if isinstance(shift, Column) else F.lit(float(shift))
+    return spans.withColumn("end_h", F.greatest(F.col("end_h") + by, F.col("start_h") + F.lit(float(min_duration))))
 
 
 def cap_shifted_ends(spans: DataFrame, bounds: DataFrame, key: Key) -> DataFrame:

@@ -67,22 +67,22 @@ def greedy_match(left: DataFrame, right: DataFrame, key: list[str], tolerance: f
     What is free depends on earlier choices only as far as rows are no further apart than the tolerance: a key is cut
     where they are, and its pieces are dealt like keys. Ties go to the earlier right row. A null time takes nothing.
     """
-    both = left.select(*key, "t_h", F.lit(True).alias("__left")).unionByName(right.filter("t_h IS NOT NULL").select(*key, "t_h", F.lit(False).alias("__left")))
+    both = left.filter("t_h IS NOT NULL").select(*key, "t_h", F.lit(True).alias("__left")).unionByName(right.filter("t_h IS NOT NULL").select(*key, "t_h", F.lit(False).alias("__left")))
     w = Window.partitionBy(*key).orderBy("t_h")
     apart = F.coalesce((F.col("t_h") - F.lag("t_h").over(w) > tolerance).cast("int"), F.lit(0))
     pieces = both.withColumn("__apart", apart).withColumn("__piece", F.sum("__apart").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select(*key).schema)
-
-    def match(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows["__left"].to_numpy()
-        t = rows["t_h"].to_numpy(dtype=float)
-        wants = np.sort(t[own])  # missing times come last
-        known = np.isfinite(wants)
-        found = [*_taken_nearest(wants[known], np.sort(t[~own]), tolerance), *([None] * (~known).sum())]
-        times = (None if t != t else t for t in wants.tolist())
-        return pd.DataFrame([(*group[:-1], t, f) for t, f in zip(times, found, strict=True)], columns=[*key, "ref_h", "found_h"])
-
-    return pieces.groupBy(*key, "__piece").applyInPandas(match, f"{names}, ref_h double, found_h double")
+    times = lambda own: F.array_sort(F.collect_list(F.when(own, F.col("t_h").cast("double"))))
+    sides = pieces.groupBy(*key, "__piece").agg(times(F.col("__left")).alias("__wants"), times(~F.col("__left")).alias("__free"))
+
+    @F.pandas_udf("array<double>")
+    def taken(wants: pd.Series, free: pd.Series) -> pd.Series:
+        return pd.Series([_taken_nearest(a, b, tolerance) for a, b in zip(wants, free, strict=True)], dtype=object)
+
+    met = sides.filter("size(__wants) > 0").withColumn("__found", taken("__wants", "__free"))
+    timed = met.select(*key, F.explode(F.arrays_zip(F.col("__wants").alias("ref_h"), F.col("__found").alias("found_h"))).alias("__x")).select(*key, "__x.*")
+    none = F.lit(None).cast("double")
+    untimed = left.filter("t_h IS NULL").select(*key, none.alias("ref_h"), none.alias("found_h"))
+    return timed.unionByName(untimed)
 
 
 def aligned(rows: DataFrame, key: list[str], time: Column, names: list[str], how: str = "last", order: str = "event_id") -> DataFrame:

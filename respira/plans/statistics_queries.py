@@ -47,7 +47,7 @@ REFC = "CASE WHEN l_extendedprice < 30000 THEN '2_low' WHEN l_extendedprice < 60
 q("a18_confusion_matrix", f"WITH x AS (SELECT {PRED} AS p, {REFC} AS r FROM lineitem) SELECT p AS predicted, " + ", ".join(f"count(*) FILTER (r = '{c}') AS \"{c}\"" for c in CLS) + " FROM x WHERE p <> 'unknown' GROUP BY p")(
     lambda s, d: ag.confusion_matrix(li(s, d).select(F.expr(PRED).alias("p"), F.expr(REFC).alias("r")), "p", "r", CLS)
 )
-q("a19_correction_verdict", "WITH x AS (SELECT l_returnflag AS k, avg((l_discount > 0.05)::INT) * 100 AS a, avg((l_discount > 0.04)::INT) * 100 AS b FROM lineitem GROUP BY 1) SELECT bool_and(b - a >= 5) AS approved, round(min(b - a), 6) AS least_gain FROM x")(
+q("a19_correction_verdict", "WITH x AS (SELECT l_returnflag AS k, avg((l_discount > 0.05)::INT) * 100 AS a, avg((l_discount > 0.04)::INT) * 100 AS b FROM lineitem GROUP BY 1) SELECT bool_and(b - a > 5) AS approved, round(min(b - a), 6) AS least_gain FROM x")(
     lambda s, d: (lambda f: ag.correction_verdict(f(0.05), f(0.04), "k", "v", 5.0).select("approved", R("least_gain")))(lambda t: li(s, d).groupBy(F.col("l_returnflag").alias("k")).agg((F.avg((F.col("l_discount") > t).cast("double")) * 100).alias("v")))
 )
 # calibration sweep: intervals at several gaps over thinned annotations against the reference intervals of 10 h
