@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from respira.operators import tails as tl
-from respira.plans.interval_queries import K
+from respira.plans.interval_queries import ANNOTATED, K, WITH, annotated
+from respira.plans.label_queries import ATT, RULE, labels, ventilated_stays
 from respira.registry import Registry
 from respira.sources import fixtures as fx
 from respira.sources import probing as pb
+from respira.sources import readers as rd
+from respira.sources import sinks as sk
 from respira.sources.scratch import scratch_path
 
 REGISTRY = Registry()
@@ -108,3 +111,28 @@ q("sc31_rows_of_ids", "SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity FR
     lambda s, d: pb.rows_of_ids(fx.table(s, d, "lineitem"), fx.table(s, d, "orders").filter("o_totalprice > 300000").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey",
                                 fx.table(s, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"])
 )
+
+
+# ---- an index of events as JSON texts: a user's weeks are events, those of patients who died are excluded
+def index_texts(s: SparkSession, d: str) -> DataFrame:
+    """Column value: an event per text, its attempts after its own start."""
+    w = Window.partitionBy("stay_key")
+    spans = annotated(s, d).withColumn("t0_h", F.min("start_h").over(w))
+    span = F.struct((F.col("start_h") - F.col("t0_h")).alias("vent_start_h"), (F.col("end_h") - F.col("t0_h")).alias("vent_end_h"))
+    events = spans.groupBy("stay_key").agg(F.min("t0_h").alias("t0_h"), F.array_sort(F.collect_list(span)).alias("attempts")).join(fx.stays(s, d).select("stay_key", "user_id", "died"), "stay_key")
+    return events.select(F.to_json(F.struct(F.col("user_id").alias("icustay_id"), (F.col("t0_h") * 3600).alias("t0_unix"), F.col("died").alias("excluded"), "attempts")).alias("value"))
+
+
+q("sc34_reference_intervals", f"""{WITH}, {ANNOTATED}, e AS (SELECT a.stay_key, user_id, min(start_h) AS t0_h FROM annotated a JOIN stays USING (stay_key) WHERE NOT died GROUP BY ALL),
+  f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t0_h) = 1)
+  SELECT user_id AS stay_id, round(t0_h, 6) AS t0_h, row_number() OVER (PARTITION BY user_id ORDER BY start_h) - 1 AS place, round(start_h, 6) AS start_h, round(end_h, 6) AS end_h FROM f JOIN annotated USING (stay_key)""")(
+    lambda s, d: rd.references_of_index(index_texts(s, d)).select("stay_id", F.round("t0_h", 6).alias("t0_h"), "place", F.round("start_h", 6).alias("start_h"), F.round("end_h", 6).alias("end_h"))
+)
+
+
+@q("sk13_index_summary", f"{WITH}, {ATT}{RULE} SELECT event_type AS outcome, count(*) AS n FROM labels WHERE window_h = 48 AND NOT coalesce(trach_h < start_h - 1e-9, false) GROUP BY 1 UNION ALL SELECT 'excluded', count(*) FROM labels WHERE window_h = 48 AND trach_h < start_h - 1e-9 HAVING count(*) > 0")
+def index_summary(s: SparkSession, d: str) -> DataFrame:
+    """An index written as events and excluded events, and its summary by outcome."""
+    own = labels(s, d).filter("window_h = 48").select("stay_key", "event_type", "event_h", "n_failed").join(ventilated_stays(s, d).select("stay_key", "start_h", "trach_h"), "stay_key")
+    before = F.coalesce(F.col("trach_h") < F.col("start_h") - 1e-9, F.lit(False))
+    return sk.write_index(own.filter(~before), own.filter(before).select("stay_key", F.lit("trach_preexisting").alias("reason")), "event_type", scratch_path(s))

@@ -157,3 +157,27 @@ def latest_version(spark: SparkSession, folder: str) -> str | None:
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     names = sorted(s.getPath().toString() for s in fs.listStatus(path) if s.isDirectory()) if fs.exists(path) else []
     return names[-1] if names else None
+
+
+def references_of_index(events: DataFrame, text: str = "value") -> DataFrame:
+    """stay_id, t0_h, place, start_h, end_h (absolute): the attempts of each stay's first event that isn't excluded.
+
+    Events are JSON texts with icustay_id, t0_unix, excluded and attempts (vent_start_h, vent_end_h, after t0). Of events
+    that start together the one of the earlier first attempt counts; texts that are no such event are left out.
+    """
+    schema = "icustay_id long, t0_unix double, excluded boolean, attempts array<struct<vent_start_h: double, vent_end_h: double>>"
+    read = events.select(F.from_json(text, schema).alias("e")).filter("e.icustay_id IS NOT NULL AND e.t0_unix IS NOT NULL AND NOT coalesce(e.excluded, false)")
+    first = read.groupBy(F.col("e.icustay_id").alias("stay_id")).agg(F.min(F.struct("e.t0_unix", "e.attempts")).alias("e"))
+    rows = first.select("stay_id", (F.col("e.t0_unix") / 3600.0).alias("t0_h"), F.posexplode("e.attempts").alias("place", "a"))
+    return rows.select("stay_id", "t0_h", "place", (F.col("t0_h") + F.col("a.vent_start_h")).alias("start_h"), (F.col("t0_h") + F.col("a.vent_end_h")).alias("end_h"))
+
+
+def read_by_key(spark: SparkSession, folder: str, prefix: str, key: str) -> DataFrame:
+    """The parquet files of a folder, one per key, whose names begin with prefix; a key that a file lacks is its name.
+
+    Files may differ in columns: all are there, null where a file has none.
+    """
+    rows = spark.read.option("mergeSchema", "true").option("pathGlobFilter", f"{prefix}*.parquet").parquet(folder)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.parquet$", 1)
+    own = F.coalesce(F.col(key).cast("string"), name) if key in rows.columns else name
+    return rows.withColumn(key, own)

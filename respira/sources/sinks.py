@@ -54,3 +54,38 @@ def cached(spark: SparkSession, folder: str, config: dict, make) -> DataFrame:
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def window_rows(windows: DataFrame, key: list[str], signals: list[str]) -> DataFrame:
+    """A row per window: key, t_start_s, fs, an array of floats per signal; a signal that is missing is an empty array."""
+    samples = lambda c: F.coalesce(F.col(c).cast("array<float>"), F.array().cast("array<float>"))
+    return windows.select(*key, F.col("t_start_s").cast("double"), F.col("fs").cast("float"), *(samples(c).alias(c) for c in signals))
+
+
+def mask_rows(masks: DataFrame, key: list[str], signals: list[str]) -> DataFrame:
+    """A row per window: key, fs and per signal <signal>_mask (booleans) and <signal>_sqi (floats); missing ones are empty."""
+    filled = lambda c, kind: F.coalesce(F.col(c).cast(f"array<{kind}>"), F.array().cast(f"array<{kind}>")).alias(c)
+    return masks.select(*key, F.col("fs").cast("float"), *(filled(f"{s}_mask", "boolean") for s in signals), *(filled(f"{s}_sqi", "float") for s in signals))
+
+
+def write_event_tracks(blocks: DataFrame, key: list[str], tracks: list[str], path: str) -> DataFrame:
+    """The blocks (key, signal, fs, t0_s, samples) of all files of an event, of the named tracks, as one table in order of key, signal and time.
+
+    Blocks that files share are written once. A path that exists raises, as versions never change. Gives each key's
+    start_s and end_s.
+    """
+    own = blocks.filter(F.col("signal").isin(*tracks)).select(*key, "signal", "fs", "t0_s", "samples").dropDuplicates([*key, "signal", "t0_s"])
+    own.repartitionByRange(*key, "signal", "t0_s").sortWithinPartitions(*key, "signal", "t0_s").write.mode("errorifexists").option("compression", "snappy").parquet(path)
+    merged = blocks.sparkSession.read.parquet(path)
+    return merged.groupBy(*key).agg(F.min("t0_s").alias("start_s"), F.max(F.col("t0_s") + F.size("samples") / F.col("fs")).alias("end_s"))
+
+
+def write_index(events: DataFrame, excluded: DataFrame, outcome: str, path: str) -> DataFrame:
+    """Events and excluded events below path, which must not exist, and a summary there: outcome, n, of what was written."""
+    for name, rows in (("events", events), ("excluded", excluded)):
+        rows.write.mode("errorifexists").option("compression", "snappy").parquet(f"{path}/{name}")
+    read = events.sparkSession.read.parquet
+    count = lambda rows, what: rows.groupBy(what.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    summary = count(read(f"{path}/events"), F.col(outcome)).unionByName(count(read(f"{path}/excluded"), F.lit("excluded")))
+    summary.coalesce(1).write.mode("errorifexists").json(f"{path}/summary")  # a row per outcome
+    return summary
