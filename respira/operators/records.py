@@ -193,3 +193,31 @@ def sampling_rate(samples: DataFrame, key: Key, time: str) -> DataFrame:
     """Samples a second: one over the median positive step of time (null without one)."""
     step = F.col(time) - F.lag(time).over(Window.partitionBy(*key).orderBy(time))
     return samples.select(*key, step.alias("dt")).groupBy(*key).agg((1 / F.median(F.when(F.col("dt") > 0, F.col("dt")))).alias("fs"))
+
+
+def event_table(intervals: DataFrame, shifted: DataFrame, labels: DataFrame, labels_shifted: DataFrame, stays: DataFrame, coverage: DataFrame, key: list[str], variable: str = "variable") -> DataFrame:
+    """A row per key with an interval, a key being a stay: when it starts, its attempts and length after ends are moved, both
+    labels of every failure window, and what share of it each variable covers.
+
+    stays: key, stratum, shift_h, trach_h. labels: key, window_h, event_type, censor_cause. coverage: key, the variable's name,
+    coverage. A tracheostomy before the start excludes: such a row has its reason and no labels. Without a shift the
+    second label is null. A key without coverage has an empty map and neither flag.
+    """
+    start = intervals.groupBy(*key).agg(F.min("start_h").alias("t0_h"))
+    moved = shifted.groupBy(*key).agg(F.max("end_h").alias("end_h"), F.count(F.lit(1)).alias("n_attempts"))
+    by_window = lambda rows, name: rows.groupBy(*key).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.col("window_h").cast("int").cast("string"), F.lit("h")), F.struct("event_type", "censor_cause"))))).alias(name)
+    )
+    per_variable = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(variable), F.col("coverage")))))
+    covered = coverage.groupBy(*key).agg(per_variable.alias("coverage"), (F.min("coverage") > 0.5).alias("vars_ok_50"), (F.min("coverage") > 0.8).alias("vars_ok_80"))
+    rows = start.join(moved, key).join(stays.select(*key, "stratum", "shift_h", "trach_h"), key)
+    for part in (by_window(labels_shifted, "labels"), by_window(labels, "__plain"), covered):
+        rows = rows.join(part, key, "left")
+    before = F.coalesce(F.col("trach_h") < F.col("t0_h"), F.lit(False))
+    return rows.select(
+        *key, "t0_h", "stratum", "shift_h", "n_attempts", F.round((F.col("end_h") - F.col("t0_h")) * 3600).cast("long").alias("duration_s"),
+        F.when(before, "trach_preexisting").alias("exclusion"), F.when(~before, F.col("labels")).alias("labels"),
+        F.when(~before & (F.col("shift_h") != 0), F.col("__plain")).alias("labels_uncorrected"),
+        F.coalesce("coverage", F.create_map().cast("map<string,double>")).alias("coverage"),
+        F.coalesce("vars_ok_50", F.lit(False)).alias("vars_ok_50"), F.coalesce("vars_ok_80", F.lit(False)).alias("vars_ok_80"),
+    )
