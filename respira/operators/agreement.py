@@ -84,6 +84,21 @@ def weighted_share(rows: DataFrame, value: str, weight: str) -> DataFrame:
     return rows.agg((F.sum(F.col(value) * F.col(weight)) / F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))).alias("weighted"))
 
 
+def label_versions(events: DataFrame, plain: DataFrame, corrected: DataFrame, verdict: DataFrame, stratum: str, measures: list[str]) -> DataFrame:
+    """What labels' errors are for a mix of events, without and with corrected ends, and which of the two applies.
+
+    events: stratum. plain, corrected: a row per stratum with the measures, taken where the truth is known. Each measure is its
+    strata's mean weighted by their events, over strata that have it (null without any), to two places. verdict: one
+    row, approved; the correction applies only if that is true. Strata of no event weigh nothing.
+    """
+    mix = events.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
+    mean = lambda m: F.round(F.sum(F.col(m) * F.col("__n")) / F.sum(F.when(F.col(m).isNotNull(), F.col("__n"))), 2).alias(m)
+    version = lambda table, with_it: table.join(mix, stratum).agg(F.count(F.lit(1)).alias("n_strata"), *map(mean, measures)).withColumn("corrected", F.lit(with_it))
+    approved = verdict.agg(F.coalesce(F.bool_and("approved"), F.lit(False)).alias("__ok"))
+    rows = version(plain, False).unionByName(version(corrected, True)).join(F.broadcast(approved))
+    return rows.select("corrected", "n_strata", *measures, (F.col("corrected") == F.col("__ok")).alias("applied"))
+
+
 def bland_altman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     d = F.col(a) - F.col(b)
     sd = F.coalesce(F.stddev_samp(d), F.lit(0.0))

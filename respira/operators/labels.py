@@ -143,6 +143,19 @@ def attempt_rows(attempts: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(*key, F.col("window_h").alias("failure_window_hours"), "attempt_idx", F.col("extubation_h").alias("attempt_time_hours"), "outcome", again.alias("reintubation_time_hours"), (again - F.col("extubation_h")).alias("time_to_reintubation_hours"))
 
 
+def survival_tables(labels: DataFrame, attempts: DataFrame, stays: DataFrame, key: list[str], version: str, windows: tuple[float, ...] = WINDOWS) -> dict[str, DataFrame]:
+    """The tables of survival analysis by name: survival_48h and so on, one per failure window, and extubation_attempts of all windows.
+
+    labels: of labelled_attempts. stays: key, cohort, t0_h, confirmed (whether the last extubation is). A key without a label in a
+    window is not in its table; one without attempts is in none of extubation_attempts.
+    """
+    rows = survival_rows(labels, key).join(stays.select(*key, "cohort", "t0_h"), key)
+    rows = rows.withColumn("n_failed_attempts", F.col("n_failed_attempts").cast("smallint")).withColumn("dataset_version", F.lit(version))
+    out = {f"survival_{int(w)}h": rows.filter(F.col("failure_window_hours") == w) for w in windows}
+    tried = attempt_rows(per_window(attempts, windows).join(stays.select(*key, "confirmed"), key), key)
+    return out | {"extubation_attempts": tried.join(stays.select(*key, "cohort"), key)}
+
+
 def lookahead_label(start: Column, end: Column, ahead: float = 8.0, closed: bool = True) -> Column:
     return ((start + ahead <= end) if closed else (start + ahead < end)).cast("int")
 

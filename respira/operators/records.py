@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from respira.functions.rules import EPS, chain, end_reason, trach_text
+from respira.functions.rules import EPS, chain, end_reason, stay_level, trach_text
 from respira.operators import intervals as iv
 from respira.operators import labels as lb
 
@@ -221,3 +221,53 @@ def event_table(intervals: DataFrame, shifted: DataFrame, labels: DataFrame, lab
         F.coalesce("coverage", F.create_map().cast("map<string,double>")).alias("coverage"),
         F.coalesce("vars_ok_50", F.lit(False)).alias("vars_ok_50"), F.coalesce("vars_ok_80", F.lit(False)).alias("vars_ok_80"),
     )
+
+
+def leveled_index(stays: DataFrame, labels: DataFrame, attempts: DataFrame, adjustments: DataFrame, coverage: DataFrame, key: list[str], variable: str = "variable") -> DataFrame:
+    """A row per ventilated stay: how complete its documentation is, why it ended, its labels and its coverage.
+
+    stays: key, site, start_h, end_h, discharge_h, died, trach_h, documented. labels: key, window_h, event_type, censor_cause,
+    n_failed. attempts: key. adjustments: key, t_h; only those no later than the end say anything. coverage: key, the
+    variable's name, coverage. A tracheostomy before the start excludes: such a row has its reason and its site alone. Only
+    level C proposes another end, its last adjustment. A stay without coverage has neither flag, one without
+    adjustments no last one; keys missing from stays give no row, and repeated rows of labels are one.
+    """
+    dead = F.col("died") & (F.col("discharge_h") - F.col("end_h") < 1.0 - EPS)
+    last = adjustments.select(*key, F.col("t_h").alias("__t")).join(stays.select(*key, F.col("end_h").alias("__end")), key).filter(F.col("__t") <= F.col("__end") + 1e-6)
+    counted = attempts.groupBy(*key).agg(F.count(F.lit(1)).alias("n_attempts"))
+    entry = F.struct(F.concat(F.col("window_h").cast("int").cast("string"), F.lit("h")), F.struct("event_type", "censor_cause", "n_failed"))
+    rows = stays
+    for part in (
+        last.groupBy(*key).agg(F.max("__t").alias("last_adjustment_h")), counted,
+        labels.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("labels")),
+        coverage.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(F.col(variable), F.col("coverage"))))).alias("coverage"), F.min("coverage").alias("__least")),
+    ):
+        rows = rows.join(part, key, "left")
+    rule = lb.resolve_extubation(F.col("end_h"), F.col("discharge_h"), F.col("discharge_h"), F.when(F.col("died"), F.col("discharge_h")), dead)
+    rows = rows.withColumn("__rule", rule)
+    level = stay_level(F.col("start_h"), F.col("end_h"), F.col("documented"), F.col("discharge_h"), F.col("trach_h"), F.col("last_adjustment_h"), F.col("__rule.cause"), F.col("__rule.is_extubation"))
+    out = F.coalesce(F.col("trach_h") < F.col("start_h") - EPS, F.lit(False))
+    unless = lambda c, name: F.when(~out, c).alias(name)
+    rows = rows.withColumn("__level", level)
+    reason = F.when(F.col("__rule.is_extubation"), "extubation_observed").otherwise(F.coalesce(F.col("__rule.cause"), F.lit("end_of_record")))
+    return rows.select(
+        *key, "site", F.when(out, "trach_preexisting").alias("exclusion"), unless(F.col("start_h"), "t0_h"), unless(F.round((F.col("end_h") - F.col("start_h")) * 3600).cast("long"), "duration_s"),
+        unless(F.coalesce("n_attempts", F.lit(0)), "n_attempts"), unless(reason, "end_reason"), unless(F.col("labels"), "labels"), unless(F.col("__level.level"), "level"), unless(F.col("__level.reason"), "level_reason"),
+        unless(F.col("last_adjustment_h"), "last_adjustment_h"), unless(F.when(F.col("__level.level") == "C", F.col("last_adjustment_h")), "proposed_end_h"), unless(F.col("__level.proposed_shift_h"), "proposed_shift_h"),
+        unless(F.coalesce("coverage", F.create_map().cast("map<string,double>")), "coverage"), *(unless(F.coalesce(F.col("__least") > share, F.lit(False)), f"vars_ok_{round(share * 100)}") for share in (0.5, 0.8)),
+    )
+
+
+def level_summary(index: DataFrame, window: str = "48h") -> DataFrame:
+    """Of each level (null: what was left out): stays, sites, successes and failures within the window, coverage, median hours."""
+    label = F.col("labels")[window]
+    n_if = lambda c: F.count(F.when(c, 1))
+    return index.groupBy("level").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("site").alias("n_sites"), n_if(label["event_type"] == lb.SUCCESS).alias("n_success"), n_if(label["n_failed"] > 0).alias("n_with_failure"),
+        n_if(label["censor_cause"].isNotNull()).alias("n_censored"), n_if(F.col("vars_ok_50")).alias("n_ok_50"), n_if(F.col("vars_ok_80")).alias("n_ok_80"), F.median(F.col("duration_s") / 3600).alias("median_h"),
+    )
+
+
+def sites_with_level(index: DataFrame, level: str = "A", least: int = 50) -> DataFrame:
+    """Sites with that many stays of a level, and how many."""
+    return index.filter(F.col("level") == level).groupBy("site").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
