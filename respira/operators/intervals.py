@@ -250,6 +250,30 @@ def physiological_spans(series: DataFrame, key: Key, group: Key, low: float, hig
     return merge_spans(extent, key, gap)
 
 
+def alias_extents(probes: DataFrame, key: Key, track: str, aliases: dict[str, list[str]], physiological: bool = True) -> DataFrame:
+    """The extent of each kind over all tracks that are aliases of it, of probes (min_h, max_h, min_phys_h, max_phys_h).
+
+    Physiological: over the tracks that have physiological samples, and only where none has over all. A track may be an
+    alias of several kinds; one of none gives no row, nor does a kind without a track.
+    """
+    kinds: dict[str, list[str]] = {}
+    for kind, tracks in aliases.items():
+        for name in tracks:
+            kinds.setdefault(name, []).append(kind)
+    table = F.create_map(*(x for name, of in kinds.items() for x in (F.lit(name), F.array(*map(F.lit, of)))))
+    rows = probes.withColumn("kind", F.explode(table[F.col(track)]))
+    both = F.col("min_phys_h").isNotNull() & F.col("max_phys_h").isNotNull()
+    first, last = (F.min(F.when(both, F.col("min_phys_h"))), F.max(F.when(both, F.col("max_phys_h")))) if physiological else (F.lit(None), F.lit(None))
+    return rows.groupBy(*key, "kind").agg(F.coalesce(first, F.min("min_h")).alias("start_h"), F.coalesce(last, F.max("max_h")).alias("end_h"))
+
+
+def concept_spans(points: DataFrame, key: Key, concept: str, kinds: dict[str, list[str]], gap: float) -> DataFrame:
+    """Spans of presence of each kind: the points of all its concepts together, cut where further than gap apart; lone points are none."""
+    table = F.create_map(*(x for kind, concepts in kinds.items() for x in (F.lit(kind), F.array(*map(F.lit, concepts)))))
+    rows = points.select(*key, "t_h", F.explode(F.map_keys(F.map_filter(table, lambda _, v: F.array_contains(v, F.col(concept))))).alias("kind"))
+    return spans_from_points(rows, [*key, "kind"], gap)
+
+
 def sanitize_spans(spans: DataFrame, hi: str = "hi_h", longest: float = 60 * 24.0) -> DataFrame:
     """spans with their bounds clipped to [0, hi], `kept`, and `anomalies` (kinds, in the order they are found)."""
     start0, end0, top = F.col("start_h"), F.col("end_h"), F.col(hi)

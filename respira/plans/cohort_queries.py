@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from respira.functions import physiology as ph
 from respira.functions import rules
+from respira.operators import intervals as iv
 from respira.operators import labels as lb
 from respira.operators import partitions as pt
 from respira.operators import records as rc
@@ -146,6 +147,15 @@ q("x13_airway_times", f"{WITH} SELECT stay_key, count(*)::INTEGER AS n, min(t_h)
 PROBES = "pb AS (SELECT stay_key, floor(t_h / 3.0::DOUBLE)::BIGINT AS file, event_type, min(t_h) FILTER (value BETWEEN 20 AND 250) AS a, max(t_h) FILTER (value BETWEEN 20 AND 250) AS b FROM ev GROUP BY ALL)"
 probes = lambda s, d: rd.probes(ev(s, d).withColumn("file", F.floor(F.col("t_h") / 3.0)), ["stay_key", "file", "event_type"], F.col("value").between(20, 250))
 q("x23_track_extents", f"{WITH}, {PROBES} SELECT stay_key, file, min(a) AS start_h, max(b) AS end_h FROM pb WHERE event_type IN ('view', 'click') AND a IS NOT NULL GROUP BY stay_key, file")(lambda s, d: rc.track_extents(probes(s, d), ["stay_key", "file"], "event_type", ["view", "click"], physiological=True))
+KINDS = {"monitor": ["view", "click", "signup"], "vent": ["error", "signup"]}
+KIND_ROWS = "k AS (SELECT * FROM (VALUES ('monitor', 'view'), ('monitor', 'click'), ('monitor', 'signup'), ('vent', 'error'), ('vent', 'signup')) v(kind, event_type))"
+q("i23_alias_extents", f"{WITH}, {KIND_ROWS}, f AS (SELECT stay_key, floor(t_h / 3.0::DOUBLE)::BIGINT AS file, event_type, t_h, value BETWEEN 20 AND 250 AS good FROM ev) SELECT stay_key, file, kind, coalesce(min(t_h) FILTER (good), min(t_h)) AS start_h, coalesce(max(t_h) FILTER (good), max(t_h)) AS end_h FROM f JOIN k USING (event_type) GROUP BY ALL")(
+    lambda s, d: iv.alias_extents(probes(s, d), ["stay_key", "file"], "event_type", KINDS)
+)
+q("i31_concept_spans", f"""{WITH}, {KIND_ROWS}, p AS (SELECT stay_key, kind, t_h, (t_h - lag(t_h) OVER w <= 10.0::DOUBLE + 1e-9::DOUBLE) IS NOT TRUE AS fresh FROM ev JOIN k USING (event_type) WINDOW w AS (PARTITION BY stay_key, kind ORDER BY t_h)),
+  g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY stay_key, kind ORDER BY t_h ROWS UNBOUNDED PRECEDING) AS g FROM p) SELECT stay_key, kind, min(t_h) AS start_h, max(t_h) AS end_h FROM g GROUP BY stay_key, kind, g HAVING max(t_h) > min(t_h)""")(
+    lambda s, d: iv.concept_spans(ev(s, d), K, "event_type", KINDS, 10.0).select("stay_key", "kind", "start_h", "end_h")
+)
 q("x17_lost_at_end", f"{WITH}, {PROBES}, p AS (SELECT stay_key, file, count(*) FILTER (event_type IN ('view', 'click') AND a IS NOT NULL) AS n FROM pb GROUP BY ALL) SELECT stay_key, max_by(n, file) = 0 AS lost FROM p GROUP BY stay_key")(lambda s, d: rc.lost_at_end(probes(s, d), K, "file", "event_type", ["view", "click"]))
 
 # ---- hospitals
