@@ -235,7 +235,8 @@ def derived_by_minute(waves: DataFrame, keys: list[str], pressure: str = "awp",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records") if len(pdf) else []
-            yield pd.DataFrame([{**{k: r[k] for k in keys}, **found} for r in rows for found in derive(r)], columns=columns)
+            # error is set in every row: pandas makes a column that no row has one of numbers, which is no string to Arrow
+            yield pd.DataFrame([{**{k: r[k] for k in keys}, "error": None, **found} for r in rows for found in derive(r)], columns=columns)
 
     return flat.mapInPandas(run, f"{names}, minute long, pip double, peep double, rr double, tv_ml double, error string")
 

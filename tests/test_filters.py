@@ -104,6 +104,16 @@ def test_derived_by_minute(spark):
     assert not set(out.k) & {"flow", "null"}
 
 
+def test_derived_without_an_error(spark):
+    """A batch in which no key has an error, as small batches of a large table are."""
+    t, p, f = breathing()
+    rows = [(k, s, 25.0, 0.0, [float(v) for v in x]) for k in ("a", "b") for s, x in (("awp", p), ("flow", f))]
+    waves = spark.createDataFrame(rows, "k string, signal string, fs double, t0_s double, samples array<double>")
+    for some in (waves, waves.filter("k = 'a'"), waves.filter("k = 'c'")):
+        got = wv.derived_by_minute(some, ["k"]).toPandas()
+        assert set(got.k) == set(some.toPandas().k) and got.error.isna().all() and (got.groupby("k").size() >= 4).all()
+
+
 def test_numeric_derivatives(spark):
     rng = np.random.default_rng(5)
     series = {"a": rng.normal(0, 1, 60), "b": rng.normal(0, 1, 15), "c": rng.normal(0, 1, 14)}
