@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import ceil
 
@@ -247,70 +247,78 @@ def missing_fields(rows: DataFrame, columns: list[str]) -> DataFrame:
 def rbf_kernel(vectors: DataFrame, groups: list[tuple[int, int, float]], gammas: list[float], block: int = 500) -> DataFrame:
     """Grouped RBF kernel of all pairs i <= j: sum of weight * exp(-gamma * squared distance) over slices (start, length, weight).
 
-    Vectors are dealt into blocks by a hash of their id; a task takes two blocks. k is null where a vector lacks a value of
-    the slices. Rows without id have no pairs; of a repeated id every pair of rows is one.
+    Vectors are dealt into blocks by a hash of their id; two blocks meet in a task, once. k is null where a vector lacks a
+    value of the slices. Rows without id have no pairs; of a repeated id every pair of rows is one.
     """
-    known = vectors.filter(F.col("id").isNotNull()).select("id", F.col("v").cast("array<double>").alias("v"))
-    n = max(1, ceil(known.count() / block))
-    dealt = known.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cells = dealt.withColumn("m", other).select("id", "v", "b", F.least("b", "m").alias("p"), F.greatest("b", "m").alias("q"))
+    a = _blocks(vectors, "p", "x", block)
+    p, q = F.col("p"), F.col("q")
+    once = (p == q) | ((p < q) == (F.pmod(p + q, F.lit(2)) == 0))  # of (p, q) and (q, p) one, so that all tasks have as many
     kind = vectors.schema["id"].dataType.simpleString()
 
-    def rows(p: int, q: int, cell: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        a, b = cell[cell["b"] == p], cell[cell["b"] == q]
-        i, j = a["id"].to_numpy(), b["id"].to_numpy()
-        for at, k in _kernel(a["v"], b["v"], groups, gammas):
-            ids = i[at : at + len(k)]
-            r, c = np.nonzero(ids[:, None] <= j[None, :]) if p == q else np.indices(k.shape).reshape(2, -1)
-            yield pd.DataFrame({"i": np.minimum(ids[r], j[c]), "j": np.maximum(ids[r], j[c]), "k": k[r, c]})
+    def rows(p: int, q: int, i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        k = _kernel(x, y, groups, gammas)
+        take = i[:, None] <= j if p == q else np.full(k.shape, True)
+        return pd.DataFrame({"i": np.minimum(i[:, None], j)[take], "j": np.maximum(i[:, None], j)[take], "k": k[take]})
 
-    pairs = cells.groupBy("p", "q").applyInPandas(lambda key, cell: _joined(rows(*key, cell)), f"i {kind}, j {kind}, k double")
-    return pairs.withColumn("k", F.nanvl("k", F.lit(None).cast("double")))
+    return _met(a, a.select(F.col("p").alias("q"), F.col("x").alias("y")), once, rows, kind)
 
 
 def rbf_rows(queries: DataFrame, vectors: DataFrame, groups: list[tuple[int, int, float]], gammas: list[float], block: int = 500) -> DataFrame:
-    """Rows of that kernel: every query i against every vector j, a task taking a block of each. Otherwise as rbf_kernel."""
-    a, b = (df.filter(F.col("id").isNotNull()).select("id", F.col("v").cast("array<double>").alias("v")) for df in (queries, vectors))
-    n, m = (max(1, ceil(df.count() / block)) for df in (a, b))
-    deal = lambda df, k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = a.select("id", "v", F.lit(True).alias("query"), deal(a, n).alias("p"), each(m).alias("q"))
-    right = b.select("id", "v", F.lit(False).alias("query"), each(n).alias("p"), deal(b, m).alias("q"))
+    """Rows of that kernel: every query i against every vector j, block by block. Otherwise as rbf_kernel."""
     kind = vectors.schema["id"].dataType.simpleString()
 
-    def rows(cell: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        x, y = cell[cell["query"]], cell[~cell["query"]]
-        i, j = x["id"].to_numpy(), y["id"].to_numpy()
-        for at, k in _kernel(x["v"], y["v"], groups, gammas):
-            r, c = np.indices(k.shape).reshape(2, -1)
-            yield pd.DataFrame({"i": i[at + r], "j": j[c], "k": k[r, c]})
+    def rows(p: int, q: int, i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        k = _kernel(x, y, groups, gammas)
+        return pd.DataFrame({"i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "k": k.ravel()})
+
+    return _met(_blocks(queries, "p", "x", block), _blocks(vectors, "q", "y", block), F.lit(True), rows, kind)
+
+
+def _blocks(vectors: DataFrame, number: str, held: str, block: int) -> DataFrame:
+    """A row per block of about `block` vectors: its number and an array of (id, v). A partition has five blocks on average."""
+    known = vectors.filter(F.col("id").isNotNull()).select("id", F.col("v").cast("array<double>").alias("v"))
+    n = max(1, ceil(known.count() / block))
+    packed = known.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(number)).agg(F.collect_list(F.struct("id", "v")).alias(held))
+    return packed.repartition(ceil(n / 5))
+
+
+def _met(left: DataFrame, right: DataFrame, once: Column, rows: Callable[..., pd.DataFrame], kind: str) -> DataFrame:
+    """i, j, k of each block of the left (p, x) with each of the right (q, y) for which `once` holds.
+
+    Partitions meet as a cartesian product: it reads the shuffled blocks again and again, and writes no copies of them.
+    """
+    met = left.join(right.hint("shuffle_replicate_nl"), once).select("p", "q", F.col("x.id").alias("i"), F.col("x.v").alias("x"), F.col("y.id").alias("j"), F.col("y.v").alias("y"))
 
-    pairs = left.unionByName(right).groupBy("p", "q").applyInPandas(lambda cell: _joined(rows(cell)), f"i {kind}, j {kind}, k double")
-    return pairs.withColumn("k", F.nanvl("k", F.lit(None).cast("double")))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cells in batches:
+            for cell in zip(*(cells[c] for c in ("p", "q", "i", "x", "j", "y")), strict=True):
+                yield rows(*cell)
 
+    return met.mapInPandas(run, f"i {kind}, j {kind}, k double").withColumn("k", F.nanvl("k", F.lit(None).cast("double")))
 
-def _kernel(a: pd.Series, b: pd.Series, groups: list[tuple[int, int, float]], gammas: list[float]) -> Iterator[tuple[int, np.ndarray]]:
-    """Kernel values of up to 32 rows of a against all of b, with the first row's place; NaN where a value is missing."""
+
+def _kernel(a: np.ndarray, b: np.ndarray, groups: list[tuple[int, int, float]], gammas: list[float]) -> np.ndarray:
+    """Kernel values of all of a against all of b; NaN where a value is missing."""
     width = max(start + length - 1 for start, length, _ in groups)
 
-    def matrix(values: pd.Series) -> np.ndarray:
+    def matrix(values: np.ndarray) -> np.ndarray:
         out = np.full((len(values), width), np.nan)
         for row, v in zip(out, values, strict=True):
             if v is not None:
                 v = np.asarray(v, dtype=float)[:width]
                 row[: len(v)] = v
-        return out
+        return out.T.copy()
 
     x, y = matrix(a), matrix(b)
-    for at in range(0, len(x), 32):
-        k = np.zeros((len(x[at : at + 32]), len(y)))
+    out = np.empty((x.shape[1], y.shape[1]))
+    for at in range(0, len(out), 32):  # 32 rows of a, whose sums stay in the processor's cache
+        k, step = out[at : at + 32], np.empty((len(out[at : at + 32]), y.shape[1]))
+        k[:] = 0
         for (start, length, weight), gamma in zip(groups, gammas, strict=True):
-            cut = slice(start - 1, start - 1 + length)
-            k += weight * np.exp(-gamma * ((x[at : at + 32, None, cut] - y[None, :, cut]) ** 2).sum(axis=2))
-        yield at, k
-
-
-def _joined(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    found = list(parts)
-    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"i": [], "j": [], "k": []})
+            far = np.zeros_like(k)
+            for c in range(start - 1, start - 1 + length):
+                np.subtract(x[c, at : at + 32, None], y[c], out=step)
+                step *= step
+                far += step
+            k += weight * np.exp(-gamma * far)
+    return out

@@ -80,6 +80,19 @@ def test_kernel_in_blocks(spark):
         assert rows(["i", "j", "k"], got.select("i", "j", "k").collect()) == rows(["i", "j", "k"], want)
 
 
+@pytest.mark.parametrize("n", [60, 400])
+def test_kernel_writes_no_copies(spark, n):
+    """Blocks meet without a shuffle, and under both their shuffles no row is repeated; every pair comes once."""
+    df = spark.range(n).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    whole = ag.rbf_kernel(df, [(1, 2, 1.0)], [0.1], block=10)
+    some = ag.rbf_rows(df.filter("id % 10 = 0"), df, [(1, 2, 1.0)], [0.1], block=10)
+    for got, pairs in ((whole, n * (n + 1) // 2), (some, n // 10 * n)):
+        assert got.count() == got.dropDuplicates(["i", "j"]).count() == pairs
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        before, after = plan.split("CartesianProduct", 1)
+        assert "Exchange" not in before and "Exchange" in after and "Generate" not in plan
+
+
 def test_kernel_of_queries_against_all(spark):
     data = [(i % 17 if i < 20 else i, [float(i), 0.0, float(i * i % 5)]) for i in range(40)] + [(50, None), (None, [1.0, 1.0, 1.0])]
     df = spark.createDataFrame(data, "id long, v array<double>")
