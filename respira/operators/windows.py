@@ -205,3 +205,23 @@ def running_sums(rows: DataFrame, order: list[str], columns: list[str]) -> DataF
     out = local.join(F.broadcast(offsets), "__part")
     added = [e for c in columns for e in ((F.col(f"__{c}_local") + F.col(f"__{c}_before")).cast("long").alias(f"{c}_before"), F.col(f"__{c}_total").alias(f"{c}_total"))]
     return out.select(*rows.columns, *added)
+
+
+def quantiles(rows: DataFrame, key: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Per key the exact quantiles of its known values, a column per share, interpolated as percentile does; keys are few and
+    not null, their values as many as may be.
+
+    Equal values are counted and running sums of the counts tell their ranks, so no task holds a key's values.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*key, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    placed = running_sums(counted, [*key, "__v"], ["__n"])
+    extent = placed.groupBy(*key).agg(F.min("__n_before").alias("__first"), F.sum("__n").alias("__all"))
+    at = placed.join(F.broadcast(extent), key).withColumn("__lo", F.col("__n_before") - F.col("__first"))
+    found, out = [], []
+    for name, share in shares.items():
+        place = (F.col("__all") - 1) * F.lit(float(share))
+        held = lambda i: F.max(F.when((F.col("__lo") <= i) & (i < F.col("__lo") + F.col("__n")), F.col("__v")))
+        found += [held(F.floor(place)).alias(f"__{name}_a"), held(F.ceil(place)).alias(f"__{name}_b")]
+        a, b = F.col(f"__{name}_a"), F.col(f"__{name}_b")
+        out.append(F.when(a == b, a).otherwise((F.ceil(place) - place) * a + (place - F.floor(place)) * b).alias(name))
+    return at.groupBy(*key, "__all").agg(*found).select(*key, *out)

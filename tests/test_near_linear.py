@@ -12,6 +12,8 @@ from respira.operators import agreement as ag
 from respira.operators import intervals as iv
 from respira.operators import joins as jn
 from respira.operators import windows as wn
+from respira.plans import catalogue
+from tests.test_oracles import SF
 
 
 def plain_match(wants, free, tolerance):
@@ -125,3 +127,21 @@ def test_running_sums(spark):
     for i in range(3000):
         assert (out[i]["n_before"], out[i]["n_total"], out[i]["m_before"]) == (before, total, -i * (i - 1) // 2)
         before += i % 5
+
+
+def test_quantiles_are_the_exact_percentiles(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 5 < 3, "a").when(F.col("id") % 5 == 3, "b").when(F.col("id") < 10, "one").otherwise("none").alias("k"),
+        F.when((F.col("id") % 5 < 4) | (F.col("id") == 4), F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.rand(7) - 0.5)).alias("v"),
+    ).localCheckpoint()
+    shares = {"q0": 0.0, "q1": 0.1, "q5": 0.5, "q75": 0.75, "q9": 0.9, "q10": 1.0}
+    got = wn.quantiles(rows, ["k"], "v", shares)
+    want = rows.filter("v is not null").groupBy("k").agg(*(F.percentile("v", F.lit(p)).alias(n) for n, p in shares.items()))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3
+    assert wn.quantiles(rows.limit(0), ["k"], "v", shares).count() == 0
+
+
+def test_label_versions_hold_no_stratum_in_a_task(spark):
+    """Medians of strata are no aggregate that keeps all values, and the events' table is made once."""
+    plan = catalogue.REGISTRY.queries["a24_label_versions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "median" not in plan and "percentile" not in plan and "events.parquet" not in plan
