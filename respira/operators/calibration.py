@@ -19,6 +19,7 @@ from respira.operators import agreement as ag
 from respira.operators import intervals as iv
 from respira.operators import joins as jn
 from respira.operators import labels as lb
+from respira.operators.windows import quantiles
 from respira.sources.scratch import written
 
 SETTING = ["gap_h", "subsample_h"]
@@ -89,14 +90,26 @@ def compared_labels(labels: DataFrame, annotations: DataFrame, found: DataFrame,
     )
 
 
+#: Quantiles of an error by name.
+SHARES = {"median": 0.5, "q1": 0.25, "q3": 0.75, "p10": 0.1, "p90": 0.9}
+
+
 def _stats(error: Column, name: str) -> list[Column]:
-    """Signed error: count, median, quartile range, ninth decile of its size, shares within 1, 2 and 4 h, outer deciles."""
-    p = lambda x, q: F.percentile(x, F.lit(q))
+    """Signed error: count, shares within 1, 2 and 4 h."""
     within = [(F.avg((F.abs(error) <= h).cast("double")) * 100).alias(f"{name}_within{h}") for h in (1, 2, 4)]
-    return [
-        F.count(error).alias(f"{name}_n"), F.median(error).alias(f"{name}_median"), (p(error, 0.75) - p(error, 0.25)).alias(f"{name}_iqr"),
-        p(F.abs(error), 0.9).alias(f"{name}_p90_abs"), *within, p(error, 0.1).alias(f"{name}_p10"), p(error, 0.9).alias(f"{name}_p90"),
-    ]
+    return [F.count(error).alias(f"{name}_n"), *within]
+
+
+def _quantiles(errors: DataFrame, names: list[str]) -> DataFrame:
+    """Per setting and signed error (columns of the names): median, quartile range, ninth decile of its size, outer deciles.
+
+    Settings are few: their errors' quantiles come from running sums of counts, so that no task holds a setting's errors.
+    """
+    both = F.array(*(F.struct(F.lit(n).alias("of"), F.lit(size).alias("size"), (F.abs(F.col(n)) if size else F.col(n)).alias("v")) for n in names for size in (False, True)))
+    found = quantiles(errors.select(*SETTING, F.explode(both).alias("x")).select(*SETTING, "x.*"), [*SETTING, "of", "size"], "v", SHARES)
+    at = lambda name, size, c: F.max(F.when((F.col("of") == name) & (F.col("size") == size), c))
+    of = lambda n: [at(n, False, F.col("median")).alias(f"{n}_median"), at(n, False, F.col("q3") - F.col("q1")).alias(f"{n}_iqr"), at(n, True, F.col("p90")).alias(f"{n}_p90_abs"), at(n, False, F.col("p10")).alias(f"{n}_p10"), at(n, False, F.col("p90")).alias(f"{n}_p90")]
+    return found.groupBy(*SETTING).agg(*(c for n in names for c in of(n)))
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -107,7 +120,7 @@ def run_strata(references: DataFrame, labels: DataFrame, annotations: DataFrame,
     """A row per setting: references lost, hours outside any reference, fragments, errors of starts and ends, reintubations
     found (sensitivity, ppv, f1), agreement of labels, of failures and of the three classes, error of the first extubation.
 
-    The rebuilt intervals, small beside the annotations, are written, as four measures read them.
+    The rebuilt intervals, small beside the annotations, are written, as four measures read them, and so are the errors.
     """
     own = [*SETTING, *key]
     used = annotations.join(references.select(*key), key, "left_semi")
@@ -115,10 +128,10 @@ def run_strata(references: DataFrame, labels: DataFrame, annotations: DataFrame,
     hit = reference_hits(references, found, settings, key, strata)
     there = F.col("found_start_h").isNotNull()
     per_ref = hit.groupBy(*own, "start_h", "end_h").agg(F.count("found_start_h").alias("n"), F.min("found_start_h").alias("s"), F.max("found_end_h").alias("e"))
-    start, end = F.col("s") - F.col("start_h"), F.col("e") - F.col("end_h")
+    per_ref = written(per_ref.select(*SETTING, "n", (F.col("s") - F.col("start_h")).alias("start"), (F.col("e") - F.col("end_h")).alias("end")))
     by_ref = per_ref.groupBy(*SETTING).agg(
         F.count(F.lit(1)).alias("n_ref"), F.count(F.when(F.col("n") == 0, 1)).alias("n_lost"), F.avg(F.when(F.col("n") > 0, F.col("n"))).alias("fragments"),
-        *_stats(start, "start"), *_stats(end, "end"),
+        *_stats(F.col("start"), "start"), *_stats(F.col("end"), "end"),
     )
     inside = iv.overlap(F.col("start_h"), F.col("end_h"), F.col("found_start_h"), F.col("found_end_h"))
     covered = hit.filter(there).groupBy(*own, "found_start_h", "found_end_h").agg(F.sum(inside).alias("h"))
@@ -128,12 +141,14 @@ def run_strata(references: DataFrame, labels: DataFrame, annotations: DataFrame,
     same = F.col("event_type").eqNullSafe(F.col("reference.event_type")) & F.col("censor_cause").eqNullSafe(F.col("reference.censor_cause"))
     failed = (F.col("n_failed") > 0) == (F.coalesce(F.col("reference.n_failed"), F.lit(0)) > 0)
     share = lambda c: F.avg(c.cast("double")) * 100
-    by_label = compared_labels(labels, used, found, settings, key, strata, window_h).groupBy(*SETTING).agg(
-        F.count(F.lit(1)).alias("label_n"), share(same).alias("label_agreement"), share(failed).alias("fail_agreement"),
-        share(F.col("class") == F.col("reference_class")).alias("label3_agreement"), *_stats(F.col("extubation_error_h"), "extubation"),
+    compared = written(compared_labels(labels, used, found, settings, key, strata, window_h).select(*SETTING, same.alias("same"), failed.alias("failed"), (F.col("class") == F.col("reference_class")).alias("alike"), F.col("extubation_error_h").alias("extubation")))
+    by_label = compared.groupBy(*SETTING).agg(
+        F.count(F.lit(1)).alias("label_n"), share(F.col("same")).alias("label_agreement"), share(F.col("failed")).alias("fail_agreement"),
+        share(F.col("alike")).alias("label3_agreement"), *_stats(F.col("extubation"), "extubation"),
     )
+    errors = per_ref.select(*SETTING, "start", "end", F.lit(None).cast("double").alias("extubation")).unionByName(compared.select(*SETTING, F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), "extubation"))
     out = settings
-    for part in (by_ref, by_found, known, again, by_label):
+    for part in (by_ref, by_found, known, again, by_label, _quantiles(errors, ["start", "end", "extubation"])):
         out = out.join(part, SETTING, "left")
     counts = ["n_ref", "n_lost", "n_found", "reintub_ref", "reintub_matched", "reintub_found", "label_n"]
     out = out.fillna(0, counts)

@@ -39,6 +39,9 @@ def _taken_nearest(wants: np.ndarray, free: np.ndarray, tolerance: float) -> lis
 
     The next free value on either side is found by union-find with path halving, so a key costs near its length.
     """
+    if len(wants) == 1 or len(free) == 0:  # most pieces: nothing has been taken yet
+        near = [min(((abs(x - t), x) for x in free.tolist()), default=(float("inf"), None)) for t in wants.tolist()]
+        return [x if x is not None and away <= tolerance else None for away, x in near]
     # place i of the free values is slot i + 1 downwards, where slot 0 is none, and slot i upwards, where the last is none
     down, up = list(range(len(free) + 1)), list(range(len(free) + 1))
 

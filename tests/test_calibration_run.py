@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from respira.operators import calibration as cal
 from respira.operators import intervals as iv
+from respira.plans import catalogue
+from tests.test_oracles import SF
 
 K = ["k"]
 LABELS = "k string, t0_h double, observation_end_h double, event_type string, censor_cause string, censor_h double, extubation_h double, n_failed long"
@@ -71,3 +73,9 @@ def test_thinning_equals_the_plain_rule(spark):
     for gap in (0.05, 0.3, 5.0):
         got = iv.subsample_times(rows, K, gap).groupBy("k").agg(F.sort_array(F.collect_list("t_h")).alias("ts")).collect()
         assert {r["k"]: r["ts"] for r in got} == {k: plain(ts, gap) for k, ts in times.items()}
+
+
+def test_no_task_holds_a_settings_errors(spark):
+    """Quantiles of a setting are no aggregate that keeps all its errors."""
+    plan = catalogue.REGISTRY.queries["a20_stratum_runs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "median(" not in plan
