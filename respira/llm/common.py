@@ -65,9 +65,10 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def released(*tables: DataFrame) -> None:
-    """Empties written tables that nothing reads any more."""
+    """Empties written tables that nothing reads any more. The rows of none come from the JVM: a list's would start Python workers of their own."""
     for df in tables:
-        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(_PATHS.pop(df))
+        empty = df.sparkSession.range(0).select([F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+        empty.coalesce(1).write.mode("overwrite").parquet(_PATHS.pop(df))
 
 
 def lookup(rows: DataFrame, facts: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
@@ -81,9 +82,12 @@ def lookup(rows: DataFrame, facts: DataFrame, on: str | list[str], how: str = "i
 
 
 def chunks(batches: Iterable[pd.DataFrame], text: str = "text") -> Iterator[pd.DataFrame]:
-    """Batches cut so that no piece has over CHUNK_ROWS rows, nor (beyond one row) over CHUNK_CHARS characters of text."""
+    """Batches cut so that no piece has over CHUNK_ROWS rows, nor (beyond one row) over CHUNK_CHARS characters of text.
+
+    Without pandas' .str, which a column keeps and which keeps the column: batches would stay until Python collects cycles.
+    """
     for pdf in batches:
-        sizes = pdf[text].str.len().fillna(0).to_numpy()
+        sizes = [len(t) if isinstance(t, str) else 0 for t in pdf[text]]
         start = total = 0
         for i, size in enumerate(sizes):
             if i > start and (i - start >= CHUNK_ROWS or total + size > CHUNK_CHARS):

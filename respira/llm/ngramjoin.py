@@ -75,7 +75,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of texts; keeps the hashes of words it has met, up to a bound."""
 
-    def __init__(self, k: int, keep: int = 300_000):
+    def __init__(self, k: int, keep: int = 50_000):
         self.k, self.keep, self.words = k, keep, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -298,7 +298,7 @@ def trie_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
 
     With query, base and label, the rows marked query meet those marked base, but for those of the same label.
     """
-    shingles = Shingler(k, keep=100_000)
+    shingles = Shingler(k)
 
     def join(pdf: pd.DataFrame) -> list[tuple]:
         ids, sets = pdf["doc_id"].to_numpy(), [shingles(t) for t in pdf["text"]]

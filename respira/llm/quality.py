@@ -27,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,7 +142,7 @@ class FreeTable:
         if self.count <= len(self.gone):
             return None
         spark = self.rows.sparkSession
-        gone = spark.createDataFrame([(i,) for i in sorted(self.gone)], "doc_id long")  # 4 * GIVEN a round at most
+        gone = spark.createDataFrame(pa.table({"doc_id": pa.array(sorted(self.gone), pa.int64())}))  # 4 * GIVEN a round at most
         n_good, n_bad = _shares(min(per_round * self.count, GIVEN), share)
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
