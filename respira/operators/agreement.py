@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
 from itertools import combinations
 from math import ceil
 
@@ -244,11 +245,12 @@ def missing_fields(rows: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("n_missing"), F.col("n").alias("n_rows")) for c in columns))).alias("x")).select("x.*")
 
 
-def rbf_kernel(vectors: DataFrame, groups: list[tuple[int, int, float]], gammas: list[float], block: int = 500) -> DataFrame:
+def rbf_kernel(vectors: DataFrame, groups: list[tuple[int, int, float]], gammas: list[float], block: int = 500, digits: int | None = None) -> DataFrame:
     """Grouped RBF kernel of all pairs i <= j: sum of weight * exp(-gamma * squared distance) over slices (start, length, weight).
 
     Vectors are dealt into blocks by a hash of their id; two blocks meet in a task, once. k is null where a vector lacks a
-    value of the slices. Rows without id have no pairs; of a repeated id every pair of rows is one.
+    value of the slices. Rows without id have no pairs; of a repeated id every pair of rows is one. With `digits`, k is
+    rounded to so many decimal places and each partition's rows begin with frequent values, which makes Parquet files small.
     """
     a = _blocks(vectors, "p", "x", block)
     p, q = F.col("p"), F.col("q")
@@ -260,10 +262,10 @@ def rbf_kernel(vectors: DataFrame, groups: list[tuple[int, int, float]], gammas:
         take = i[:, None] <= j if p == q else np.full(k.shape, True)
         return pd.DataFrame({"i": np.minimum(i[:, None], j)[take], "j": np.maximum(i[:, None], j)[take], "k": k[take]})
 
-    return _met(a, a.select(F.col("p").alias("q"), F.col("x").alias("y")), once, rows, kind)
+    return _met(a, a.select(F.col("p").alias("q"), F.col("x").alias("y")), once, rows, kind, digits)
 
 
-def rbf_rows(queries: DataFrame, vectors: DataFrame, groups: list[tuple[int, int, float]], gammas: list[float], block: int = 500) -> DataFrame:
+def rbf_rows(queries: DataFrame, vectors: DataFrame, groups: list[tuple[int, int, float]], gammas: list[float], block: int = 500, digits: int | None = None) -> DataFrame:
     """Rows of that kernel: every query i against every vector j, block by block. Otherwise as rbf_kernel."""
     kind = vectors.schema["id"].dataType.simpleString()
 
@@ -271,32 +273,58 @@ def rbf_rows(queries: DataFrame, vectors: DataFrame, groups: list[tuple[int, int
         k = _kernel(x, y, groups, gammas)
         return pd.DataFrame({"i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "k": k.ravel()})
 
-    return _met(_blocks(queries, "p", "x", block), _blocks(vectors, "q", "y", block), F.lit(True), rows, kind)
+    return _met(_blocks(queries, "p", "x", block), _blocks(vectors, "q", "y", block), F.lit(True), rows, kind, digits)
 
 
 def _blocks(vectors: DataFrame, number: str, held: str, block: int) -> DataFrame:
-    """A row per block of about `block` vectors: its number and an array of (id, v). A partition has five blocks on average."""
+    """A row per block of about `block` vectors: its number and an array of (id, v), by id. A partition has five blocks on average."""
     known = vectors.filter(F.col("id").isNotNull()).select("id", F.col("v").cast("array<double>").alias("v"))
     n = max(1, ceil(known.count() / block))
-    packed = known.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(number)).agg(F.collect_list(F.struct("id", "v")).alias(held))
+    packed = known.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(number)).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias(held))
     return packed.repartition(ceil(n / 5))
 
 
-def _met(left: DataFrame, right: DataFrame, once: Column, rows: Callable[..., pd.DataFrame], kind: str) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, once: Column, rows: Callable[..., pd.DataFrame], kind: str, digits: int | None) -> DataFrame:
     """i, j, k of each block of the left (p, x) with each of the right (q, y) for which `once` holds.
 
     Partitions meet as a cartesian product: it reads the shuffled blocks again and again, and writes no copies of them.
+    Rounded values are few, but a Parquet file keeps a dictionary of them only if it saves bytes over its first page.
     """
     met = left.join(right.hint("shuffle_replicate_nl"), once).select("p", "q", F.col("x.id").alias("i"), F.col("x.v").alias("x"), F.col("y.id").alias("j"), F.col("y.v").alias("y"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = digits is not None
         for cells in batches:
             for cell in zip(*(cells[c] for c in ("p", "q", "i", "x", "j", "y")), strict=True):
-                yield rows(*cell)
+                out = rows(*cell)
+                if digits is not None:
+                    out["k"] = rounded(out["k"].to_numpy(), digits)
+                if first and len(out):
+                    first, out = False, _frequent_first(out, "k")
+                yield out
 
     return met.mapInPandas(run, f"i {kind}, j {kind}, k double").withColumn("k", F.nanvl("k", F.lit(None).cast("double")))
 
 
+def rounded(values: np.ndarray, digits: int) -> np.ndarray:
+    """As Spark's round(): halves of the shortest decimal form go away from zero. Values next to a half are rounded as decimals."""
+    scale = 10.0**digits
+    with np.errstate(invalid="ignore", over="ignore"):
+        size = np.abs(values) * scale
+        out = np.copysign(np.floor(size + 0.5) / scale, values) + 0.0
+        near = np.isfinite(values) & ~(np.abs(size - np.floor(size) - 0.5) > 4 * np.spacing(size))
+    unit, exact = Decimal(1).scaleb(-digits), Context(prec=400)
+    out[near] = [float(Decimal(repr(v)).quantize(unit, ROUND_HALF_UP, exact)) for v in values[near].tolist()]
+    return out
+
+
+def _frequent_first(rows: pd.DataFrame, column: str, page: int = 20_000) -> pd.DataFrame:
+    """A page of rows with the most frequent values, then all others in their order."""
+    _, place, n = np.unique(rows[column].to_numpy(), return_inverse=True, return_counts=True)
+    front = np.argsort(-n[place], kind="stable")[:page]
+    return rows.iloc[np.concatenate([front, np.delete(np.arange(len(rows)), front)])]
+
+
 def _kernel(a: np.ndarray, b: np.ndarray, groups: list[tuple[int, int, float]], gammas: list[float]) -> np.ndarray:
     """Kernel values of all of a against all of b; NaN where a value is missing."""
     width = max(start + length - 1 for start, length, _ in groups)

@@ -227,10 +227,10 @@ q("m11_curve_lookup", f"{WITH} SELECT event_id, round(CASE WHEN least(greatest(v
 q("m12_residual_targets", f"{WITH} SELECT event_id, round(ln(greatest(value, 1e-6)) - 2.5, 6) AS residual FROM ev")(lambda s, d: ev(s, d).select("event_id", F.round(F.log(F.greatest("value", F.lit(1e-6))) - 2.5, 6).alias("residual")))
 KERNEL = "round(0.5 * exp(-0.1 * list_sum(list_transform(range(1, 33), lambda k: (a.e[k] - b.e[k]) ** 2))) + 0.5 * exp(-0.2 * list_sum(list_transform(range(33, 65), lambda k: (a.e[k] - b.e[k]) ** 2))), 6)"
 q("m19_rbf_kernel", f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, {KERNEL} AS k FROM v a JOIN v b ON a.vec_id % 100 = 0")(
-    lambda s, d: (lambda v: ag.rbf_rows(v.filter("id % 100 = 0"), v, [(1, 32, 0.5), (33, 32, 0.5)], [0.1, 0.2]).select("i", "j", R("k")))(fx.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+    lambda s, d: (lambda v: ag.rbf_rows(v.filter("id % 100 = 0"), v, [(1, 32, 0.5), (33, 32, 0.5)], [0.1, 0.2], digits=6))(fx.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
 )
 q("m19_rbf_kernel_whole", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS i, b.vec_id AS j, round(0.5 * exp(-0.1 * list_sum(list_transform(range(1, 33), lambda k: (a.e[k] - b.e[k]) ** 2))) + 0.5 * exp(-0.2 * list_sum(list_transform(range(33, 65), lambda k: (a.e[k] - b.e[k]) ** 2))), 6) AS k FROM v a JOIN v b ON a.vec_id <= b.vec_id")(
-    lambda s, d: ag.rbf_kernel(fx.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), [(1, 32, 0.5), (33, 32, 0.5)], [0.1, 0.2]).select("i", "j", R("k"))
+    lambda s, d: ag.rbf_kernel(fx.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), [(1, 32, 0.5), (33, 32, 0.5)], [0.1, 0.2], digits=6)
 )
 # ---- scalar functions
 VENT = "x AS (SELECT l_orderkey, l_linenumber, l_quantity AS rr, l_extendedprice / 100 AS tv, 10 + l_tax * 100 AS pip, 4 + l_discount * 60 AS peep, 20 + l_discount * 300 AS fio2, 90 + l_tax * 100 AS spo2 FROM lineitem)"

@@ -4,6 +4,8 @@ import math
 import os
 
 import duckdb
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,37 @@ def test_kernel_of_queries_against_all(spark):
         got = ag.rbf_rows(queries, df, [(1, 1, 0.25), (2, 2, 0.75)], [0.1, 0.5], block=block)
         assert rows(["i", "j", "k"], got.collect()) == rows(["i", "j", "k"], want)
     assert ag.rbf_rows(queries.limit(0), df, [(1, 1, 1.0)], [0.1]).count() == 0
+
+
+def test_kernel_files_keep_a_dictionary(spark, tmp_path):
+    """Written as Parquet, a pair of the whole kernel takes about 3 bytes; without a dictionary of k it takes over 8."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    entry.queries()["m19_rbf_kernel_whole"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    held = [pq.ParquetFile(p).metadata for p in (tmp_path / "out").glob("*.parquet")]
+    n, size = sum(m.num_rows for m in held), sum(m.row_group(g).column(c).total_compressed_size for m in held for g in range(m.num_row_groups) for c in range(3))
+    assert n == 1500 * 1501 // 2 and size < 4.5 * n
+
+
+def test_kernel_rounds_as_spark_does(spark):
+    rng = np.random.default_rng(2)
+    halves = (rng.integers(0, 2_000_000, 2000) + 0.5) / 1e6
+    odd = [0.0, -0.0, -1e-9, 5e-7, -5e-7, 4.9999999999999e-7, 1e9 + 5e-7, 2.0**53, 1e300, math.inf, -math.inf, math.nan]
+    v = np.concatenate([rng.random(2000), halves, np.nextafter(halves, 0), np.nextafter(halves, 2), -halves, rng.random(2000) * 10.0 ** rng.integers(-12, 20, 2000), odd])
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "n long, v double")
+    for digits in (6, 0):
+        want = np.array([r["r"] for r in df.select("n", F.round("v", digits).alias("r")).orderBy("n").collect()])
+        got = ag.rounded(v, digits)
+        assert ((got.view("int64") == want.view("int64")) | (np.isnan(got) & np.isnan(want))).all()
+
+
+def test_rounded_kernel_has_the_same_rows(spark):
+    data = [(i % 17 if i < 20 else i, [float(i % 9), 0.0, float(i * i % 5)]) for i in range(40)] + [(50, None), (51, [1.0, None, 2.0]), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(data, "id long, v array<double>")
+    for got in (lambda **kw: ag.rbf_kernel(df, [(1, 1, 0.25), (2, 2, 0.75)], [0.1, 0.5], **kw), lambda **kw: ag.rbf_rows(df.filter("id % 5 = 0"), df, [(1, 1, 0.25), (2, 2, 0.75)], [0.1, 0.5], **kw)):
+        for block in (500, 7):
+            want = got(block=block).select("i", "j", F.round("k", 3).alias("k"))
+            exact = lambda d: sorted(map(repr, d.collect()))
+            assert exact(got(block=block, digits=3)) == exact(want)
